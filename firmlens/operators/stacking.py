@@ -141,7 +141,7 @@ def em_weights(rows: DataFrame, groups: list[str], members: dict[tuple, list[int
     return w
 
 
-def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_key", lpd: str = "lpd_obs", tol: float = 1e-6) -> DataFrame:
+def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_key", lpd: str = "lpd_obs", tol: float = 1e-6, max_steps: int = 500) -> DataFrame:
     """Weight table (groups, model_key, weight, rank, singleton_elpd, best_singleton, objective flags)."""
     from firmlens.session import materialise
 
@@ -161,7 +161,7 @@ def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_k
         members.setdefault(g, []).append(models.index(r[key]))
         best[g] = max(best.get(g, (-math.inf, "")), (r.singleton_elpd, r[key]))
     rows = materialise(density_rows(obs, groups, ids, models, key, lpd), "densities")
-    w = em_weights(rows, groups, members, len(models), tol)
+    w = em_weights(rows, groups, members, len(models), tol, max_steps)
     final = em_step(rows, groups, w, len(models))
     for g, (_, _, objective, _) in final.items():
         if objective < best[g][0] - 1e-6:  # singleton guard
