@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firmlens.functions.columns import finite
 from firmlens.functions.naming import FIRM_RE, model_family
@@ -113,7 +114,7 @@ def em_step(rows: DataFrame, groups: list[str], weights: dict[tuple, list[float]
     """One EM step for every group in one aggregate; only weight vectors travel to and from the driver."""
     spark = rows.sparkSession
     # Weight vectors: one short row per group (space, scheme), fixed by the model registry.
-    w = spark.createDataFrame([(*g, v) for g, v in weights.items()], rows.select(*groups).schema.add("w", "array<double>"))
+    w = spark.createDataFrame([(*g, v) for g, v in weights.items()], rows.select(*groups).schema.add("w", T.ArrayType(T.DoubleType())))
     j = rows.join(F.broadcast(w), groups)
     dens = sum((F.col("w")[i] * F.col(f"p_{i}") for i in range(1, k)), F.col("w")[0] * F.col("p_0"))
     d = j.withColumn("_d", dens)
@@ -231,3 +232,109 @@ def exclusion_list(candidates: DataFrame, gate: DataFrame, keys: list[str], stat
     return j.filter(F.col(status).isNull() | (F.col(status) == "FAIL")).select(
         *keys, F.coalesce(status, F.lit("MISSING")).alias("gate_status"), reason.alias("reason")
     )
+
+
+def primary_gate(weights: DataFrame, diagnostics: DataFrame, keys: list[str], groups: list[str], floor: float = 1e-6) -> DataFrame:
+    """Join weights with full-sample status and held-out reliability, decide inclusion, renormalise the rest.
+
+    ``diagnostics`` holds ``mcmc_status`` per key; ``weights`` hold ``reliability_flag``.
+    """
+    active = weights.filter(finite("weight") & (F.col("weight") > floor))
+    j = active.join(diagnostics.select(*keys, "mcmc_status"), keys, "left").fillna("MISSING", ["mcmc_status", "reliability_flag"])
+    good = F.col("reliability_flag").isin("OK", "PASS", "CAUTION")
+    st = F.col("mcmc_status")
+    decision = (
+        F.when(st.isin("PASS", "OK") & good, "INCLUDE_PRIMARY")
+        .when(st.isin("REVIEW", "CAUTION", "PSIS_REVIEW_REQUIRED") & good, "MCMC_REVIEW_INCLUDED_WITH_EXACT_REFIT_PASS")
+        .when(st.isin("FAIL", "LOW_RELIABILITY"), "EXCLUDE_FULL_SAMPLE_MCMC_FAIL")
+        .otherwise("EXCLUDE_RELIABILITY_NOT_PRIMARY")
+    )
+    j = j.withColumn("decision", decision)
+    keep = F.when(~F.col("decision").startswith("EXCLUDE"), F.col("weight")).otherwise(0.0)
+    total = F.sum(keep).over(W.partitionBy(*groups))  # candidate models of one space
+    return j.withColumn("primary_weight", F.when(total > 0, keep / total))
+
+
+def weight_comparison(weights: DataFrame, a: str, b: str, keys: list[str], side: str = "scheme") -> DataFrame:
+    """Full join of two weight runs with difference, rank change and a stability label."""
+    from firmlens.operators.joins import full_weights
+
+    pick = lambda s, n: weights.filter(F.col(side) == s).select(*keys, F.col("weight").alias(f"weight_{n}"), F.col("rank").alias(f"rank_{n}"))
+    j = full_weights(pick(a, "a"), pick(b, "b"), keys, ("weight_a", "weight_b"))
+    d = F.abs(F.col("weight_a") - F.col("weight_b"))
+    return j.select(
+        "*", (F.col("weight_a") - F.col("weight_b")).alias("weight_difference"), (F.col("rank_a") - F.col("rank_b")).alias("rank_change"),
+        F.when(d < 0.10, "stable").when(d < 0.20, "minor_shift").when(d < 0.50, "material_shift").otherwise("reversal").alias("stability_label"),
+    )
+
+
+def variant_shift(comparison: DataFrame, by: list[str]) -> DataFrame:
+    """Aggregate firm-intercept weight on both sides, its shift and ratio."""
+    re = (F.col("variant") == FIRM_RE).cast("double")
+    out = comparison.groupBy(*by).agg(
+        F.sum(F.col("weight_a") * re).alias("firm_re_a"), F.sum(F.col("weight_b") * re).alias("firm_re_b"),
+        F.sum(F.col("weight_a") * (1 - re)).alias("pooled_a"), F.sum(F.col("weight_b") * (1 - re)).alias("pooled_b"),
+    )
+    return out.select("*", (F.col("firm_re_a") - F.col("firm_re_b")).alias("firm_re_shift"),
+                      F.when(F.col("firm_re_b") > 0, F.col("firm_re_a") / F.col("firm_re_b")).alias("firm_re_ratio"))
+
+
+def alignment_decision(comparison: DataFrame, by: list[str], material: float = 0.10, key: str = "model_key") -> DataFrame:
+    """Whether a second scoring changes the top cell, the majority conclusion, or the weight materially."""
+    top = lambda n: F.min_by(key, F.struct(-F.col(f"weight_{n}"), F.col(key))).alias(f"top_{n}")
+    tops = comparison.groupBy(*by).agg(top("a"), top("b"))
+    j = variant_shift(comparison, by).join(tops, by)
+    changed = F.col("top_a") != F.col("top_b")
+    crossed = (F.col("firm_re_a") >= 0.5) != (F.col("firm_re_b") >= 0.5)
+    return j.select(
+        *by, "top_a", "top_b", "firm_re_a", "firm_re_b", changed.alias("top_cell_changed"), crossed.alias("conclusion_changed"),
+        F.when(changed | crossed, "REVISE_PRIMARY_RESULT").when(F.abs("firm_re_shift") >= material, "QUALIFIES_PRIMARY_RESULT")
+        .otherwise("PASS_PRIMARY_ALIGNMENT").alias("decision"),
+    )
+
+
+def family_shift(weights: DataFrame, a: str, b: str, by: list[str], l1: float = 0.20, biggest: float = 0.10, side: str = "scheme") -> DataFrame:
+    """L1 and maximum shift of family weights between two runs and whether the leading family changed."""
+    fam = family_rollup(weights, by + [side])
+    pv = fam.groupBy(*by, "family").agg(
+        F.sum(F.when(F.col(side) == a, F.col("family_weight")).otherwise(0.0)).alias("wa"),
+        F.sum(F.when(F.col(side) == b, F.col("family_weight")).otherwise(0.0)).alias("wb"),
+    )
+    top = lambda c: F.min_by("family", F.struct(-F.col(c), F.col("family")))
+    agg = pv.groupBy(*by).agg(F.sum(F.abs(F.col("wa") - F.col("wb"))).alias("shift_l1"), F.max(F.abs(F.col("wa") - F.col("wb"))).alias("shift_max"),
+                              top("wa").alias("top_family_a"), top("wb").alias("top_family_b"))
+    moved = (F.col("top_family_a") != F.col("top_family_b")) | (F.col("shift_l1") >= l1) | (F.col("shift_max") >= biggest)
+    return agg.withColumn("decision", F.when(moved, "ACCOUNTING_FAMILY_SHIFT_REMAINS_WITHOUT_FIRMRE").otherwise("JOINT_SHIFT_DOMINATED_BY_HETEROGENEITY"))
+
+
+# Families whose dominance counts as survival in each space.
+SURVIVING = {
+    "ex_post": ["Cash-flow/McNichols-family", "Ball-Shivakumar/asymmetry"],
+    "real_time": ["Cash-flow/McNichols-family", "Ball-Shivakumar/asymmetry", "No-lookahead/real-time"],
+}
+
+
+def headline_decision(families: DataFrame, rel: DataFrame, by: list[str], threshold: float = 0.50, max_failed: float = 0.30, max_low: float = 0.50) -> DataFrame:
+    """Does the headline survive: dominant family per space, Jones weight, failures and low reliability."""
+    dom = families.groupBy(*by, "target_space").agg(
+        F.min_by("family", F.struct("family_rank", "family")).alias("dominant"),
+        F.sum(F.when(F.col("family") == "Jones-family", F.col("family_weight"))).alias("jones"),
+    )
+    ok = F.lit(False)
+    for space, fams in SURVIVING.items():
+        ok = ok | ((F.col("target_space") == space) & F.col("dominant").isin(*fams))
+    dom = dom.withColumn("survives", F.coalesce(ok & (F.col("jones") < threshold), F.lit(False)))
+    side = lambda s, c: F.max(F.when(F.col("target_space") == s, F.col(c)))
+    wide = dom.groupBy(*by).agg(*[side(s, c).alias(f"{c}_{s}") for s in SURVIVING for c in ("survives", "jones", "dominant")])
+    q = rel.groupBy(*by).agg(
+        (1 - F.sum("n_folds_completed") / F.sum("n_folds_attempted")).alias("failure_share"),
+        F.avg(F.col("reliability_flag").isin("FAILED", "LOW_RELIABILITY").cast("double")).alias("low_reliability_share"),
+    )
+    j = wide.join(q, by)
+    ep, rt = F.coalesce("survives_ex_post", F.lit(False)), F.coalesce("survives_real_time", F.lit(False))
+    both = F.coalesce((F.col("jones_ex_post") >= threshold) & (F.col("jones_real_time") >= threshold), F.lit(False))
+    return j.withColumn(
+        "decision",
+        F.when((F.col("failure_share") > max_failed) | (F.col("low_reliability_share") > max_low), "INCONCLUSIVE_DUE_TO_KFOLD_FAILURES")
+        .when(both | (~ep & ~rt), "DOES_NOT_SURVIVE").when(ep & rt, "SURVIVES").otherwise("PARTIALLY_SURVIVES"),
+    )
