@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panel_queries", "aggregate_queries", "compare_queries", "model_queries", "stack_queries"]
+MODULES = ["panel_queries", "aggregate_queries", "compare_queries", "model_queries", "stack_queries", "draw_queries", "quality_queries"]
 
 
 def load_catalog():

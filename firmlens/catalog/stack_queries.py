@@ -64,7 +64,7 @@ def labelled(w):
 
 def weights(spark, d):
     """Stacking weights after a fixed number of EM steps, a stage table."""
-    return stage(spark, d, "weights", lambda: labelled(ST.stack(scores(spark, d), G, IDS, tol=-1.0, max_steps=STEPS)))
+    return stage(spark, d, "weights", lambda: labelled(ST.stack(scores(spark, d), G, IDS, em_steps=STEPS)))
 
 
 @query("stk1_score_rollup", sql_with("model_scores", f"SELECT {', '.join(MK)}, n_test_obs_total, n_test_firms_total, {cols_sql(['elpd_kfold', 'sd_elpd_fold'], 3)}, {cols_sql(['mean_lpd_obs', 'rmse', 'mae'], 5)} FROM model_scores"))
@@ -94,13 +94,13 @@ def _(spark, d):
 
 @query("stk5_stacking_weights", sql_with("weights", f"SELECT scheme, target_space, model_key, {r('weight', 5)} AS weight, {r('singleton_elpd', 3)} AS singleton_elpd, best_singleton FROM weights"))
 def _(spark, d):
-    out = ST.stack(scores(spark, d), G, IDS, tol=-1.0, max_steps=STEPS)
+    out = ST.stack(scores(spark, d), G, IDS, em_steps=STEPS)
     return out.select("scheme", "target_space", "model_key", rnd("weight", 5).alias("weight"), rnd("singleton_elpd", 3).alias("singleton_elpd"), "best_singleton")
 
 
 @query("stk5_converged_weights")
 def _(spark, d):
-    return ST.stack(scores(spark, d), G, IDS, tol=1e-4)
+    return ST.stack(scores(spark, d), G, IDS, tol=1e-6)
 
 
 @query("stk6_pseudo_bma", sql_with("model_scores", f"SELECT {', '.join(MK)}, {r('exp(elpd_kfold - max(elpd_kfold) OVER w) / sum(exp(elpd_kfold - mx)) OVER w')} AS weight FROM (SELECT *, max(elpd_kfold) OVER (PARTITION BY scheme, target_space) AS mx FROM model_scores) WINDOW w AS (PARTITION BY scheme, target_space)"))
@@ -126,7 +126,7 @@ def _(spark, d):
 
 @query("stk8_two_model_weight", sql_with("scores", f"WITH two AS (SELECT * FROM scores WHERE model_id = 'M03'), {em_sql('two', 'tw', STEPS)} SELECT scheme, target_space, {r('weight', 5)} AS firm_re_weight FROM tw_final WHERE model_key LIKE '%firm_re'"))
 def _(spark, d):
-    out = ST.stack(scores(spark, d).filter("model_id = 'M03'"), G, IDS, tol=-1.0, max_steps=STEPS)
+    out = ST.stack(scores(spark, d).filter("model_id = 'M03'"), G, IDS, em_steps=STEPS)
     return out.filter(F.col("model_key").endswith("firm_re")).select("scheme", "target_space", rnd("weight", 5).alias("firm_re_weight"))
 
 
@@ -191,7 +191,7 @@ t AS (SELECT target_space, sum(abs(wa - wb)) AS l1, max(abs(wa - wb)) AS mx, arg
 SELECT target_space, {r('l1', 5)} AS shift_l1, {r('mx', 5)} AS shift_max, fa AS top_family_a, fb AS top_family_b, CASE WHEN fa <> fb OR l1 >= 0.2 OR mx >= 0.1 THEN 'ACCOUNTING_FAMILY_SHIFT_REMAINS_WITHOUT_FIRMRE' ELSE 'JOINT_SHIFT_DOMINATED_BY_HETEROGENEITY' END AS decision FROM t"""))
 def _(spark, d):
     pooled = scores(spark, d).filter(F.col("variant") == POOLED)
-    w = labelled(ST.stack(pooled, G, IDS, tol=-1.0, max_steps=STEPS))
+    w = labelled(ST.stack(pooled, G, IDS, em_steps=STEPS))
     out = ST.family_shift(w, "row", "grouped", ["target_space"])
     return out.withColumns({c: rnd(c, 5) for c in ("shift_l1", "shift_max")})
 

@@ -33,22 +33,30 @@ PREDICTORS = [
 ]
 ZERO_IS_MISSING = ["ppe", "rec", "cogs"]
 
-# One window spec serves every lag, lead and rolling value: one shuffle, one sort. Firm-years are unique,
-# so a firm's group is bounded by the number of calendar years however large the panel gets.
-FIRM = W.partitionBy("company").orderBy("year")
 
+def firm_window():
+    """One window spec for every lag, lead and rolling value: one shuffle, one sort.
 
-def lag_contiguous(x: str | Column, n: int = 1, w=FIRM) -> Column:
+    Firm-years are unique, so a firm's group is bounded by the number of calendar years however large the
+    panel gets.
+    """
+    return W.partitionBy("company").orderBy("year")
+
+
+def lag_contiguous(x: str | Column, n: int = 1) -> Column:
     """Value of the n-th previous row only if that row is exactly n years older."""
+    w = firm_window()
     return F.when(F.lag("year", n).over(w) == F.col("year") - n, F.lag(x, n).over(w))
 
 
-def lead_contiguous(x: str | Column, n: int = 1, w=FIRM) -> Column:
+def lead_contiguous(x: str | Column, n: int = 1) -> Column:
+    w = firm_window()
     return F.when(F.lead("year", n).over(w) == F.col("year") + n, F.lead(x, n).over(w))
 
 
-def rolling_sd3(x: str, w=FIRM) -> Column:
+def rolling_sd3(x: str) -> Column:
     """Sample SD over years t-2, t-1, t; any gap or non-finite value gives NULL."""
+    w = firm_window()
     frame = w.rowsBetween(-2, 0)
     ok = (
         (F.lag("year", 1).over(w) == F.col("year") - 1)
@@ -157,7 +165,7 @@ def outcomes(df: DataFrame) -> DataFrame:
 
 
 def tenure(df: DataFrame) -> DataFrame:
-    """First and last year, panel length and age of each firm, on the shuffle already paid for by FIRM."""
+    """First and last year, panel length and age of each firm, on the shuffle already paid for by the lags."""
     whole = W.partitionBy("company")
     return df.select(
         "*",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,24 +126,78 @@ def em_step(rows: DataFrame, groups: list[str], weights: dict[tuple, list[float]
     return {tuple(r[c] for c in groups): ([wi * gi for wi, gi in zip(weights[tuple(r[c] for c in groups)], r.g)], r.g, r.objective, r.n) for r in agg}
 
 
-def em_weights(rows: DataFrame, groups: list[str], members: dict[tuple, list[int]], k: int, tol: float = 1e-6, max_steps: int = 500) -> dict[tuple, list[float]]:
-    """Stacking weights: the maximiser of sum log sum_j w_j p_ij on the simplex.
-
-    The objective is concave, so EM reaches the same optimum as a gradient method. ``g_j`` is its
-    gradient; ``max g - 1`` bounds the remaining gain per row and stops the loop. ``rows`` must be
-    cached or materialised: each step is one pass over it.
-    """
+def em_weights(rows: DataFrame, groups: list[str], members: dict[tuple, list[int]], k: int, steps: int) -> dict[tuple, list[float]]:
+    """A fixed number of EM steps from equal weights (never leaves the simplex, converges slowly)."""
     w = {g: [1.0 / len(ms) if i in ms else 0.0 for i in range(k)] for g, ms in members.items()}
-    for _ in range(max_steps):
-        step = em_step(rows, groups, w, k)
-        gap = max(max(s[1][i] for i in members[g]) - 1.0 for g, s in step.items())
-        w = {g: [x / sum(s[0]) for x in s[0]] for g, s in step.items()}
-        if gap < tol:
-            break
+    for _ in range(steps):
+        w = {g: s[0] for g, s in em_step(rows, groups, w, k).items()}
+        w = {g: [x / sum(v) for x in v] for g, v in w.items()}
     return w
 
 
-def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_key", lpd: str = "lpd_obs", tol: float = 1e-6, max_steps: int = 500) -> DataFrame:
+def _curvature(rows: DataFrame, groups: list[str], weights: dict[tuple, list[float]], k: int) -> dict[tuple, tuple[float, np.ndarray, np.ndarray]]:
+    """Mean objective, gradient and curvature of every group in one pass over the density rows."""
+    from firmlens.operators.lsq import cross_products, to_matrix
+
+    spark = rows.sparkSession
+    w = spark.createDataFrame([(*g, [float(x) for x in v]) for g, v in weights.items()], rows.select(*groups).schema.add("w", T.ArrayType(T.DoubleType())))
+    dens = sum((F.col("w")[i] * F.col(f"p_{i}") for i in range(1, k)), F.col("w")[0] * F.col("p_0"))
+    d = rows.join(F.broadcast(w), groups).withColumn("_d", dens)
+    cols = d.select(*groups, F.lit(1.0).alias("c0"), *[(F.col(f"p_{i}") / F.col("_d")).alias(f"c{i + 1}") for i in range(k)], (F.col("m") + F.log("_d")).alias(f"c{k + 1}"))
+    entries = cross_products(cols, groups, [f"c{i}" for i in range(k + 2)]).toPandas()  # (k+2)^2 / 2 numbers per group
+    out = {}
+    for g, part in entries.groupby(groups):
+        mat = to_matrix(part, k + 2)
+        n = mat[0, 0]
+        out[g if isinstance(g, tuple) else (g,)] = (mat[0, k + 1] / n, mat[0, 1:k + 1] / n, mat[1:k + 1, 1:k + 1] / n)
+    return out
+
+
+def _quadratic_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray, free: list[int], sweeps: int = 2000) -> np.ndarray:
+    """Minimise the local quadratic of -mean log density + sum(w) over w >= 0 by coordinate descent (k is tiny)."""
+    h = hess + 1e-10 * np.trace(hess) / len(w) * np.eye(len(w))
+    x, r = w.copy(), 1.0 - grad - h @ w  # r + h x is the gradient of the quadratic model at x
+    for _ in range(sweeps):
+        worst = 0.0
+        for j in free:
+            new = max(0.0, x[j] - (r[j] + h[j] @ x) / h[j, j])
+            worst = max(worst, abs(new - x[j]))
+            x[j] = new
+        if worst < 1e-12:
+            break
+    return x
+
+
+def optimal_weights(rows: DataFrame, groups: list[str], members: dict[tuple, list[int]], k: int, tol: float = 1e-6, max_steps: int = 60) -> dict[tuple, list[float]]:
+    """Stacking weights: the maximiser of sum log sum_j w_j p_ij on the simplex, by sequential quadratic programming.
+
+    The objective is concave. Each round is one pass over ``rows`` for all groups together, returning k x k
+    numbers per group; ``max_j mean(p_ij / density) - 1`` bounds the remaining gain per row and stops the loop.
+    """
+    w = {g: np.array([1.0 / len(ms) if i in ms else 0.0 for i in range(k)]) for g, ms in members.items()}
+    now = _curvature(rows, groups, w, k)
+    todo = set(w)
+    for _ in range(max_steps):
+        todo = {g for g in todo if max(now[g][1][i] for i in members[g]) - 1.0 >= tol}
+        if not todo:
+            break
+        aim = {}
+        for g in todo:
+            x = _quadratic_step(w[g], now[g][1], now[g][2], members[g])
+            x = 1e-3 * w[g] + (1 - 1e-3) * x / x.sum()  # stay inside, so the next density is positive
+            aim[g] = np.where(x > 1e-14, x, 0.0) / x.sum()
+        for _ in range(30):
+            trial = _curvature(rows, groups, {**w, **aim}, k)
+            worse = [g for g in aim if trial[g][0] < now[g][0] - 1e-13]
+            if not worse:
+                break
+            for g in worse:
+                aim[g] = (aim[g] + w[g]) / 2
+        w, now = {**w, **aim}, trial
+    return {g: (v / v.sum()).tolist() for g, v in w.items()}
+
+
+def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_key", lpd: str = "lpd_obs", tol: float = 1e-6, em_steps: int | None = None) -> DataFrame:
     """Weight table (groups, model_key, weight, rank, singleton_elpd, best_singleton, objective flags)."""
     from firmlens.session import materialise
 
@@ -162,7 +217,8 @@ def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_k
         members.setdefault(g, []).append(models.index(r[key]))
         best[g] = max(best.get(g, (-math.inf, "")), (r.singleton_elpd, r[key]))
     rows = materialise(density_rows(obs, groups, ids, models, key, lpd), "densities")
-    w = em_weights(rows, groups, members, len(models), tol, max_steps)
+    k = len(models)
+    w = em_weights(rows, groups, members, k, em_steps) if em_steps else optimal_weights(rows, groups, members, k, tol)
     final = em_step(rows, groups, w, len(models))
     for g, (_, _, objective, _) in final.items():
         if objective < best[g][0] - 1e-6:  # singleton guard
