@@ -40,7 +40,7 @@ def _(spark, d):
 @query("agg3_grouped_distribution", sql_with("cleaned", f"""
 WITH l AS {unpivot_sql('cleaned', 'industry', ['ni', 'cfo', 'inv'])}
 SELECT industry, variable, count(*) AS n, {r('avg(x)', 2)} AS mean, {r('stddev_samp(x)', 2)} AS sd, {r('min(x)', 4)} AS min, {r('max(x)', 4)} AS max,
- {', '.join(r(f'quantile_cont(x, {p})', 3) + f' AS {n}' for p, n in zip(prep.PROFILE_PROBS, prep.PROFILE_NAMES))},
+ {', '.join(r(f'quantile_cont(x, {p})', 6) + f' AS {n}' for p, n in zip(prep.PROFILE_PROBS, prep.PROFILE_NAMES))},
  count_if(isfinite(x) AND x <= 0) AS n_nonpositive, count_if(NOT isfinite(x)) AS n_nonfinite FROM l GROUP BY industry, variable"""))
 def _(spark, d):
     from firmlens.operators.ordered import unpivot
@@ -51,7 +51,7 @@ def _(spark, d):
     bad = unpivot(df, ["industry"], cols).groupBy("industry", "variable").agg(
         F.count("*").alias("n"), F.count_if(finite("x") & (F.col("x") <= 0)).alias("n_nonpositive"), F.count_if(~finite("x")).alias("n_nonfinite"))
     j = prof.join(bad, ["industry", "variable"])
-    return j.select("industry", "variable", "n", *cols_df(["mean", "sd"], 2), *cols_df(["min", "max"], 4), *cols_df(prep.PROFILE_NAMES, 3), "n_nonpositive", "n_nonfinite")
+    return j.select("industry", "variable", "n", *cols_df(["mean", "sd"], 2), *cols_df(["min", "max"], 4), *cols_df(prep.PROFILE_NAMES, 6), "n_nonpositive", "n_nonfinite")
 
 
 @query("agg4_sample_summary", sql_with("all_samples", """

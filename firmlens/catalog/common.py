@@ -74,7 +74,7 @@ def da_joined(spark, d):
     da = da_table(spark, d)
     cols = ["nda_mean", "nda_sd_epred", "nda_sd_predict", "da_raw", "da_z_est", "da_z_pred", "tail95", "tail98"]
     side = lambda s: da.filter(F.col("scheme") == s).select("sample", "company", "year", "industry", *cols)
-    return suffixed_join(side("row"), side("grouped"), ["sample", "company", "year", "industry"], "_row", "_grouped")
+    return stage(spark, d, "da_joined", lambda: suffixed_join(side("row"), side("grouped"), ["sample", "company", "year", "industry"], "_row", "_grouped"))
 
 
 def firms(spark, d):

@@ -128,3 +128,12 @@ def order_hash(*parts) -> Column:
 def rnd(c: str | Column, digits: int = 6) -> Column:
     """Rounded report value; ``+ 0.0`` removes negative zero."""
     return F.round(as_col(c).cast("double"), digits) + F.lit(0.0)
+
+
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Aggregate Pearson correlation of two jointly present columns; NULL when either is constant.
+
+    The built-in ``corr`` raises on a constant column under ANSI arithmetic.
+    """
+    sa, sb = F.stddev_samp(a), F.stddev_samp(b)
+    return F.when((sa > 0) & (sb > 0), F.covar_samp(a, b) / (sa * sb))

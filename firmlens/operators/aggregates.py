@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.functions.columns import all_present, finite, missing
+from firmlens.functions.columns import all_present, correlation, finite, missing
 from firmlens.operators.ordered import average_ranks, quantiles_long, running, unpivot
 from firmlens.session import materialise
 
@@ -130,7 +130,7 @@ def pearson(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Correlation on jointly finite rows; fewer than three give NULL."""
     ok = finite(a) & finite(b)
     return df.groupBy(*keys).agg(
-        F.count_if(ok).alias("n"), F.corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias("_r")
+        F.count_if(ok).alias("n"), correlation(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias("_r")
     ).select(*keys, "n", F.when(F.col("n") >= 3, F.col("_r")).alias("pearson"))
 
 
@@ -139,7 +139,7 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     # Four branches read the pair below: write the two columns once instead of recomputing their source.
     both = materialise(df.filter(finite(a) & finite(b)).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")), "pairs")
     ranked = average_ranks(average_ranks(both, keys, "_a", "_ra"), keys, "_b", "_rb")
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("_r")).select(
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("_r")).select(
         *keys, "n", F.when(F.col("n") >= 3, F.col("_r")).alias("spearman")
     )
 
@@ -156,7 +156,7 @@ def correlation_matrix(df: DataFrame, ids: list[str], cols: list[str]) -> DataFr
     pairs = list(combinations_with_replacement(cols, 2))
 
     def matrix(frame, out):
-        wide = frame.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+        wide = frame.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
         rows = F.array(*[
             F.struct(F.lit(x).alias("variable_1"), F.lit(y).alias("variable_2"), F.col(f"`{a}|{b}`").alias(out))
             for a, b in pairs for x, y in dict.fromkeys([(a, b), (b, a)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.functions.columns import finite
+from firmlens.functions.columns import correlation, finite
 from firmlens.operators.ordered import rank_rows
 from firmlens.session import materialise
 
@@ -89,7 +89,7 @@ def matched_comparison(df: DataFrame, keys: list[str], a: str, b: str, ids: list
         F.max(F.when(F.col("side") == "a", F.col("_avg"))).alias("_ra"),
         F.max(F.when(F.col("side") == "b", F.col("_avg"))).alias("_rb"),
     )
-    rho = mean_rank.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("spearman"))
+    rho = mean_rank.groupBy(*keys).agg(correlation("_ra", "_rb").alias("spearman"))
     ties = cutoff_ties(ranked, ks, "score").groupBy(*keys).agg(
         F.max(F.when(F.col("side") == "a", F.col("cutoff_tie_count"))).alias("cutoff_tie_count_a"),
         F.max(F.when(F.col("side") == "b", F.col("cutoff_tie_count"))).alias("cutoff_tie_count_b"),

@@ -98,7 +98,8 @@ def cross_products(rows: DataFrame, keys: list[str], values: list[str], weight:
     """Upper triangle of sum w v v' per ``keys`` in long form (keys, i, j, v).
 
     Each task folds its rows into one small matrix per key before anything is shuffled. ``keys`` are
-    design keys (space, fold, outcome ...), so a task holds few matrices.
+    design keys (space, fold, outcome ...), so a task holds few matrices. Arrow batches and one matrix
+    product per batch were measured two to three times faster than p(p+1)/2 generated sums.
     """
     p = len(values)
     iu, ju = np.triu_indices(p)
@@ -226,15 +227,16 @@ def residuals(rows: DataFrame, fits: DataFrame, keys: list[str], design: Design,
 def coefficients(fits: DataFrame, keys: list[str], design: Design, terms: list[str]) -> DataFrame:
     """Long classical table (keys, spec, term, estimate, std_error, n, r2, adj_r2, sigma)."""
     p, names = design.width, design.names
-    sigma2 = F.col("rss") / (F.col("n") - F.col("rank"))
+    spare = F.col("n") - F.col("rank")
+    sigma2 = F.when(spare > 0, F.col("rss") / spare)
     rows = F.array(*[
         F.struct(F.lit(t).alias("term"), F.col("beta")[names.index(t)].alias("estimate"),
                  F.sqrt(sigma2 * F.col("inv")[names.index(t) * p + names.index(t)]).alias("std_error")) for t in terms
     ])
-    r2 = 1 - F.col("rss") / F.col("tss")
+    r2 = F.when(F.col("tss") > 0, 1 - F.col("rss") / F.col("tss"))
     return fits.select(
         *keys, "spec", F.col("n").cast("long").alias("n"), "rank", F.sqrt(sigma2).alias("sigma"), r2.alias("r2"),
-        (1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - F.col("rank"))).alias("adj_r2"), "dropped", F.inline(rows),
+        F.when(spare > 0, 1 - (1 - r2) * (F.col("n") - 1) / spare).alias("adj_r2"), "dropped", F.inline(rows),
     )
 
 
@@ -278,21 +280,25 @@ def clustered(fits: DataFrame, scored: DataFrame, keys: list[str], design: Desig
             if g < 2:
                 status = "fallback_ols_after_insufficient_clusters"
                 break
+            if n <= k:
+                break
             v += sign * (n - 1) / (n - k) * g / (g - 1) * inv @ m[:p, :p] @ inv
         if status == "cluster_se_ok" and len(signs) == 3:
             ev, vec = np.linalg.eigh((v + v.T) / 2)
             if ev.min() < 0:
                 v = (vec * np.clip(ev, 0, None)) @ vec.T
                 status = "cluster_se_psd_fixed"
-        if status.startswith("fallback"):
+        lack = f["rss"] / f["tss"] if f["tss"] > 0 else np.nan
+        if n <= k:
+            v, status = np.full((p, p), np.nan), "no_degrees_of_freedom"
+        elif status.startswith("fallback"):
             v = f["rss"] / (n - k) * inv
         se = np.sqrt(np.clip(np.diag(v)[pos], 0, None))
         est = beta[pos]
         t = np.where(se > 0, est / np.where(se > 0, se, 1.0), np.nan)
         return pd.DataFrame({
             **{c: [x] * len(pos) for c, x in zip(ks, key)}, "term": terms, "estimate": est, "std_error": se, "t_value": t,
-            "p_value": [t_two_sided(a, n - k) for a in t], "n": int(n), "r2": 1 - f["rss"] / f["tss"],
-            "adj_r2": 1 - f["rss"] / f["tss"] * (n - 1) / (n - k), "se_status": status,
+            "p_value": [t_two_sided(a, n - k) for a in t], "n": int(n), "r2": 1 - lack, "adj_r2": 1 - lack * (n - 1) / (n - k) if n > k else np.nan, "se_status": status,
         })
 
     schema = T.StructType([fits.schema[k] for k in ks] + T._parse_datatype_string(
@@ -406,7 +412,7 @@ def _scores(df: DataFrame, keep: list[str], variant: str) -> DataFrame:
 
 def score_pooled(rows: DataFrame, train: DataFrame, keys: list[str], design: Design, specs, keep: list[str], variant: str) -> DataFrame:
     """Held-out Gaussian scores of the pooled models; ``keys`` include the fold."""
-    fits = fit(train, keys, design, specs).withColumn("sigma", F.sqrt(F.col("rss") / (F.col("n") - F.col("rank"))))
+    fits = fit(train, keys, design, specs).withColumn("sigma", F.when(F.col("n") > F.col("rank"), F.sqrt(F.col("rss") / (F.col("n") - F.col("rank")))))
     j = with_fits(rows, fits.select(*keys, "spec", "beta", "sigma"), keys)
     return _scores(j.withColumn("pred_mean", dot(F.col("beta"), "x", design.width)), keep, variant)
 

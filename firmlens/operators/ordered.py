@@ -56,20 +56,24 @@ def running(df: DataFrame, keys: list[str], order: list[Column], totals: dict[st
     rows = _placed(df, keys, order)
     aggs, offsets = [], []
     wb = W.partitionBy(*keys).orderBy(_BLOCK)
+    wb_back = W.partitionBy(*keys).orderBy(F.desc(_BLOCK))
     for name, (kind, col) in totals.items():
         fn = F.min if kind == "min_after" else F.sum
         aggs.append(fn(col).alias(f"_t_{name}"))
         if kind == "min_after":
-            offsets.append(F.min(f"_t_{name}").over(wb.rowsBetween(1, W.unboundedFollowing)).alias(f"_o_{name}"))
+            offsets.append(F.min(f"_t_{name}").over(wb_back.rowsBetween(W.unboundedPreceding, -1)).alias(f"_o_{name}"))
         else:
             prior = F.sum(f"_t_{name}").over(wb.rowsBetween(W.unboundedPreceding, -1))
             offsets.append(F.coalesce(prior, F.lit(0)).alias(f"_o_{name}"))
     blocks = rows.groupBy(*keys, _BLOCK).agg(*aggs).select(*keys, _BLOCK, *offsets)
+    # Growing frames cost one step per row; a shrinking frame (current row to the end) would be redone
+    # for every row, so the backward minimum runs over the reversed order instead.
     wl = W.partitionBy(*keys, _BLOCK).orderBy(_POS)
+    wl_back = W.partitionBy(*keys, _BLOCK).orderBy(F.desc(_POS))
     local = []
     for name, (kind, col) in totals.items():
         if kind == "min_after":
-            local.append(F.min(col).over(wl.rowsBetween(0, W.unboundedFollowing)).alias(f"_l_{name}"))
+            local.append(F.min(col).over(wl_back.rowsBetween(W.unboundedPreceding, 0)).alias(f"_l_{name}"))
         else:
             local.append(F.sum(col).over(wl.rowsBetween(W.unboundedPreceding, 0)).alias(f"_l_{name}"))
     joined = _join_blocks(rows.select("*", *local), blocks, keys)

@@ -120,10 +120,14 @@ def em_step(rows: DataFrame, groups: list[str], weights: dict[tuple, list[float]
     dens = sum((F.col("w")[i] * F.col(f"p_{i}") for i in range(1, k)), F.col("w")[0] * F.col("p_0"))
     d = j.withColumn("_d", dens)
     agg = d.groupBy(*groups).agg(
-        F.array(*[F.avg(F.col(f"p_{i}") / F.col("_d")) for i in range(k)]).alias("g"),
-        F.sum(F.col("m") + F.log("_d")).alias("objective"), F.count("*").alias("n"),
+        F.array(*[F.avg(F.col(f"p_{i}") / F.col("_d")) for i in range(k)]).alias("_grad"),
+        F.sum(F.col("m") + F.log("_d")).alias("_objective"), F.count("*").alias("_n"),
     ).collect()
-    return {tuple(r[c] for c in groups): ([wi * gi for wi, gi in zip(weights[tuple(r[c] for c in groups)], r.g)], r.g, r.objective, r.n) for r in agg}
+    out = {}
+    for r in agg:
+        g = tuple(r[c] for c in groups)
+        out[g] = ([wi * gi for wi, gi in zip(weights[g], r["_grad"])], r["_grad"], r["_objective"], r["_n"])
+    return out
 
 
 def em_weights(rows: DataFrame, groups: list[str], members: dict[tuple, list[int]], k: int, steps: int) -> dict[tuple, list[float]]:

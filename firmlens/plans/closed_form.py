@@ -26,13 +26,13 @@ def held_out_da(rows: DataFrame, scheme: str, keys: list[str], y: str = "ta_scal
     ).select(*keys, "company", "fold_id", F.col("train_n").alias("fn"), F.col("train_s").alias("fs"))
     j = rows.join(ind, keys + ["industry", "fold_id"]).join(firm, keys + ["company", "fold_id"])
     n, s, ss = F.col("train_n"), F.col("train_s"), F.col("train_ss")
-    mean = s / n
-    sd = F.sqrt(F.greatest((ss - s * s / n) / (n - 1), F.lit(0.0)))
+    mean = F.when(n > 0, s / n)  # an industry wholly inside one fold has no training rows: no prediction
+    sd = F.when(n > 1, F.sqrt(F.greatest((ss - s * s / n) / (n - 1), F.lit(0.0))))
     pull = F.when(F.col("fn") > 0, F.col("fn") / (F.col("fn") + SHRINK) * (F.col("fs") / F.col("fn") - mean)).otherwise(0.0)
     j = j.select(
         F.lit(scheme).alias("scheme"), *keys, "company", "year", "industry", "fold_id", v.alias("ta_scaled"),
         F.col("fn").cast("long").alias("firm_train_rows"), (mean + pull).alias("nda_mean"),
-        (sd / F.sqrt(n + F.col("fn"))).alias("nda_sd_epred"), (sd * F.sqrt(1 + 1 / (n + F.col("fn")))).alias("nda_sd_predict"),
+        F.when(n > 0, sd / F.sqrt(n + F.col("fn"))).alias("nda_sd_epred"), F.when(n > 0, sd * F.sqrt(1 + 1 / (n + F.col("fn")))).alias("nda_sd_predict"),
     )
     # Nine digits: scores that are equal on paper tie exactly, whatever the order of summation.
     raw = F.round(F.col("ta_scaled") - F.col("nda_mean"), 9)
