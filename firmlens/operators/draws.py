@@ -149,7 +149,8 @@ def fit_generalised_pareto(x: np.ndarray) -> tuple[float, float]:
     b = b / (3.0 * quart) + 1.0 / x[-1]
     shape = np.log1p(-np.outer(b, x)).mean(axis=1)
     ll = n * (np.log(-b / shape) - shape - 1.0)
-    w = 1.0 / np.exp(ll[None, :] - ll[:, None]).sum(axis=1)
+    w = np.exp(ll - ll.max())
+    w = w / w.sum()
     keep = w >= 10 * np.finfo(float).eps
     w = w[keep] / w[keep].sum()
     bb = (b[keep] * w).sum()

@@ -101,9 +101,10 @@ def design_completeness(manifest: DataFrame, results: DataFrame, cell: list[str]
 
 
 def blockers(tasks: DataFrame, keys: list[str], status: str = "status", ok: tuple = ("SUCCESS",)) -> DataFrame:
-    """Failing tasks per group with a bounded-by-design list of task keys."""
-    return tasks.filter(~F.coalesce(F.col(status).isin(*ok), F.lit(False))).groupBy(*keys).agg(
-        F.count("*").alias("n_blocking"), F.array_join(F.sort_array(F.collect_list("task_key")), ",").alias("blocking_tasks"))
+    """Failing tasks, one row each, with the number of blocking tasks of their group; no list is ever gathered."""
+    bad = tasks.filter(~F.coalesce(F.col(status).isin(*ok), F.lit(False))).select(*keys, "task_key", F.coalesce(status, F.lit("MISSING")).alias("status"))
+    n = bad.groupBy(*keys).agg(F.count("*").alias("n_blocking"))
+    return bad.join(n, keys)
 
 
 def require(gate: DataFrame, failing: Column, message: str) -> DataFrame:
