@@ -41,10 +41,10 @@ s AS (
     ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS sh FROM w),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
 classes AS (SELECT min(doc_id) AS rep, sh FROM (SELECT doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) GROUP BY sh),
-member AS (SELECT s.doc_id, c.rep, count(*) OVER (PARTITION BY c.rep) AS copies FROM (SELECT doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) s JOIN classes c USING (sh)),
+member AS (SELECT s.doc_id, c.rep FROM (SELECT doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) s JOIN classes c USING (sh)),
 tok AS (SELECT rep, unnest(sh) AS t FROM classes),
-both AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM tok a JOIN tok b ON a.t = b.t AND a.rep < b.rep GROUP BY 1, 2),
-link AS (SELECT x, y FROM both JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+shared AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM tok a JOIN tok b ON a.t = b.t AND a.rep < b.rep GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(node, root) AS (SELECT rep, rep FROM classes UNION SELECT e.y, r.root FROM reach r JOIN edge e ON e.x = r.node),
 comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
