@@ -141,3 +141,41 @@ n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE side = 'b' GROUP BY
 c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_common FROM s d JOIN s b ON d.sh = b.sh WHERE d.side = 'd' AND b.side = 'b' GROUP BY 1, 2)
 SELECT doc_id, item_id, n_item, n_common FROM c JOIN n USING (item_id) WHERE 100 * n_common >= 75 * n_item
 """
+
+
+@query
+def op4_license_scan(spark, d):
+    from firmlens.llm.licenses import scan_licenses
+
+    found = scan_licenses(table(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive")
+
+
+@query
+def op5_content_defined_chunks(spark, d):
+    from firmlens.llm.chunks import repeated_passages
+
+    return repeated_passages(table(spark, d, "documents"))
+
+
+@query
+def op7_nnpu_toxicity(spark, d):
+    from firmlens.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op8_inverted_multi_index(spark, d):
+    from pyspark.sql import functions as F
+
+    from firmlens.llm.ann import search
+
+    return search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op9_bidirectional_gru(spark, d):
+    from firmlens.llm.language import identify
+
+    return identify(table(spark, d, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.llm.sides import drop_ids
 from firmlens.session import materialise
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -75,5 +76,4 @@ def contaminated(
 
 def without_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no item; all columns of ``docs`` are kept. Rows with a null id are not searched and stay."""
-    hits = contaminated(docs, items, id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hits, id_col, "left_anti")
+    return drop_ids(docs, contaminated(docs, items, id_col, **options).select("doc_id"), id_col)

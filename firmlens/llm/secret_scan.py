@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.llm.sides import sized
 from firmlens.session import materialise
 
 
@@ -118,4 +119,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     folded = F.aggregate("_spans", start, step)
     rest = F.substring(F.col(text_col), folded["at"] + 1, F.length(text_col))
     clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(folded["done"], rest))
-    return docs.join(found, id_col, "left").withColumn(text_col, clean).select(*docs.columns)
+    return docs.join(sized(found, "redacted"), id_col, "left").withColumn(text_col, clean).select(*docs.columns)
