@@ -179,3 +179,10 @@ def op9_bidirectional_gru(spark, d):
     from firmlens.llm.language import identify
 
     return identify(table(spark, d, "documents"))
+
+
+@query
+def op1_co_training_quality(spark, d):
+    from firmlens.llm.quality import score_quality
+
+    return score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
