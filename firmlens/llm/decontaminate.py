@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.sides import drop_ids
+from firmlens.llm.sides import drop_ids, let
 from firmlens.session import materialise
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -13,15 +13,15 @@ WHITE = " \t\n\x0b\x0c\r"
 
 def shingle_hashes(text: Column, width: int) -> Column:
     """Distinct 64-bit hashes of the ``width``-word shingles of the lower-cased text; fewer words make one shingle."""
-    words = F.split(F.trim(F.lower(text), F.lit(WHITE)), "[\\x20\\x09-\\x0D]+")
-    n = F.size(words)
-    at = lambda i: F.xxhash64(F.slice(words, i, width))
     none = F.array().cast("array<long>")
-    return (
-        F.when(text.isNull() | (F.trim(text, F.lit(WHITE)) == ""), none)
-        .when(n < width, F.array(F.xxhash64(words)))
-        .otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), at)))
-    )
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, width)))
+        return F.when(n < width, F.array(F.xxhash64(words))).otherwise(F.array_distinct(every))
+
+    plain = F.trim(F.lower(text), F.lit(WHITE))
+    return F.when(text.isNull() | (F.trim(text, F.lit(WHITE)) == ""), none).otherwise(let(F.split(plain, "[\\x20\\x09-\\x0D]+"), of))
 
 
 def item_index(items: DataFrame, item_col: str, text_col: str, percent: int, width: int) -> DataFrame:
@@ -58,15 +58,15 @@ def contaminated(
     rows, top = index.agg(F.count("*"), F.max(F.when(F.col("signature"), F.col("hash")))).first()
     small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    hashes = shingle_hashes(F.col("text"), width)
-    sketched = docs.select("doc_id", hashes.alias("hashes")).select("doc_id", F.size("hashes").alias("n_doc"), F.explode("hashes").alias("hash"))
+    hashes = shingle_hashes(F.col("text"), width)  # exploded with ``explode_outer``: the plain one adds filters that compute the hashes again
+    sketched = docs.select("doc_id", hashes.alias("hashes")).select("doc_id", F.size("hashes").alias("n_doc"), F.explode_outer("hashes").alias("hash"))
     probes = sketched.where(F.col("hash") <= F.lit(top if top is not None else -(1 << 63)))
     signatures = index.where("signature").select("hash", "item_id", "least")
     found = materialise(probes.join(small(signatures, rows), "hash").where("n_doc >= least").select("doc_id", "item_id").distinct(), "candidates")
     ids = found.select("doc_id").distinct()
     again = docs.join(small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", hashes.alias("hashes"))
     shared = (
-        again.select("doc_id", F.explode("hashes").alias("hash"), F.size("hashes").alias("n_doc"))
+        again.select("doc_id", F.explode_outer("hashes").alias("hash"), F.size("hashes").alias("n_doc"))
         .join(small(index.select("hash", "item_id", "n_item", "least"), rows), "hash").where("n_doc >= least")
         .groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.count_distinct("hash").alias("n_common"))
         .where(100 * F.col("n_common") >= percent * F.col("n_item"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.llm.sides import let
+
 PART = 16.0  # larger rates are sums of independent Poisson parts of at most this mean
 TERMS = 64  # the tail of a part beyond these terms is below 1e-19, less than the spacing of the uniform numbers
 
@@ -68,7 +70,7 @@ def mix_sources(
     found = docs.join(F.broadcast(rates) if few else rates, F.col(source_col).eqNullSafe(F.col("_source")), "left")
     draws = F.aggregate(
         F.sequence(F.lit(1), F.coalesce("_parts", F.lit(1))), F.lit(0),
-        lambda n, j: n + F.size(F.filter("_cuts", lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string")))),
+        lambda n, j: n + let(uniform(F.lit(str(seed)), key, j.cast("string")), lambda u: F.size(F.filter("_cuts", lambda c: c <= u))),
     )
     counted = found.withColumn("n_copies", draws).drop("_source", "_parts", "_cuts").where("n_copies > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))

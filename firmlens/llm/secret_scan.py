@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.sides import sized
+from firmlens.llm.sides import let, sized
 from firmlens.session import materialise
 
 
@@ -27,19 +27,21 @@ def matches(text: Column, pattern: str, group: int) -> Column:
 
     Positions follow from the lengths of the matches and of the pieces between them.
     """
-    gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     span = "struct<start:int,end:int,value:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    none = F.array().cast(f"array<{span}>")
 
-    def step(s: Column, i: Column) -> Column:
-        begin = s["at"] + F.length(F.get(gaps, i))
-        end = begin + F.length(F.get(whole, i))
-        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.get(value, i).alias("value")))).alias("spans"))
+    def walk(m: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            begin = s["at"] + F.length(F.get(m["gaps"], i))
+            end = begin + F.length(F.get(m["whole"], i))
+            return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.get(m["value"], i).alias("value")))).alias("spans"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step)["spans"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{span}>"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(m["whole"]) - 1), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+
+    found = let(F.struct(F.split(text, pattern, -1).alias("gaps"), whole.alias("whole"), value.alias("value")), walk)
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def _tagged(kind: str, order: int, spans: Column) -> Column:

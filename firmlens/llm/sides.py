@@ -1,8 +1,10 @@
-"""Joins by id whose other side may be small: broadcast below a checked number of rows, else shuffled."""
+"""Column and join helpers: a value bound once, and sides of a join that are broadcast below a checked number of rows, else shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.session import materialise
@@ -10,6 +12,11 @@ from firmlens.session import materialise
 ROWS = 2_000_000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once: inside a lambda function a plain expression is computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sized(df: DataFrame, label: str, rows: int = ROWS) -> DataFrame:
     """``df``, written once, with a broadcast hint if it has at most ``rows`` rows."""
     kept = materialise(df, label)
