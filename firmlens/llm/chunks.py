@@ -111,9 +111,9 @@ def text_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 80, **chunking) -> DataFrame:
     """Passages that occur more than once: (doc_id, start, end, n_chunks, first_doc_id, first_start, kept).
 
-    A passage is a run of neighbouring chunks whose digests occur elsewhere too, at least ``min_chars`` code points long. ``first_doc_id``
-    and ``first_start`` are the smallest (doc_id, start) with the digest of the passage's first chunk. ``kept`` marks passages made
-    up of such first occurrences; deduplication removes the others.
+    A passage is a run of neighbouring chunks whose digests occur elsewhere too, at least ``min_chars`` code points long; it is one row, or several
+    where first occurrences and later ones alternate in it. ``first_doc_id`` and ``first_start`` are the smallest (doc_id, start) with the digest of the
+    row's first chunk. ``kept`` marks rows made up of first occurrences; deduplication removes the others.
 
     Null and empty texts have no chunks. Ties go to the smallest document, then the smallest start. Repeated rows are repeats like
     others; rows with a null id are ignored. An empty table gives an empty table. Other columns are ignored.
@@ -125,12 +125,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "doc_id", "n", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
     ).withColumn("kept", (F.col("doc_id") == F.col("first_doc_id")) & (F.col("start") == F.col("first_start")))
     order = W.partitionBy("doc_id").orderBy("start", "end")
-    opens = (F.col("start") != F.lag("end", 1, -1).over(order)) | (F.col("kept") != F.lag("kept", 1).over(order))
-    runs = again.withColumn("run", F.sum(F.coalesce(opens, F.lit(True)).cast("int")).over(order))
+    gap = F.coalesce(F.col("start") != F.lag("end", 1).over(order), F.lit(True))
+    turn = gap | (F.col("kept") != F.lag("kept", 1).over(order))
+    runs = again.withColumn("passage", F.sum(gap.cast("int")).over(order)).withColumn("run", F.sum(turn.cast("int")).over(order))
+    whole = W.partitionBy("doc_id", "passage")
+    runs = runs.where(F.max("end").over(whole) - F.min("start").over(whole) >= min_chars)
     return runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"),
         F.min_by("first_doc_id", "start").alias("first_doc_id"), F.min_by("first_start", "start").alias("first_start"), F.first("kept").alias("kept"),
-    ).where(F.col("end") - F.col("start") >= min_chars).drop("run")
+    ).drop("run")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -62,7 +62,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * np.asarray(margin) + self.shift, -500, 500)))
 
 
-def fit_nnpu(positive: list, unlabelled: list, size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list, unlabelled: list, size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam on the whole sample.
 
     risk = prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]). Where the second part falls below ``-beta`` the step
@@ -85,7 +85,7 @@ def fit_nnpu(positive: list, unlabelled: list, size: int, prior: float, steps: i
         up = np.where(is_pos, -(1 - s) / max(n_pos, 1) * prior, 0.0)
         down = np.where(is_pos, -prior * s / max(n_pos, 1), s / max(n_all - n_pos, 1))
         g = up + down if negative >= -beta else -down
-        grad = np.append(np.bincount(columns, weights=g[owner], minlength=size) + decay * w / max(1, 1), g.sum())
+        grad = np.append(np.bincount(columns, weights=g[owner], minlength=size) + decay * w, g.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -110,11 +110,11 @@ def calibrate(margins: np.ndarray, labels: np.ndarray, steps: int = 200) -> tupl
     return float(max(a[0], 1e-6)), float(a[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, max_negative: int = 4000, max_features: int = 20_000, seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, max_negative: int = 4000, max_features: int = 20_000, evidence: float = 8.0, seed: int = 7) -> Model:
     """Fit on bounded, hash-chosen samples of rows outside the held-out quarter.
 
     Positives are documents labelled toxic; unlabelled text comes from documents without a label (from all, if every one
-    has one). The class prior is the share of toxic labels. Labelled rows, positive and negative, also fix the calibration curve.
+    has one). Features are those more common in positives by a likelihood ratio above ``evidence``, so few positives mean few features. The class prior is the share of toxic labels. Labelled rows, positive and negative, also fix the calibration curve.
     """
     # a label for a document: repeated rows that disagree count as toxic; null labels are none
     marked = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     counted = texts.where("part < 2").mapInPandas(grams, "part int, feature long").groupBy("feature").agg(
         F.sum(F.expr("int(part = 1)")).alias("p"), F.sum(F.expr("int(part = 0)")).alias("u")
     ).where("p + u >= 3")
-    features = [r[0] for r in counted.orderBy(F.desc(gain), "feature").limit(max_features).select("feature").collect()]
+    features = [r[0] for r in counted.where((gain * n_pos > evidence) & (share_p > share_u)).orderBy(F.desc(gain), "feature").limit(max_features).select("feature").collect()]
     index = {f: k for k, f in enumerate(features)}
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
