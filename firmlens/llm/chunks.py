@@ -129,7 +129,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     turn = gap | (F.col("kept") != F.lag("kept", 1).over(order))
     runs = again.withColumn("passage", F.sum(gap.cast("int")).over(order)).withColumn("run", F.sum(turn.cast("int")).over(order))
     whole = W.partitionBy("doc_id", "passage")
-    runs = runs.where(F.max("end").over(whole) - F.min("start").over(whole) >= min_chars)
+    runs = runs.withColumn("chars", F.max("end").over(whole) - F.min("start").over(whole)).where(F.col("chars") >= min_chars)
     return runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"),
         F.min_by("first_doc_id", "start").alias("first_doc_id"), F.min_by("first_start", "start").alias("first_start"), F.first("kept").alias("kept"),
