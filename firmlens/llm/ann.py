@@ -61,13 +61,13 @@ def cells_in_order(first: np.ndarray, second: np.ndarray, counts: np.ndarray, en
 
 def search(
     vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
-    centroids: int = 64, share: float = 0.5, sample: int = 20_000, block: int = 2048, query_block: int = 512,
+    centroids: int = 64, share: float = 0.5, at_least: int = 2000, sample: int = 20_000, block: int = 2048, query_block: int = 512,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows where ``queries`` holds, the ``k`` nearest other rows found, by Euclidean distance.
 
     Both halves of the vectors have ``centroids`` centroids, fitted on at most ``sample`` hash-chosen rows; every distinct vector is an
-    entry of one cell. A query walks cells by summed half distance until they hold ``share`` of all entries and is compared with every
-    entry there. Equal vectors are one entry with their k + 1 smallest ids, which no answer can exceed. Neighbouring cells form blocks of
+    entry of one cell. A query walks cells by summed half distance until they hold ``share`` of all entries, and ``at_least`` so many, and is compared
+    with every entry there. Equal vectors are one entry with their k + 1 smallest ids, which no answer can exceed. Neighbouring cells form blocks of
     about ``block`` entries, a crowded cell fills several, and queries come in blocks of about ``query_block``, so a task holds one block of each.
 
     Vectors that are null, zero, or hold null or non-finite components, and rows with a null id take no part; vectors of another
@@ -100,7 +100,7 @@ def search(
     counts = np.zeros(len(left) * len(right), np.int64)
     for cell, n in entries.groupBy("cell").count().collect():  # at most centroids squared rows
         counts[cell] = n
-    enough = int(np.ceil(share * counts.sum()))
+    enough = max(int(np.ceil(share * counts.sum())), at_least)
     # a cell's entries fill blocks first .. first + parts - 1; small neighbouring cells share one
     begin = np.concatenate(([0], np.cumsum(counts)[:-1])) // block
     parts = np.maximum(1, -(-counts // block))

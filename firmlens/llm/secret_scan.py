@@ -71,9 +71,11 @@ def find_secrets(
         F.coalesce(F.concat(F.lit("="), F.col(repo_col).cast("string")), F.lit("")).alias("repo"),
         F.coalesce(F.concat(F.lit("="), F.col(owner_col).cast("string")), F.lit("")).alias("owner"),
     )
+    def long_enough(spans: Column, least: int) -> Column:
+        return F.filter(spans, lambda s: F.length(s["value"]) >= least)
+
     base = F.concat(*[
-        _tagged(kind, k, F.filter(matches(text, pattern, group), lambda s, n=least: F.length(s["value"]) >= n))
-        for k, (kind, (pattern, group, least)) in enumerate(KINDS.items())
+        _tagged(kind, k, long_enough(matches(text, pattern, group), least)) for k, (kind, (pattern, group, least)) in enumerate(KINDS.items())
     ])
     loose = F.filter(matches(text, LOOSE, 0), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     scanned = source.select("doc_id", "repo", "owner", F.array_sort(base).alias("base"), loose.alias("loose"))

@@ -141,7 +141,7 @@ def test_licence_phrases_and_expressions(spark):
     assert got[11].expressions == ["( MIT OR GPL-2.0-only ) AND Apache-2.0 WITH LLVM-exception"] and got[11].labels == "apache,gpl,mit" and got[11].permissive
     assert got[12].labels == "mit" and got[12].permissive
     assert (got[13].n_base, got[13].first_word, got[13].labels) == (1, 5002, "gpl,lgpl")
-    assert (got[1].n_words, got[1].score, got[1].first_word, got[5].n_words) == (0, 0.0, None, 6)
+    assert (got[1].n_words, got[1].score, got[1].first_word, got[5].n_words) == (0, 0.0, None, 7)
 
 
 def test_shunting_yard_precedence():
@@ -281,7 +281,7 @@ def test_neighbours_by_brute_force(spark):
     rows += [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None] * 8), (904, [float("inf")] * 8)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for q in ann.search(table, F.col("vec_id") % 100 == 0, share=1.0, block=64, query_block=4).orderBy("query_id", "rank").collect():
+    for q in ann.search(table, F.col("vec_id") % 100 == 0, block=64, query_block=4).orderBy("query_id", "rank").collect():
         got.setdefault(q.query_id, []).append(q.vec_id)
     y = x.astype(float)
     for q in range(0, 600, 100):
