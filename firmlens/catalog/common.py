@@ -145,7 +145,7 @@ cte("winsorized", "samples", winsor_select("samples", "sample", P.WINSOR_VARS))
 
 cte("folds_grouped", "samples", """
 SELECT company, industry, CAST((row_number() OVER (PARTITION BY industry ORDER BY md5(concat_ws(':', '42', 'grouped', company)), company) - 1) % 5 + 1 AS INTEGER) AS fold_id
-FROM (SELECT company, min(industry) AS industry FROM samples GROUP BY company)""")
+FROM (SELECT company, arg_min(industry, (-n, industry)) AS industry FROM (SELECT company, industry, count(*) AS n FROM samples GROUP BY ALL) GROUP BY company)""")
 
 cte("folds_row", "samples", """
 SELECT sample, company, year, industry, CAST(CASE WHEN n = 1 THEN CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 5 + 1 ELSE (pos - 1) % least(n, 5) + 1 END AS INTEGER) AS fold_id

@@ -47,7 +47,7 @@ def em_sql(src: str, prefix: str, steps: int) -> str:
         out.append(f"{prefix}_{t} AS MATERIALIZED (SELECT {k}, max(w) * avg(p / dd) AS w FROM (SELECT d.{k.replace(', ', ', d.')}, p, w, sum(p * w) OVER (PARTITION BY d.scheme, d.target_space, company, year) AS dd FROM {prefix}_d d JOIN {prefix}_{t - 1} w USING ({k})) GROUP BY {k})")
     last = f"{prefix}_{steps}"
     out.append(f"{prefix}_e AS MATERIALIZED (SELECT {k}, sum(lpd_obs) AS elpd FROM {prefix}_d GROUP BY {k})")
-    out.append(f"{prefix}_b AS (SELECT {g}, arg_max(model_key, (elpd, model_key)) AS best, max(elpd) AS best_elpd FROM {prefix}_e GROUP BY {g})")
+    out.append(f"{prefix}_b AS (SELECT {g}, arg_min(model_key, (-elpd, model_key)) AS best, max(elpd) AS best_elpd FROM {prefix}_e GROUP BY {g})")
     out.append(f"{prefix}_o AS (SELECT {g}, sum(l) AS obj FROM (SELECT d.scheme, d.target_space, company, year, max(m) + ln(sum(p * w)) AS l FROM {prefix}_d d JOIN {last} w USING ({k}) GROUP BY ALL) GROUP BY {g})")
     out.append(f"""{prefix}_final AS (SELECT w.scheme, w.target_space, w.model_key, CASE WHEN obj < best_elpd - 1e-6 THEN CASE WHEN w.model_key = best THEN 1.0 ELSE 0.0 END ELSE w.w END AS weight, elpd AS singleton_elpd, best AS best_singleton
  FROM {last} w JOIN {prefix}_e e USING ({k}) JOIN {prefix}_b USING ({g}) JOIN {prefix}_o USING ({g}))""")

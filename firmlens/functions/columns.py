@@ -53,7 +53,7 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
 
 def negative_flag(c: str | Column) -> Column:
     c = as_col(c)
-    return F.when(c.isNotNull(), (c < 0).cast("int"))
+    return F.when(~missing(c), (c < 0).cast("int"))
 
 
 def clamp(c: str | Column, lo: str | Column, hi: str | Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firmlens.functions.columns import order_hash
+from firmlens.operators.aggregates import dominant_category
 from firmlens.operators.aggregates import distribution_text
 from firmlens.operators.ordered import rank_rows
 
@@ -20,9 +21,9 @@ def hash_fold(h: Column, k: int) -> Column:
 def grouped_folds(df: DataFrame, k: int, seed: int = SEED, stratified: bool = True, firm: str = "company", stratum: str = "industry") -> DataFrame:
     """Whole firms dealt round-robin in hash order, inside each stratum or over all firms.
 
-    The deal uses distributed ranks, so one stratum may hold any share of the firms.
+    A firm's stratum is the one most of its rows name, the first alphabetically on ties. The deal uses distributed ranks, so one stratum may hold any share of the firms.
     """
-    firms = df.groupBy(firm).agg(F.min(stratum).alias(stratum))
+    firms = dominant_category(df, firm, stratum).select(firm, F.col(f"dominant_{stratum}").alias(stratum))
     h = order_hash(seed, "grouped", F.col(firm))
     ranked = rank_rows(firms.withColumn("_h", h), [stratum] if stratified else [], [F.col("_h"), F.col(firm)], "_r")
     return ranked.select(firm, stratum, ((F.col("_r") - 1) % k + 1).cast("int").alias("fold_id"))

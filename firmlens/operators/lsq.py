@@ -21,7 +21,8 @@ from firmlens.functions.columns import all_present, normal_log_density
 from firmlens.operators.infer import t_two_sided
 
 ONE = "_one"
-PIVOT_TOL = 1e-9
+PIVOT_TOL = 1e-9  # of the variation left after the first kept column (the intercept)
+ROUNDING = 1e-14  # below this share of a column's sum of squares nothing but rounding is left
 
 
 def term_column(term: str) -> Column:
@@ -152,7 +153,8 @@ def solve(g: np.ndarray, xs: list[int], y: int) -> tuple[np.ndarray, np.ndarray,
         a = g[kept, c] / (s[kept] * s[c]) if kept else np.zeros(0)
         z = np.linalg.solve(low, a) if kept else a
         d = 1.0 - z @ z
-        if d < PIVOT_TOL:
+        centred = 1.0 - z[0] ** 2 if kept else 1.0
+        if d < max(PIVOT_TOL * centred, ROUNDING):
             continue
         k = len(kept)
         new = np.zeros((k + 1, k + 1))
@@ -230,8 +232,8 @@ def coefficients(fits: DataFrame, keys: list[str], design: Design, terms: list[s
     spare = F.col("n") - F.col("rank")
     sigma2 = F.when(spare > 0, F.col("rss") / spare)
     rows = F.array(*[
-        F.struct(F.lit(t).alias("term"), F.col("beta")[names.index(t)].alias("estimate"),
-                 F.sqrt(sigma2 * F.col("inv")[names.index(t) * p + names.index(t)]).alias("std_error")) for t in terms
+        F.struct(F.lit(t).alias("term"), F.when(F.col("inv")[names.index(t) * (p + 1)] != 0, F.col("beta")[names.index(t)]).alias("estimate"),
+                 F.when(F.col("inv")[names.index(t) * (p + 1)] != 0, F.sqrt(sigma2 * F.col("inv")[names.index(t) * (p + 1)])).alias("std_error")) for t in terms
     ])
     r2 = F.when(F.col("tss") > 0, 1 - F.col("rss") / F.col("tss"))
     return fits.select(
@@ -293,8 +295,9 @@ def clustered(fits: DataFrame, scored: DataFrame, keys: list[str], design: Desig
             v, status = np.full((p, p), np.nan), "no_degrees_of_freedom"
         elif status.startswith("fallback"):
             v = f["rss"] / (n - k) * inv
-        se = np.sqrt(np.clip(np.diag(v)[pos], 0, None))
-        est = beta[pos]
+        lost = np.diag(inv)[pos] == 0  # a dropped term has no estimate
+        se = np.where(lost, np.nan, np.sqrt(np.clip(np.diag(v)[pos], 0, None)))
+        est = np.where(lost, np.nan, beta[pos])
         t = np.where(se > 0, est / np.where(se > 0, se, 1.0), np.nan)
         return pd.DataFrame({
             **{c: [x] * len(pos) for c, x in zip(ks, key)}, "term": terms, "estimate": est, "std_error": se, "t_value": t,

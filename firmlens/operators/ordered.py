@@ -137,7 +137,9 @@ def quantiles_long(df: DataFrame, keys: list[str], probs: list[float], value: st
         k2 = F.least(k1 + 1, F.col("_n"))
         for tag, k in (("a", k1), ("b", k2)):
             hit = (F.col("_lo") < k) & (k <= F.col("_hi"))
-            aggs.append(F.max(F.when(hit, F.col("_x0"))).alias(f"_{tag}{i}"))
+            astray = (F.col("_n") > small) & F.col("_v").isNull()
+            value_at = F.when(astray, F.raise_error(F.lit("a wanted rank fell outside its bracket")).cast("double")).otherwise(F.col("_x0"))
+            aggs.append(F.max(F.when(hit, value_at)).alias(f"_{tag}{i}"))
     agg = hist.groupBy(*keys).agg(*aggs)
     qs = []
     for i, p in enumerate(probs):

@@ -68,7 +68,7 @@ def rolling_sd3(x: str) -> Column:
 
 def clean_rows(df: DataFrame, base_year: int) -> DataFrame:
     """Drop rows without usable assets, apply the zero rule, drop the base year, normalise the key."""
-    df = df.filter((F.col("a") != 0) & (F.col("year") > base_year))
+    df = df.filter((F.col("a") != 0) & ~missing("a") & (F.col("year") > base_year))
     return df.withColumns({c: zero_missing(c) for c in ZERO_IS_MISSING}).withColumn("company", join_key("company"))
 
 

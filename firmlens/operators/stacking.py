@@ -190,14 +190,19 @@ def optimal_weights(rows: DataFrame, groups: list[str], members: dict[tuple, lis
             x = _quadratic_step(w[g], now[g][1], now[g][2], members[g])
             x = 1e-3 * w[g] + (1 - 1e-3) * x / x.sum()  # stay inside, so the next density is positive
             aim[g] = np.where(x > 1e-14, x, 0.0) / x.sum()
-        for _ in range(30):
+        for _ in range(60):
             trial = _curvature(rows, groups, {**w, **aim}, k)
             worse = [g for g in aim if trial[g][0] < now[g][0] - 1e-13]
             if not worse:
                 break
             for g in worse:
                 aim[g] = (aim[g] + w[g]) / 2
+        else:
+            raise RuntimeError("stacking weights: no step along the search direction improves the objective")
         w, now = {**w, **aim}, trial
+    else:
+        if any(max(now[g][1][i] for i in members[g]) - 1.0 >= tol for g in todo):
+            raise RuntimeError(f"stacking weights did not converge in {max_steps} rounds")
     return {g: (v / v.sum()).tolist() for g, v in w.items()}
 
 
@@ -219,7 +224,9 @@ def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_k
     for r in table:
         g = tuple(r[c] for c in groups)
         members.setdefault(g, []).append(models.index(r[key]))
-        best[g] = max(best.get(g, (-math.inf, "")), (r.singleton_elpd, r[key]))
+        at = best.get(g)
+        if at is None or (-r.singleton_elpd, r[key]) < (-at[0], at[1]):  # the first key on ties, as in singleton_weights
+            best[g] = (r.singleton_elpd, r[key])
     rows = materialise(density_rows(obs, groups, ids, models, key, lpd), "densities")
     k = len(models)
     w = em_weights(rows, groups, members, k, em_steps) if em_steps else optimal_weights(rows, groups, members, k, tol)

@@ -228,3 +228,33 @@ def test_autocovariance_blocks_and_ess(spark):
     rh = D.rank_rhat(dr, ["parameter"]).first()
     w, b = z.var(axis=1, ddof=1).mean(), z.mean(axis=1).var(ddof=1)
     assert rh.rhat_bulk == pytest.approx(np.sqrt((149 / 150 * w + b) / w), rel=1e-6) and rh.rhat >= rh.rhat_bulk
+
+
+def test_large_mean_regressor_is_not_taken_for_the_intercept():
+    import numpy as np
+
+    from firmlens.operators.lsq import solve
+
+    r = np.random.default_rng(1)
+    x = 1e5 + r.standard_normal(500)
+    a = np.c_[np.ones(500), x, 2 * x + 3, 5 + 2 * x + 0.1 * r.standard_normal(500)]
+    beta, inv, rank, _ = solve(a.T @ a, [0, 1, 2], 3)
+    assert rank == 2 and abs(beta[1] - 2) < 1e-2 and inv[2, 2] == 0
+
+
+def test_negative_flag_and_clean_rows_ignore_nan(spark):
+    from firmlens.functions.columns import negative_flag
+    from firmlens.operators.panel import clean_rows, drop_counts
+
+    rows = [("A", 2016, float("nan"), 1.0, 1.0, 1.0), ("B", 2016, 2.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "company string, year int, a double, rec double, ppe double, cogs double")
+    assert [r[0] for r in df.select(negative_flag("a")).collect()] == [None, 0]
+    assert clean_rows(df, 2015).count() == drop_counts(df, 2015).first().n_kept == 1
+
+
+def test_folds_are_dealt_inside_the_dominant_industry(spark):
+    from firmlens.operators.cv import grouped_folds
+
+    rows = [("A", y, "Z" if y > 2015 else "B") for y in (2015, 2016, 2017)] + [("C", 2015, "Y"), ("C", 2016, "X")]
+    got = {r.company: r.industry for r in grouped_folds(spark.createDataFrame(rows, "company string, year int, industry string"), 2).collect()}
+    assert got == {"A": "Z", "C": "X"}
