@@ -17,7 +17,7 @@ from firmlens.operators import panel as P
 from firmlens.operators import stacking as ST
 from firmlens.operators.joins import full_weights
 from firmlens.plans import scoring
-from firmlens.plans.models import FORMULAS
+from firmlens.plans.models import FORMULAS, SPACE_MODELS
 
 # --- outcome regressions ------------------------------------------------------------------------------
 
@@ -186,7 +186,7 @@ def _(spark, d):
 # --- held-out scores -------------------------------------------------------------------------------------
 
 GRID = [0.0, 0.05, 0.2, 0.5, 1.0, 2.0]
-MODELS = {"real_time": ["M01", "M03", "M09"], "ex_post": ["M01", "M03", "M04"]}
+MODELS = SPACE_MODELS
 ALL_TERMS = list(dict.fromkeys(t for ms in MODELS.values() for m in ms for t in FORMULAS[m]))
 SY = [1997, 1998, 1999, 2000, 2001]
 SP = S.width(ALL_TERMS, SY)
