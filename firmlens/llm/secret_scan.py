@@ -54,13 +54,15 @@ def _text_of(spans: Column) -> Column:
 
 def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3,
+    example_repos: int = 10,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``base`` and ``spans`` (arrays of start, order, end, kind, value) and ``n_live``, ``n_example``.
 
     ``base`` holds the kinds of ``KINDS``, leftmost and non-overlapping per kind. Every candidate value, with the loose strings of
-    20 or more characters that mix letters and digits, is counted over the whole corpus by distinct repositories and owners. A value
-    that ``example_owners`` or more owners hold is a widely copied example; one of fewer owners that holds 8 or more distinct characters and no made-up piece
-    is live-looking. Live-looking loose strings that touch no base span are added to ``spans`` as kind ``owned``.
+    20 or more characters that mix letters and digits, is counted over the whole corpus by distinct owners and by repositories, told apart within their owner. A value
+    that ``example_owners`` or more owners, or ``example_repos`` or more repositories hold is a widely copied example; another one that holds 8 or more
+    distinct characters and no made-up piece is live-looking. Live-looking loose strings that touch no base span are added to ``spans`` as kind ``owned``.
+    Values are counted by their SHA-256, so that long ones are not shuffled.
 
     Null text is scanned as empty and has no spans. A null owner or repository counts as one of its own. Rows that repeat an id keep
     their own spans. An empty table gives an empty table.
@@ -83,22 +85,25 @@ def find_secrets(
     scanned = scanned.select("doc_id", "repo", "owner", "base", _tagged("owned", len(KINDS), apart).alias("loose"))
     scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
 
-    candidates = scanned.select("row", "repo", "owner", F.explode(F.concat("base", "loose")).alias("c")).select("row", "repo", "owner", F.col("c.value").alias("value"), "c")
+    value = F.col("c.value")
+    likely = (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~value.rlike(MADE_UP)
+    every = scanned.select("row", "repo", "owner", F.size("base").alias("n_base"), F.posexplode(F.concat("base", "loose")).alias("at", "c"))
+    candidates = every.select("row", "repo", "owner", (F.col("at") - F.col("n_base")).alias("at"), F.unhex(F.sha2(value, 256)).alias("key"), likely.alias("likely"))
     counts = (
-        candidates.groupBy("value", "owner", "repo").agg(F.lit(1).alias("n"))
-        .groupBy("value", "owner").agg(F.sum("n").alias("n"))
-        .groupBy("value").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+        candidates.groupBy("key", "owner", "repo").agg(F.lit(1).alias("n"))
+        .groupBy("key", "owner").agg(F.sum("n").alias("n"))
+        .groupBy("key").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
     )
-    counts = materialise(counts, "owners")
-    distinct = F.size(F.array_distinct(F.split("value", "")))
-    live = (F.col("n_owners") < example_owners) & (distinct >= 8) & ~F.col("value").rlike(MADE_UP)
-    judged = candidates.join(counts, "value").select("row", "c", live.alias("live"), (F.col("n_owners") >= example_owners).alias("example"))
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    counts = materialise(counts.select("key", example.alias("example")), "owners")
+    judged = candidates.join(counts, "key").select("row", "at", (F.col("likely") & ~F.col("example")).alias("live"), "example")
     per_row = judged.groupBy("row").agg(
         F.sum(F.col("live").cast("long")).alias("n_live"), F.sum(F.col("example").cast("long")).alias("n_example"),
-        F.collect_list(F.when(F.col("live") & (F.col("c.kind") == "owned"), F.col("c"))).alias("owned"),
+        F.collect_list(F.when(F.col("live") & (F.col("at") >= 0), F.col("at"))).alias("owned"),
     )
-    return scanned.select("row", "doc_id", "base").join(per_row, "row", "left").select(
-        "doc_id", "base", F.array_sort(F.when(F.col("owned").isNull(), F.col("base")).otherwise(F.concat("base", "owned"))).alias("spans"),
+    added = F.filter("loose", lambda c, i: F.array_contains("owned", i))
+    return scanned.select("row", "doc_id", "base", "loose").join(per_row, "row", "left").select(
+        "doc_id", "base", F.array_sort(F.when(F.col("owned").isNull(), F.col("base")).otherwise(F.concat("base", added))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )
 

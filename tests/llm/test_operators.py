@@ -199,6 +199,16 @@ def test_secret_spans_and_owners(spark):
     assert clean[12] == "[secret] here" and clean[13] == rows[8][1] and clean[1] is None and hexa not in clean[10]
 
 
+def test_value_in_many_documents_of_one_source_is_an_example(spark):
+    rows = [(k, "xK9fQ2mZ7pLw4RtY8uBv here", "en", "hot") for k in range(10)]
+    rows += [(20 + k, "zz9fQ2mZ7pLw4RtY8uBv and token: Qw3rTy7uIopL", "en", "hot" if k % 2 else "b") for k in range(9)] + [(28, "zz9fQ2mZ7pLw4RtY8uBv", "en", "b")]
+    got = secret_scan.digest(secret_scan.find_secrets(docs(spark, rows))).collect()
+    assert all((r.spans, r.n_live, r.n_example) == ("", 0, 1) for r in got if r.doc_id < 10)
+    assert sum(r.doc_id >= 20 for r in got) == 10 and all(r.spans.startswith("owned:0:20") and r.n_live >= 1 and r.n_example == 0 for r in got if r.doc_id >= 20)
+    few = secret_scan.digest(secret_scan.find_secrets(docs(spark, rows), example_repos=11)).collect()
+    assert all((r.spans, r.n_live) == ("owned:0:20", 1) for r in few if r.doc_id < 10)
+
+
 def test_contamination_by_brute_force(spark):
     items = [(1, prose(1, 30)), (2, prose(2, 12)), (3, "one two"), (4, None), (5, prose(5, 40)), (5, prose(5, 40))]
     r = random.Random(1)
