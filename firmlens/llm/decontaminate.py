@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.sides import drop_ids, let
+from firmlens.llm.sides import keyed, let, sized
 from firmlens.session import materialise
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -75,5 +75,10 @@ def contaminated(
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item; all columns of ``docs`` are kept. Rows with a null id are not searched and stay."""
-    return drop_ids(docs, contaminated(docs, items, id_col, **options).select("doc_id"), id_col)
+    """The rows whose own text holds no item; all columns of ``docs`` are kept.
+
+    Rows are searched and dropped by a written key: ``id_col`` is not read, so rows with a repeated or null id are judged like others.
+    """
+    rows, key = keyed(docs, "searched")
+    held = contaminated(rows, items, key, **options).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(sized(held, "dropped"), key, "left_anti").select(*docs.columns)

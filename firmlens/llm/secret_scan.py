@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.sides import let, sized
+from firmlens.llm.sides import keyed, let, sized
 from firmlens.session import materialise
 
 
@@ -117,8 +117,13 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; all columns are kept, clean texts unchanged. Ids must be unique; null ids are left alone."""
-    found = find_secrets(docs, id_col, text_col, **options).where("size(spans) > 0").select(F.col("doc_id").alias(id_col), F.col("spans").alias("_spans"))
+    """``docs`` with every span replaced by ``mark``; all columns are kept, clean texts unchanged.
+
+    Spans meet their text by a written key, so every row is masked by its own spans and stays one row, whether its id is unique, repeated or null.
+    ``id_col`` is the repository of a row unless ``repo_col`` is given.
+    """
+    rows, key = keyed(docs, "texts")
+    found = find_secrets(rows, key, text_col, **{"repo_col": id_col, **options}).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("spans").alias("_spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(s: Column, x: Column) -> Column:
@@ -128,4 +133,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     folded = F.aggregate("_spans", start, step)
     rest = F.substring(F.col(text_col), folded["at"] + 1, F.length(text_col))
     clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(folded["done"], rest))
-    return docs.join(sized(found, "redacted"), id_col, "left").withColumn(text_col, clean).select(*docs.columns)
+    return rows.join(sized(found, "redacted"), key, "left").withColumn(text_col, clean).select(*docs.columns)

@@ -23,6 +23,9 @@ def sized(df: DataFrame, label: str, rows: int = ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the only column of ``ids``. Rows with a null id stay."""
-    return docs.join(sized(ids.toDF(id_col).where(F.col(id_col).isNotNull()).distinct(), "dropped"), id_col, "left_anti").select(*docs.columns)
+def keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs``, written once with a long key of its own for each row, and the name of that column. Ids may repeat or be null; keys do neither."""
+    key = "_row"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), label), key

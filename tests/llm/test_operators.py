@@ -226,6 +226,22 @@ def test_contamination_by_brute_force(spark):
     assert {x.doc_id for x in decontaminate.without_benchmark(docs(spark, rows), table).collect()} == set(sets) - {i for i, _ in want}
 
 
+def test_rows_with_repeated_and_null_ids_get_every_stage(spark):
+    key = "xK9fQ2mZ7pLw4RtY8uBv"
+    near, item = prose(1, 60), prose(2, 30)
+    secret = [(1, f"{key} here", "en", "a"), (1, f"{key} here", "en", "a"), (1, f"a longer start, then {key}", "en", "a"), (1, "plain", "en", "a"), (None, f"null {key}", "en", "a"), (None, None, "en", "a")]
+    masked = [r.text for r in secret_scan.redact(docs(spark, secret)).collect()]
+    assert sorted(map(str, masked)) == sorted(["[secret] here", "[secret] here", "a longer start, then [secret]", "plain", "null [secret]", "None"])
+
+    copies = [(2, near, "en", "a"), (1, near, "en", "a"), (1, near, "en", "a"), (1, prose(3, 60), "en", "a"), (None, f"{near} end", "en", "a"), (None, prose(4, 60), "en", "a"), (None, prose(4, 60), "fr", "b"), (None, "", "en", "a"), (1, None, "en", "a")]
+    left = [(r.doc_id, r.text) for r in jaccard.one_per_group(docs(spark, copies)).collect()]
+    assert sorted(left, key=str) == sorted([(1, near), (1, prose(3, 60)), (None, prose(4, 60)), (None, ""), (1, None)], key=str)
+
+    leaks = [(1, f"{prose(5, 20)} {item}", "en", "a"), (1, prose(6, 50), "en", "a"), (None, f"{item} {prose(7, 9)}", "en", "a"), (None, prose(8, 40), "en", "a"), (None, None, "en", "a")]
+    clean = [(r.doc_id, r.text) for r in decontaminate.without_benchmark(docs(spark, leaks), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()]
+    assert sorted(clean, key=str) == sorted([(1, prose(6, 50)), (None, prose(8, 40)), (None, None)], key=str)
+
+
 def crc(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
