@@ -318,6 +318,22 @@ def test_neighbours_by_brute_force(spark):
     assert len(few) == 6
 
 
+def test_recall_where_the_walk_stops_early(spark):
+    x = np.random.default_rng(4).standard_normal((1500, 32)).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(1500)], "vec_id long, embedding array<float>")
+    asked = range(0, 1500, 15)
+    want = {(q, i) for q in asked for i in [j for j in np.argsort(((x.astype(float) - x[q]) ** 2).sum(1), kind="stable") if j != q][:10]}
+
+    def recall(**walk):
+        got = ann.search(table, F.col("vec_id") % 15 == 0, centroids=16, block=64, query_block=40, **walk).collect()
+        return len(want & {(r.query_id, r.vec_id) for r in got}) / len(want)
+
+    few, half = recall(share=0.02, at_least=0), recall(at_least=0)
+    print("recall", few, half)
+    assert few < 0.9 * half and 0.9 < half < 1  # below 1: the walk left cells out
+    assert recall() == 1  # the floor of 2,000 entries makes it exhaustive here
+
+
 def test_word_hashes_ignore_case_and_white_space():
     import pyarrow as pa
 
