@@ -186,3 +186,11 @@ def op1_co_training_quality(spark, d):
     from firmlens.llm.quality import score_quality
 
     return score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op11_importance_resampling(spark, d):
+    from firmlens.llm.resample import draw, weigh
+
+    drawn = draw(weigh(table(spark, d, "documents"), table(spark, d, "benchmark")))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
