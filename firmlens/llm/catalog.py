@@ -194,3 +194,20 @@ def op11_importance_resampling(spark, d):
 
     drawn = draw(weigh(table(spark, d, "documents"), table(spark, d, "benchmark")))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query
+def op12_sharded_warc(spark, d):
+    from firmlens.llm.warc import read_archives, write_archives
+
+    root, _ = write_archives(table(spark, d, "pages"))
+    return read_archives(spark, root, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+ORACLES["op12_sharded_warc"] = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to, url
+FROM p LEFT JOIN g ON p.h = g.h
+"""
