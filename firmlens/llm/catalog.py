@@ -211,3 +211,11 @@ SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, digest AS payload_
   CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to, url
 FROM p LEFT JOIN g ON p.h = g.h
 """
+
+
+@query
+def op13_conversation_repair(spark, d):
+    from firmlens.llm.conversation import damage, repaired_report
+
+    convs = table(spark, d, "conversations")
+    return repaired_report(convs, damage(convs))
