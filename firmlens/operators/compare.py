@@ -24,14 +24,14 @@ def top_n(n: Column, share: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * F.lit(share))).cast("long")
 
 
-def ranked_scores(df: DataFrame, keys: list[str], score: str, ids: list[str] = ["company", "year"], share: float = 0.05, nonfinite_last: bool = False) -> DataFrame:
-    """Total-order rank (score down, then ids) with the top-share flag.
+def ranked_scores(df: DataFrame, keys: list[str], score: str, ids: list[str] = ["company", "year"], share: float = 0.05, nonfinite_last: bool = False, average: bool = False) -> DataFrame:
+    """Total-order rank (score down, then ids) with the top-share flag, and the ``average_rank`` of equal scores if wanted.
 
     Non-finite scores are dropped, or ranked last when ``nonfinite_last`` is set.
     """
     s = F.when(finite(score), F.col(score)).otherwise(F.lit(float("-inf"))) if nonfinite_last else F.col(score)
     base = df.withColumn(score, s) if nonfinite_last else df.filter(finite(score))
-    ranked = rank_rows(base, keys, [F.desc(score), *[F.col(c) for c in ids]])
+    ranked = rank_rows(base, keys, [F.desc(score), *[F.col(c) for c in ids]], tied=score if average else None)
     n = base.groupBy(*keys).agg(F.count("*").alias("n"))
     j = ranked.join(n, keys)
     return j.withColumn("top_n", top_n(F.col("n"), share)).withColumn("top_flag", F.col("rank") <= F.col("top_n"))
@@ -54,7 +54,7 @@ def _both_sides(df: DataFrame, keys: list[str], a: str, b: str, ids: list[str],
             F.struct(F.lit("b").alias("side"), F.col(b).cast("double").alias("score")),
         ))
     )
-    return materialise(ranked_scores(joint, keys + ["side"], "score", ids, share), "ranked")
+    return materialise(ranked_scores(joint, keys + ["side"], "score", ids, share, average=True), "ranked")
 
 
 def _membership(ranked: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
@@ -84,10 +84,9 @@ def matched_comparison(df: DataFrame, keys: list[str], a: str, b: str, ids: list
         F.count_if(cls == "a_only").alias("only_a_n"), F.count_if(cls == "b_only").alias("only_b_n"),
         F.count_if(cls == "neither").alias("neither_n"),
     )
-    tied = ranked.groupBy(*ks, "score").agg(F.avg("rank").alias("_avg"))
-    mean_rank = ranked.join(tied, ks + ["score"]).groupBy(*keys, *ids).agg(
-        F.max(F.when(F.col("side") == "a", F.col("_avg"))).alias("_ra"),
-        F.max(F.when(F.col("side") == "b", F.col("_avg"))).alias("_rb"),
+    mean_rank = ranked.groupBy(*keys, *ids).agg(
+        F.max(F.when(F.col("side") == "a", F.col("average_rank"))).alias("_ra"),
+        F.max(F.when(F.col("side") == "b", F.col("average_rank"))).alias("_rb"),
     )
     rho = mean_rank.groupBy(*keys).agg(correlation("_ra", "_rb").alias("spearman"))
     ties = cutoff_ties(ranked, ks, "score").groupBy(*keys).agg(

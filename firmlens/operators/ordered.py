@@ -36,15 +36,43 @@ def _join_blocks(rows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFra
     return rows.join(renamed, cond, "left").drop(*[f"_b_{c}" for c in on])
 
 
-def rank_rows(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
-    """``row_number`` over (keys, order). ``order`` must be total for a deterministic answer."""
+def rank_rows(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank", tied: str | None = None, average: str = "average_rank") -> DataFrame:
+    """``row_number`` over (keys, order). ``order`` must be total for a deterministic answer.
+
+    With ``tied``, the column that ``order`` begins with, also ``average``: the mean rank of the rows that share its value. A
+    value's rows may fill many blocks of the sort; counts of the first and last value of each block carry them over its edges.
+    """
     rows = _placed(df, keys, order)
-    blocks = rows.groupBy(*keys, _BLOCK).agg(F.min(_POS).alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = _join_blocks(rows, blocks.drop("_n"), keys)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    if tied is None:
+        blocks = rows.groupBy(*keys, _BLOCK).agg(F.min(_POS).alias("_first"), F.count("*").alias("_n"))
+        joined = _join_blocks(rows, blocks.select(*keys, _BLOCK, "_first", offset), keys)
+    else:
+        runs = rows.groupBy(*keys, _BLOCK, F.col(tied).alias("_v")).agg(F.min(_POS).alias("_s"), F.count("*").alias("_c"))
+        ends = runs.groupBy(*keys, _BLOCK).agg(
+            F.min("_s").alias("_first"), F.sum("_c").alias("_n"), F.min_by("_v", "_s").alias("_v0"), F.min_by("_c", "_s").alias("_c0"), F.max_by("_v", "_s").alias("_v1"), F.max_by("_c", "_s").alias("_c1"),
+        ).select("*", offset)
+        # One row per block: a value on both its edges fills it. Equal edge values lie in neighbouring blocks.
+        parts = F.array(F.struct(F.col("_v0").alias("_v"), F.col("_c0").alias("_c")), F.struct(F.col("_v1").alias("_v"), F.col("_c1").alias("_c")))
+        edges = ends.select(*keys, _BLOCK, F.inline(F.when(F.col("_v0").eqNullSafe(F.col("_v1")), F.slice(parts, 1, 1)).otherwise(parts)))
+        same = W.partitionBy(*keys, "_v").orderBy(_BLOCK)
+        edges = edges.select(
+            *keys, F.col(_BLOCK).alias("_eb"), "_v", F.coalesce(F.sum("_c").over(same.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
+            F.coalesce(F.sum("_c").over(same.rowsBetween(1, W.unboundedFollowing)), F.lit(0)).alias("_later"),
+        )
+        carried = edges.groupBy(*keys, F.col("_eb").alias(_BLOCK)).agg(F.max("_earlier").alias("_earlier"), F.max("_later").alias("_later"))
+        blocks = _join_blocks(ends.select(*keys, _BLOCK, "_first", "_offset", "_v0", "_v1"), carried, keys)
+        run = W.partitionBy(*keys, _BLOCK, tied)  # rows of one value in one block
+        joined = _join_blocks(rows.select("*", F.min(_POS).over(run).alias("_r0"), F.max(_POS).over(run).alias("_r1")), blocks, keys)
     rank = F.col("_offset") + (F.col(_POS) - F.col("_first")) + F.lit(1)
-    return joined.withColumn(out, rank.cast("long")).drop(_POS, _BLOCK, "_first", "_offset")
+    ranked = joined.withColumn(out, rank.cast("long"))
+    if tied is not None:
+        early = F.when(F.col(tied).eqNullSafe(F.col("_v0")), F.col("_earlier")).otherwise(F.lit(0))
+        late = F.when(F.col(tied).eqNullSafe(F.col("_v1")), F.col("_later")).otherwise(F.lit(0))
+        middle = F.col("_offset") - F.col("_first") + 1 + (F.col("_r0") - early + F.col("_r1") + late) / 2
+        ranked = ranked.withColumn(average, middle).drop("_v0", "_v1", "_earlier", "_later", "_r0", "_r1")
+    return ranked.drop(_POS, _BLOCK, "_first", "_offset")
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, tuple[str, str]]) -> DataFrame:
@@ -86,11 +114,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], totals: dict[st
 
 
 def average_ranks(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Ascending rank with ties averaged, via distinct values so that ties never pile up."""
-    counts = df.groupBy(*keys, col).agg(F.count("*").alias("_c"))
-    scanned = running(counts, keys, [F.col(col)], {"_before": ("sum_before", "_c")})
-    ranks = scanned.select(*keys, col, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(ranks, keys + [col])
+    """Ascending rank with ties averaged, from one sorted scan: equal values are dealt over its blocks by row number."""
+    spread = df.withColumn("_deal", F.monotonically_increasing_id())
+    return rank_rows(spread, keys, [F.col(col), F.col("_deal")], "_place", col, out).drop("_deal", "_place")
 
 
 def unpivot(df: DataFrame, keys: list[str], cols: list[str], name: str = "variable", value: str = "x") -> DataFrame:
@@ -98,55 +124,152 @@ def unpivot(df: DataFrame, keys: list[str], cols: list[str], name: str = "variab
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, cols, name, value)
 
 
-def quantiles_long(df: DataFrame, keys: list[str], probs: list[float], value: str = "x", accuracy: int = 10000) -> DataFrame:
+MARGIN = 2  # pivots lie this many errors of the sketch on both sides of a wanted fraction
+FAN = 64  # pivots of a further round
+BOUND = 1 << 15  # distinct values of one interval that are put in order in one row
+
+
+def _celled(values: DataFrame, pivots: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``values`` joined with ``pivots`` (keys, _p: ``n`` rising values), with ``_cell``: pivots below plus pivots not above, which rises with the value."""
+    flat = pivots.selectExpr("*", *[f"get(_p, {j}) AS _p{j}" for j in range(n)])
+    passed = " + ".join(f"CAST(_x > _p{j} AS INT) + CAST(_x >= _p{j} AS INT)" for j in range(n))
+    return _on(values, flat, keys).withColumn("_cell", F.expr(passed)).drop(*[f"_p{j}" for j in range(n)])
+
+
+def _pivot(cell: Column) -> Column:
+    """The pivot that a cell lies on, or null for a cell between two: an even cell is on a pivot that occurs more than once, or on none."""
+    j = F.shiftright(cell, 1)
+    again = (j > 0) & (F.get("_p", j - 1) == F.get("_p", j))
+    return F.when((cell % 2 == 1) | again, F.get("_p", j))
+
+
+def _locate(counts: Column, k: Column) -> Column:
+    """(cell, before, rows, values): where the k-th row falls in sorted (cell, rows, values) and how many rows come before that cell."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(_SPOT).alias("spot"))
+
+    def step(s: Column, c: Column) -> Column:
+        here = F.struct(c["_cell"].alias("cell"), s["seen"].alias("before"), c["_c"].alias("rows"), c["_d"].alias("values"))
+        return F.struct((s["seen"] + c["_c"]).alias("seen"), F.when(s["spot"].isNull() & (k <= s["seen"] + c["_c"]), here).otherwise(s["spot"]).alias("spot"))
+
+    return F.aggregate(counts, start, step)["spot"]
+
+
+_SPOT = "struct<cell:int,before:bigint,rows:bigint,values:bigint>"
+
+
+def _nth(values: Column, k: Column) -> Column:
+    """The k-th row of sorted (value, rows)."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("x"))
+    step = lambda s, v: F.struct((s["seen"] + v["_c"]).alias("seen"), F.when(s["x"].isNull() & (k <= s["seen"] + v["_c"]), v["_x"]).otherwise(s["x"]).alias("x"))
+    return F.aggregate(values, start, step)["x"]
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on null-safe keys; the size of the written right side decides how."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    renamed = right.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in right.columns])
+    return left.join(renamed, reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])).drop(*[f"_k_{k}" for k in keys])
+
+
+def _in_order(values: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    lists = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_x", "_c"))).alias("_v"))
+    return _on(asked, lists, keys).select(*asked.drop("_before").columns, _nth(F.col("_v"), F.col("_k") - F.col("_before")).alias("_q"))
+
+
+def select_ranks(values: DataFrame, asked: DataFrame, keys: list[str], bound: int = BOUND) -> DataFrame:
+    """(keys, _k, _q): the ``_k``-th smallest row of each group of ``values`` (keys, _x, _c rows with that value).
+
+    Rounds cut every group at ``FAN`` pivots and keep the interval that holds the wanted row, known by counts, so that its number of distinct values falls
+    by that factor whatever the pivots are; a pivot that is the wanted value ends the search. Groups with at most ``bound`` distinct values are put in order
+    in one row; no other group ever is.
+    """
+    found = None
+    level = 0
+    while True:
+        sizes = values.groupBy(*keys).agg(F.count("*").alias("_d"))
+        over = materialise(sizes.where(F.col("_d") > bound).drop("_d"), "wide")
+        done = _in_order(_anti(values, over, keys), _anti(asked, over, keys), keys)
+        found = done if found is None else found.unionByName(done.select(*found.columns))
+        if over.isEmpty():
+            return found
+        wide, wanted = _on(values, over, keys), _on(asked, over, keys)
+        cuts = [(j + 1) / (FAN + 1) for j in range(FAN)]
+        pivots = materialise(wide.groupBy(*keys).agg(F.percentile_approx("_x", cuts, 40 * FAN).alias("_p")), "pivots")
+        celled = materialise(_celled(wide, pivots, keys, FAN).select(*keys, "_cell", "_x", "_c"), "cells")
+        counts = celled.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_c"), F.count("*").alias("_d"))
+        counts = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_cell", "_c", "_d"))).alias("_counts"))
+        spots = _on(_on(wanted, counts, keys), pivots, keys).withColumn("_spot", _locate(F.col("_counts"), F.col("_k") - F.col("_before")))
+        spots = materialise(spots.withColumn("_hit", _pivot(F.col("_spot.cell"))).drop("_p", "_counts"), "spots")
+        found = found.unionByName(spots.where("_hit IS NOT NULL").withColumn("_q", F.col("_hit")).select(*found.columns))
+        # The interval becomes part of the group; earlier intervals are only carried along.
+        name = f"_cell{level}"
+        asked = spots.where("_hit IS NULL").select(*asked.drop("_before").columns, (F.col("_before") + F.col("_spot.before")).alias("_before"), F.col("_spot.cell").alias(name))
+        found = found.withColumn(name, F.lit(None).cast("int"))
+        keys = [*keys, name]
+        values = _on(celled.withColumnRenamed("_cell", name), materialise(asked.select(*keys).distinct(), "open"), keys)
+        level += 1
+
+
+def _anti(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    if not keys:
+        return df if gone.isEmpty() else df.limit(0)
+    renamed = gone.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    return df.join(renamed, reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys]), "left_anti")
+
+
+def quantiles_long(df: DataFrame, keys: list[str], probs: list[float], value: str = "x", accuracy: int = 10000, bound: int = BOUND) -> DataFrame:
     """Exact type-7 quantiles of ``value`` per ``keys``: rows (keys, n, q array aligned with ``probs``).
 
-    ``keys`` must be design keys (sample, space, fold, variable name ...): their per-group bounds are
-    broadcast. Pass 1 brackets every wanted rank with a sketch whose rank error is at most
-    n / accuracy; pass 2 counts values, keeping single values only inside the brackets. Groups
-    of up to 2 * accuracy rows are kept whole. The final ordering step therefore sees a sliver of the
-    rows and the answer is still exact.
+    Multi-rank selection. Pass 1 sketches pivots around every wanted fraction. Pass 2 counts the rows on and between pivots and keeps, with their
+    counts, only the values of intervals in which a wanted row may fall; all others collapse before the shuffle. The counts then say exactly which interval each row lies
+    in, whatever the sketch's error; an interval that was not kept is read again. What is left of a wide group is narrowed in further rounds
+    (:func:`select_ranks`). One path serves groups of all sizes, ties included, and no group is sorted in one task.
     """
-    data = df.filter(~missing(value))
-    step = 2.0 / accuracy
-    edges = [e for p in probs for e in (max(0.0, p - step), min(1.0, p + step))]
-    small = 2 * accuracy
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx(value, edges, accuracy).alias("_e")
+    data = df.filter(~missing(value)).select(*keys, F.col(value).cast("double").alias("_x"))
+    unit = 1.0 / accuracy
+    at = sorted({min(1.0, max(0.0, p + side * MARGIN * unit)) for p in probs for side in (-1, 1)})
+    m = len(at)
+    sketch = materialise(data.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", at, accuracy).alias("_p")), "pivots")
+    # Interval j lies between the pivots j - 1 and j. It is kept if a wanted row may be in it by the sketch's promise, give or take a row.
+    n, wants = F.col("_n"), F.expr(f"array({', '.join(f'{float(p)!r}D' for p in probs)})")
+    edges = F.expr(f"array({', '.join(f'{a!r}D' for a in (-1.0, *at, 2.0))})")
+    rank = lambda p: F.floor((n - 1) * p) + 1
+    kept = F.transform(F.sequence(F.lit(0), F.lit(m)), lambda j: F.exists(wants, lambda p: (rank(p) + 1 >= (F.get(edges, j) - unit) * n - 1) & (rank(p) <= (F.get(edges, j + 1) + unit) * n + 2)))
+    apart = lambda j: ~F.coalesce((j > 0) & (F.get("_p", j - 1) == F.get("_p", j)), F.lit(False))
+    sketch = sketch.withColumn("_kept", F.transform(kept, lambda k, j: k & apart(j)))
+    # The counts of a round are small enough to be written with the rows that stay.
+    cell = F.col("_cell")
+    marked = _celled(data, sketch, keys, m)
+    stays = (cell % 2 == 0) & F.get("_kept", F.shiftright(cell, 1))
+    hist = marked.select(*keys, cell, F.when(stays, F.col("_x")).alias("_x")).groupBy(*keys, "_cell", "_x").agg(F.count("*").alias("_c"))
+    hist = materialise(hist, "histogram")
+    counts = hist.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_c"), F.count("_x").alias("_d"))
+    counts = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_cell", "_c", "_d"))).alias("_counts"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(2 * len(probs) - 1)), lambda c: F.struct(
+        F.shiftright(c, 1).alias("_i"), (c % 2).alias("_t"), F.least(rank(F.get(wants, F.shiftright(c, 1))) + c % 2, n).cast("long").alias("_k")))
+    wanted = _on(sketch, counts, keys).select(*keys, "_n", "_p", "_counts", F.inline(each))
+    spots = wanted.select(*keys, "_n", "_p", "_i", "_t", "_k", F.inline(F.array(_locate(F.col("_counts"), F.col("_k")))))
+    j = F.shiftright("cell", 1)
+    spots = spots.select(
+        *keys, "_n", "_i", "_t", "_k", F.col("cell").alias("_cell"), F.col("before").alias("_before"), F.col("values").alias("_d"), _pivot(F.col("cell")).alias("_hit"),
+        F.when(j > 0, F.get("_p", j - 1)).alias("_lo"), F.get("_p", j).alias("_hi"),
     )
-    # An edge clipped at 0 or 1 opens the bracket on that side.
-    lows = [F.lit(float("-inf")) if edges[2 * i] == 0.0 else F.col("_e")[2 * i] for i in range(len(probs))]
-    highs = [F.lit(float("inf")) if edges[2 * i + 1] == 1.0 else F.col("_e")[2 * i + 1] for i in range(len(probs))]
-    x = F.col(value)
-    inside = F.col("_n") <= small
-    zone = F.lit(0)
-    for lo, hi in zip(lows, highs):
-        inside = inside | ((x >= lo) & (x <= hi))
-        zone = zone + (x > hi).cast("int")
-    zone = F.when(F.col("_n") <= small, 0).otherwise(zone)
-    marked = (
-        data.join(F.broadcast(sketch), keys) if keys else data.crossJoin(F.broadcast(sketch))
-    ).select(*keys, "_n", zone.alias("_zone"), F.when(inside, x).alias("_v"), x.alias("_x"))
-    hist = marked.groupBy(*keys, "_n", "_zone", "_v").agg(F.count("*").alias("_c"), F.min("_x").alias("_x0"))
-    w = W.partitionBy(*keys).orderBy("_x0").rowsBetween(W.unboundedPreceding, 0)
-    hist = hist.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    aggs = [F.max("_n").alias("n")]
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        k1 = F.floor(h) + 1
-        k2 = F.least(k1 + 1, F.col("_n"))
-        for tag, k in (("a", k1), ("b", k2)):
-            hit = (F.col("_lo") < k) & (k <= F.col("_hi"))
-            astray = (F.col("_n") > small) & F.col("_v").isNull()
-            value_at = F.when(astray, F.raise_error(F.lit("a wanted rank fell outside its bracket")).cast("double")).otherwise(F.col("_x0"))
-            aggs.append(F.max(F.when(hit, value_at)).alias(f"_{tag}{i}"))
-    agg = hist.groupBy(*keys).agg(*aggs)
-    qs = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        frac = h - F.floor(h)
-        qs.append(F.col(f"_a{i}") + frac * (F.col(f"_b{i}") - F.col(f"_a{i}")))
-    return agg.select(*keys, "n", F.array(*qs).alias("q"))
+    told = spots.agg(F.max("_d"), F.count_if(F.col("_hit").isNull() & (F.col("_d") == 0))).first()
+    inside = hist.where("_x IS NOT NULL").withColumnRenamed("_cell", "_part")
+    if told[1]:  # the sketch was further off than it promises
+        missed = materialise(spots.where("_hit IS NULL AND _d = 0").select(*keys, F.col("_cell").alias("_part"), "_lo", "_hi").distinct(), "missed")
+        again = _on(data, missed, keys).where("(_lo IS NULL OR _x > _lo) AND (_hi IS NULL OR _x < _hi)")
+        inside = inside.unionByName(again.groupBy(*keys, "_part", "_x").agg(F.count("*").alias("_c")))
+    asked = spots.where("_hit IS NULL").select(*keys, F.col("_cell").alias("_part"), "_i", "_t", "_k", "_before")
+    in_cell = [*keys, "_part"]
+    narrow = not told[1] and (told[0] or 0) <= bound
+    picked = (_in_order(inside, asked, in_cell) if narrow else select_ranks(inside, asked, in_cell, bound)).select(*keys, "_i", "_t", "_q")
+    ends = spots.where("_hit IS NOT NULL").select(*keys, "_i", "_t", F.col("_hit").alias("_q")).unionByName(picked)
+    wide = ends.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN _i = {i} AND _t = {t} THEN _q END) AS _{'ab'[t]}{i}") for i in range(len(probs)) for t in (0, 1)])
+    frac = [f"((_n - 1) * {float(p)!r}D - floor((_n - 1) * {float(p)!r}D))" for p in probs]
+    q = ", ".join(f"_a{i} + {f} * (_b{i} - _a{i})" for i, f in enumerate(frac))
+    return _on(wide, sketch.select(*keys, "_n"), keys).select(*keys, F.col("_n").alias("n"), F.expr(f"array({q})").alias("q"))
 
 
 def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:

@@ -28,6 +28,49 @@ def test_exact_quantiles(spark, accuracy):
             assert r.n == (g == r.g).sum()
 
 
+def test_selection_in_many_rounds(spark):
+    """A bound of a few values forces rounds; one value holds half of all rows, and a coarse sketch misses its own promise at times."""
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random(6000) < 0.5, 0.25, np.round(rng.standard_cauchy(6000), 4))
+    g = np.where(rng.random(6000) < 0.9, "big", None)
+    df = spark.createDataFrame([(a, float(b)) for a, b in zip(g, x)], "g string, x double").repartition(6)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.997, 1.0]
+    for accuracy, bound in ((10, 3), (10000, 1)):
+        for r in quantiles_long(df, ["g"], probs, accuracy=accuracy, bound=bound).collect():
+            part = x[g == r.g] if r.g else x[g == None]  # noqa: E711
+            assert r.n == len(part) and r.q == pytest.approx(np.quantile(part, probs).tolist(), abs=1e-12)
+
+
+def test_quantiles_of_few_rows(spark):
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    df = spark.createDataFrame([(n, float(k * k)) for n in range(1, 8) for k in range(n)], "n_rows int, x double")
+    got = {r.n_rows: (r.n, r.q) for r in quantiles_long(df, ["n_rows"], probs).collect()}
+    assert got == {n: (n, pytest.approx(np.quantile([float(k * k) for k in range(n)], probs).tolist())) for n in range(1, 8)}
+
+
+def test_no_window_sorts_a_group(spark):
+    df, _, _ = hot(spark, 100)
+    for frame in (quantiles_long(df, ["g"], [0.5]), average_ranks(df, ["g"], "x", "r")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window" in line]
+        assert all("_block" in line or "_eb" in line for line in windows), windows
+    assert "Window" not in quantiles_long(df, ["g"], [0.5])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_average_ranks_over_block_edges(spark):
+    """Ties that begin in one block of the sort, fill others and end in a third."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = np.r_[np.full(3000, 5.0), rng.integers(0, 10, 2000).astype(float), np.full(500, 9.5)]
+    g = np.where(rng.random(len(x)) < 0.7, "a", "b")
+    df = spark.createDataFrame([(i, a, float(b)) for i, (a, b) in enumerate(zip(g, x))], "id int, g string, x double")
+    got = average_ranks(df.repartition(12), ["g"], "x", "r").toPandas().sort_values("id")
+    assert np.allclose(got.r.to_numpy(), pd.Series(x).groupby(g).rank().to_numpy())
+    both = rank_rows(df, ["g"], [F.desc("x"), F.col("id")], tied="x").toPandas().sort_values("id")
+    assert np.allclose(both.average_rank.to_numpy(), pd.Series(-x).groupby(g).rank().to_numpy())
+
+
 def test_quantiles_drop_missing(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "x double")
     r = quantiles_long(df, [], [0.5]).first()
