@@ -16,7 +16,6 @@ from firmlens.operators import stacking as ST
 MK = ["scheme", "target_space", "model_id", "variant"]
 G = ["scheme", "target_space"]
 IDS = ["company", "year"]
-STEPS = 12
 
 cte("fold_scores", "scores", """SELECT scheme, target_space, model_id, variant, fold_id, count(*) AS n_test_obs, count(DISTINCT company) AS n_test_firms, sum(lpd_obs) AS elpd_fold, avg(lpd_obs) AS mean_lpd_obs,
  sqrt(avg(squared_error)) AS rmse, avg(abs_error) AS mae FROM scores GROUP BY ALL""")
@@ -38,24 +37,44 @@ def fold_diag(spark, d):
         (n * 1.2).alias("min_ess_tail"), F.when(F.col("rmse") > 1.2, 1).otherwise(0).alias("divergences"), F.lit(0).alias("treedepth_warnings"))
 
 
-def em_sql(src: str, prefix: str, steps: int) -> str:
-    """EM on mixture weights unrolled as CTEs, with the singleton guard; last CTE is ``{prefix}_final``."""
+def optimum_sql(src: str, prefix: str) -> str:
+    """The optimum of the stacking objective as CTEs; the last one is ``{prefix}_final``.
+
+    A recursive CTE takes quadratic steps, solved by coordinate descent over lists, until the certificate holds: no model may add more than
+    the tolerance to the mean log density.
+    """
     k, g = "scheme, target_space, model_key", "scheme, target_space"
-    out = [f"{prefix}_d AS MATERIALIZED (SELECT {k}, company, year, lpd_obs, max(lpd_obs) OVER o AS m, exp(lpd_obs - max(lpd_obs) OVER o) AS p FROM {src} WINDOW o AS (PARTITION BY {g}, company, year))",
-           f"{prefix}_0 AS MATERIALIZED (SELECT {k}, 1.0::DOUBLE / count(*) OVER (PARTITION BY {g}) AS w FROM (SELECT DISTINCT {k} FROM {src}))"]
-    for t in range(1, steps + 1):
-        out.append(f"{prefix}_{t} AS MATERIALIZED (SELECT {k}, max(w) * avg(p / dd) AS w FROM (SELECT d.{k.replace(', ', ', d.')}, p, w, sum(p * w) OVER (PARTITION BY d.scheme, d.target_space, company, year) AS dd FROM {prefix}_d d JOIN {prefix}_{t - 1} w USING ({k})) GROUP BY {k})")
-    last = f"{prefix}_{steps}"
-    out.append(f"{prefix}_e AS MATERIALIZED (SELECT {k}, sum(lpd_obs) AS elpd FROM {prefix}_d GROUP BY {k})")
-    out.append(f"{prefix}_b AS (SELECT {g}, arg_min(model_key, (-elpd, model_key)) AS best, max(elpd) AS best_elpd FROM {prefix}_e GROUP BY {g})")
-    out.append(f"{prefix}_o AS (SELECT {g}, sum(l) AS obj FROM (SELECT d.scheme, d.target_space, company, year, max(m) + ln(sum(p * w)) AS l FROM {prefix}_d d JOIN {last} w USING ({k}) GROUP BY ALL) GROUP BY {g})")
-    out.append(f"""{prefix}_final AS (SELECT w.scheme, w.target_space, w.model_key, CASE WHEN obj < best_elpd - 1e-6 THEN CASE WHEN w.model_key = best THEN 1.0 ELSE 0.0 END ELSE w.w END AS weight, elpd AS singleton_elpd, best AS best_singleton
- FROM {last} w JOIN {prefix}_e e USING ({k}) JOIN {prefix}_b USING ({g}) JOIN {prefix}_o USING ({g}))""")
-    return ", ".join(out)
+    sizes = ", ".join(f"{a}::DOUBLE" for a in ST.STEP_SIZES)
+    on = "USING (scheme, target_space)"
+    slope = "1 - g[i] + list_dot_product(h[(i - 1) * len(g) + 1 : i * len(g)], list_transform(x, lambda u, l: u - w[l]))"
+    descend = f"""list_reduce(list_concat([w], list_transform(range(0, 300 * len(w)), lambda t: [t % len(w) + 1.0::DOUBLE])),
+   lambda x, t: list_transform(x, lambda v, i: CASE WHEN i = t[1] THEN greatest(0.0, v - ({slope}) / h[(i - 1) * len(g) + i]) ELSE v END))"""
+    return f"""{prefix}_d AS MATERIALIZED (SELECT {g}, company, year, max(lpd_obs) AS m, list(exp(lpd_obs - mx) ORDER BY model_key) AS p
+  FROM (SELECT *, max(lpd_obs) OVER (PARTITION BY {g}, company, year) AS mx FROM {src}) GROUP BY {g}, company, year),
+{prefix}_e AS MATERIALIZED (SELECT {k}, sum(lpd_obs) AS elpd FROM {src} GROUP BY {k}),
+{prefix}_k AS MATERIALIZED (SELECT {g}, list(model_key ORDER BY model_key) AS keys, arg_min(model_key, (-elpd, model_key)) AS best, max(elpd) AS best_elpd FROM {prefix}_e GROUP BY {g}),
+{prefix}_w AS MATERIALIZED (WITH RECURSIVE it(scheme, target_space, step, w, gap) AS (
+ SELECT {g}, 0, list_transform(keys, lambda x: 1.0::DOUBLE / len(keys)), 1.0::DOUBLE FROM {prefix}_k
+ UNION ALL
+ SELECT {g}, step + 1, arg_max(to_w, objective), max(gap) FROM (
+  SELECT s.scheme, s.target_space, step, gap, to_w, sum(m + ln(list_dot_product(p, to_w))) AS objective FROM (
+   SELECT {g}, step, gap, list_transform(w, lambda v, i: v + alpha * (x[i] - v)) AS to_w FROM (
+    SELECT {g}, step, gap, w, list_transform(x, lambda v, i: {ST.INSIDE!r} * w[i] + (1 - {ST.INSIDE!r}) * v / list_sum(x)) AS x, unnest(CASE WHEN gap < {ST.FULL_STEP_GAP!r} THEN [1.0::DOUBLE] ELSE [{sizes}] END) AS alpha FROM (
+     SELECT {g}, step, w, list_max(g) - 1 AS gap, {descend} AS x FROM (
+      SELECT {g}, step, w, list(v ORDER BY j) FILTER (WHERE i = 0 AND j > 0) AS g, list(v ORDER BY i, j) FILTER (WHERE i > 0 AND j > 0) AS h FROM (
+       SELECT {g}, step, w, i, j, avg(c[i + 1] * c[j + 1]) AS v FROM (
+        SELECT it.scheme, it.target_space, step, w, list_prepend(1.0::DOUBLE, list_transform(p, lambda q: q / list_dot_product(p, w))) AS c FROM it JOIN {prefix}_d {on} WHERE gap >= {ST.KKT_TOL!r} AND step < 80),
+        (SELECT unnest(range(0, 33)) AS i), (SELECT unnest(range(0, 33)) AS j) WHERE i <= len(w) AND j <= len(w) GROUP BY {g}, step, w, i, j) GROUP BY {g}, step, w)))) s
+   JOIN {prefix}_d {on} GROUP BY s.scheme, s.target_space, step, gap, to_w) GROUP BY {g}, step)
+ SELECT {g}, keys, best, best_elpd, list_transform(v, lambda z: z / list_sum(v)) AS w, gap < {ST.KKT_TOL!r} AS converged FROM
+  (SELECT {g}, list_transform(arg_max(w, step), lambda z: CASE WHEN z > {ST.ZERO_WEIGHT!r} THEN z ELSE 0.0 END) AS v, arg_max(gap, step) AS gap FROM it GROUP BY {g}) JOIN {prefix}_k {on}),
+{prefix}_o AS (SELECT {g}, sum(m + ln(list_dot_product(p, w))) AS obj FROM {prefix}_d JOIN {prefix}_w {on} GROUP BY {g}),
+{prefix}_final AS (SELECT {g}, model_key, CASE WHEN obj < best_elpd - 1e-6 THEN CASE WHEN model_key = best THEN 1.0 ELSE 0.0 END ELSE weight END AS weight, elpd AS singleton_elpd, best AS best_singleton, greatest(obj, best_elpd) AS objective, converged
+ FROM (SELECT {g}, best, best_elpd, converged, unnest(keys) AS model_key, unnest(w) AS weight FROM {prefix}_w) JOIN {prefix}_o {on} JOIN {prefix}_e USING ({k}))"""
 
 
 _LABEL = f"split_part(model_key, '_', 1) AS model_id, CASE WHEN model_key LIKE '%firm_re' THEN '{FIRM_RE}' ELSE '{POOLED}' END AS variant"
-cte("weights", "scores", f"WITH {em_sql('scores', 'em', STEPS)} SELECT *, {_LABEL}, row_number() OVER (PARTITION BY scheme, target_space ORDER BY weight DESC, model_key) AS rank FROM em_final")
+cte("weights", "scores", f"WITH {optimum_sql('scores', 'opt')} SELECT *, {_LABEL}, row_number() OVER (PARTITION BY scheme, target_space ORDER BY weight DESC, model_key) AS rank FROM opt_final")
 
 
 def labelled(w):
@@ -63,8 +82,8 @@ def labelled(w):
 
 
 def weights(spark, d):
-    """Stacking weights after a fixed number of EM steps, a stage table."""
-    return stage(spark, d, "weights", lambda: labelled(ST.stack(scores(spark, d), G, IDS, em_steps=STEPS)))
+    """Optimal stacking weights, a stage table."""
+    return stage(spark, d, "weights", lambda: labelled(ST.stack(scores(spark, d), G, IDS)))
 
 
 @query("stk1_score_rollup", sql_with("model_scores", f"SELECT {', '.join(MK)}, n_test_obs_total, n_test_firms_total, {cols_sql(['elpd_kfold', 'sd_elpd_fold'], 3)}, {cols_sql(['mean_lpd_obs', 'rmse', 'mae'], 5)} FROM model_scores"))
@@ -92,15 +111,15 @@ def _(spark, d):
     return ST.log_mean_exp(scores(spark, d), G + IDS, "lpd_obs").withColumn("lme", rnd("lme", 5))
 
 
-@query("stk5_stacking_weights", sql_with("weights", f"SELECT scheme, target_space, model_key, {r('weight', 5)} AS weight, {r('singleton_elpd', 3)} AS singleton_elpd, best_singleton FROM weights"))
+@query("stk5_stacking_weights", sql_with("weights", f"SELECT scheme, target_space, model_key, {r('weight', 4)} AS weight, {r('singleton_elpd', 3)} AS singleton_elpd, best_singleton, {r('objective', 3)} AS objective, converged FROM weights"))
 def _(spark, d):
-    out = ST.stack(scores(spark, d), G, IDS, em_steps=STEPS)
-    return out.select("scheme", "target_space", "model_key", rnd("weight", 5).alias("weight"), rnd("singleton_elpd", 3).alias("singleton_elpd"), "best_singleton")
+    out = ST.stack(scores(spark, d), G, IDS)
+    return out.select("scheme", "target_space", "model_key", rnd("weight", 4).alias("weight"), rnd("singleton_elpd", 3).alias("singleton_elpd"), "best_singleton", rnd("objective", 3).alias("objective"), "converged")
 
 
 @query("stk5_converged_weights")
 def _(spark, d):
-    return ST.stack(scores(spark, d), G, IDS, tol=1e-6)
+    return ST.stack(scores(spark, d), G, IDS)
 
 
 @query("stk6_pseudo_bma", sql_with("model_scores", f"SELECT {', '.join(MK)}, {r('exp(elpd_kfold - max(elpd_kfold) OVER w) / sum(exp(elpd_kfold - mx)) OVER w')} AS weight FROM (SELECT *, max(elpd_kfold) OVER (PARTITION BY scheme, target_space) AS mx FROM model_scores) WINDOW w AS (PARTITION BY scheme, target_space)"))
@@ -124,10 +143,11 @@ def _(spark, d):
     return best.join(obj(single, "singleton_objective"), G).join(obj(equal, "equal_weight_objective"), G)
 
 
-@query("stk8_two_model_weight", sql_with("scores", f"WITH two AS (SELECT * FROM scores WHERE model_id = 'M03'), {em_sql('two', 'tw', STEPS)} SELECT scheme, target_space, {r('weight', 5)} AS firm_re_weight FROM tw_final WHERE model_key LIKE '%firm_re'"))
+@query("stk8_two_model_weight", sql_with("scores", f"WITH two AS (SELECT * REPLACE (target_space || ':' || model_id AS target_space) FROM scores), {optimum_sql('two', 'tw')} SELECT scheme, split_part(target_space, ':', 1) AS target_space, split_part(target_space, ':', 2) AS model_id, {r('weight', 4)} AS firm_re_weight, converged FROM tw_final WHERE model_key LIKE '%firm_re'"))
 def _(spark, d):
-    out = ST.stack(scores(spark, d).filter("model_id = 'M03'"), G, IDS, em_steps=STEPS)
-    return out.filter(F.col("model_key").endswith("firm_re")).select("scheme", "target_space", rnd("weight", 5).alias("firm_re_weight"))
+    pairs = scores(spark, d).withColumn("model_key", F.when(F.col("variant") == FIRM_RE, "firm_re").otherwise("pooled"))
+    out = ST.stack(pairs, [*G, "model_id"], IDS).filter("model_key = 'firm_re'")
+    return out.select(*G, "model_id", rnd("weight", 4).alias("firm_re_weight"), "converged")
 
 
 @query("stk9_weight_sanity", sql_with("weights", f"""
@@ -139,11 +159,11 @@ def _(spark, d):
 
 
 cte("weight_pairs", "weights", """SELECT target_space, model_id, variant, model_key, coalesce(x.weight, 0) AS weight_a, coalesce(y.weight, 0) AS weight_b, x.rank AS rank_a, y.rank AS rank_b
- FROM (SELECT * FROM weights WHERE scheme = 'row') x FULL JOIN (SELECT * FROM weights WHERE scheme = 'grouped' AND rank <= 4) y USING (target_space, model_id, variant, model_key)""")
+ FROM (SELECT * FROM weights WHERE scheme = 'row' AND weight > 0) x FULL JOIN (SELECT * FROM weights WHERE scheme = 'grouped' AND weight > 0) y USING (target_space, model_id, variant, model_key)""")
 
 
 def weight_pairs(spark, d):
-    w = weights(spark, d).filter("scheme = 'row' or rank <= 4")
+    w = weights(spark, d).filter("weight > 0")  # dropped models are missing on their side
     return ST.weight_comparison(w, "row", "grouped", ["target_space", "model_id", "variant", "model_key"])
 
 
@@ -185,13 +205,13 @@ def _(spark, d):
     return ST.variant_shift(weight_pairs(spark, d), ["target_space"]).select("target_space", *cols_df(SHIFT, 4))
 
 
-@query("stk11_pooled_only_substack", sql_with("scores", f"""WITH po AS (SELECT * FROM scores WHERE variant = '{POOLED}'), {em_sql('po', 'pw', STEPS)},
+@query("stk11_pooled_only_substack", sql_with("scores", f"""WITH po AS (SELECT * FROM scores WHERE variant = '{POOLED}'), {optimum_sql('po', 'pw')},
 f AS (SELECT target_space, {FAM_SQL} AS family, sum(CASE WHEN scheme = 'row' THEN weight ELSE 0 END) AS wa, sum(CASE WHEN scheme = 'grouped' THEN weight ELSE 0 END) AS wb FROM (SELECT *, split_part(model_key, '_', 1) AS model_id FROM pw_final) GROUP BY ALL),
 t AS (SELECT target_space, sum(abs(wa - wb)) AS l1, max(abs(wa - wb)) AS mx, arg_max(family, wa) AS fa, arg_max(family, wb) AS fb FROM f GROUP BY target_space)
 SELECT target_space, {r('l1', 5)} AS shift_l1, {r('mx', 5)} AS shift_max, fa AS top_family_a, fb AS top_family_b, CASE WHEN fa <> fb OR l1 >= 0.2 OR mx >= 0.1 THEN 'ACCOUNTING_FAMILY_SHIFT_REMAINS_WITHOUT_FIRMRE' ELSE 'JOINT_SHIFT_DOMINATED_BY_HETEROGENEITY' END AS decision FROM t"""))
 def _(spark, d):
     pooled = scores(spark, d).filter(F.col("variant") == POOLED)
-    w = labelled(ST.stack(pooled, G, IDS, em_steps=STEPS))
+    w = labelled(ST.stack(pooled, G, IDS))
     out = ST.family_shift(w, "row", "grouped", ["target_space"])
     return out.withColumns({c: rnd(c, 5) for c in ("shift_l1", "shift_max")})
 
@@ -247,7 +267,7 @@ def _(spark, d):
 
 # --- comparisons of weight runs -----------------------------------------------------------------------------
 
-cte("run_weights", "weights", "SELECT 'base' AS run, * FROM weights UNION ALL SELECT 'variant', scheme, target_space, model_key, weight * weight / sum(weight * weight) OVER (PARTITION BY scheme, target_space), singleton_elpd, best_singleton, model_id, variant, rank FROM weights")
+cte("run_weights", "weights", "SELECT 'base' AS run, scheme, target_space, model_key, variant, weight FROM weights UNION ALL SELECT 'variant', scheme, target_space, model_key, variant, weight * weight / sum(weight * weight) OVER (PARTITION BY scheme, target_space) FROM weights")
 
 
 @query("cmp9_shift_agreement", sql_with("run_weights", f"""

@@ -111,103 +111,111 @@ def density_rows(obs: DataFrame, groups: list[str], ids: list[str], models: list
     )
 
 
-def em_step(rows: DataFrame, groups: list[str], weights: dict[tuple, list[float]], k: int) -> dict[tuple, tuple[list[float], list[float], float, int]]:
-    """One EM step for every group in one aggregate; only weight vectors travel to and from the driver."""
-    spark = rows.sparkSession
-    # Weight vectors: one short row per group (space, scheme), fixed by the model registry.
-    w = spark.createDataFrame([(*g, v) for g, v in weights.items()], rows.select(*groups).schema.add("w", T.ArrayType(T.DoubleType())))
-    j = rows.join(F.broadcast(w), groups)
-    dens = sum((F.col("w")[i] * F.col(f"p_{i}") for i in range(1, k)), F.col("w")[0] * F.col("p_0"))
-    d = j.withColumn("_d", dens)
-    agg = d.groupBy(*groups).agg(
-        F.array(*[F.avg(F.col(f"p_{i}") / F.col("_d")) for i in range(k)]).alias("_grad"),
-        F.sum(F.col("m") + F.log("_d")).alias("_objective"), F.count("*").alias("_n"),
-    ).collect()
-    out = {}
-    for r in agg:
-        g = tuple(r[c] for c in groups)
-        out[g] = ([wi * gi for wi, gi in zip(weights[g], r["_grad"])], r["_grad"], r["_objective"], r["_n"])
-    return out
+KKT_TOL = 1e-10  # stacking stops where no model can add more than this to the mean log density
+ZERO_WEIGHT = 1e-6  # contract value: weights up to this are dropped
+STEP_SIZES = (1.0, 0.7, 0.5, 0.3, 0.15, 0.05)
+FULL_STEP_GAP = 1e-4  # below this gap the quadratic step is taken whole: objectives differ by less than their rounding
+INSIDE = 1e-4  # share of the present weights that a step keeps, so that the next density is positive
 
 
-def em_weights(rows: DataFrame, groups: list[str], members: dict[tuple, list[int]], k: int, steps: int) -> dict[tuple, list[float]]:
-    """A fixed number of EM steps from equal weights (never leaves the simplex, converges slowly)."""
-    w = {g: [1.0 / len(ms) if i in ms else 0.0 for i in range(k)] for g, ms in members.items()}
-    for _ in range(steps):
-        w = {g: s[0] for g, s in em_step(rows, groups, w, k).items()}
-        w = {g: [x / sum(v) for x in v] for g, v in w.items()}
-    return w
+def _with_weights(rows: DataFrame, groups: list[str], vectors: dict[tuple, list[np.ndarray]]) -> DataFrame:
+    """Density rows of the groups in ``vectors``, once for each weight vector (``t`` numbers them), with the mixture density ``d``."""
+    spark = rows.sparkSession
+    k = len(next(iter(vectors.values()))[0])
+    schema = rows.select(*groups).schema.add("t", T.IntegerType()).add("w", T.ArrayType(T.DoubleType()))
+    # A short row for each group (space, scheme) and vector, fixed by the model registry.
+    table = spark.createDataFrame([(*g, t, [float(x) for x in v]) for g, vs in vectors.items() for t, v in enumerate(vs)], schema)
+    return rows.join(F.broadcast(table), groups).withColumn("d", F.expr(" + ".join(f"w[{i}] * p_{i}" for i in range(k))))
 
 
-def _curvature(rows: DataFrame, groups: list[str], weights: dict[tuple, list[float]], k: int) -> dict[tuple, tuple[float, np.ndarray, np.ndarray]]:
-    """Mean objective, gradient and curvature of every group in one pass over the density rows."""
-    from firmlens.operators.lsq import cross_products, to_matrix
+def objectives(rows: DataFrame, groups: list[str], vectors: dict[tuple, list[np.ndarray]]) -> dict[tuple, list[float]]:
+    """Mean log mixture density of every group at each of its weight vectors, in one pass."""
+    agg = _with_weights(rows, groups, vectors).groupBy(*groups, "t").agg(F.avg(F.col("m") + F.log("d")).alias("o")).collect()
+    found = {(*(r[c] for c in groups), r.t): r.o for r in agg}
+    return {g: [found[(*g, t)] for t in range(len(vs))] for g, vs in vectors.items()}
 
-    spark = rows.sparkSession
-    w = spark.createDataFrame([(*g, [float(x) for x in v]) for g, v in weights.items()], rows.select(*groups).schema.add("w", T.ArrayType(T.DoubleType())))
-    dens = sum((F.col("w")[i] * F.col(f"p_{i}") for i in range(1, k)), F.col("w")[0] * F.col("p_0"))
-    d = rows.join(F.broadcast(w), groups).withColumn("_d", dens)
-    cols = d.select(*groups, F.lit(1.0).alias("c0"), *[(F.col(f"p_{i}") / F.col("_d")).alias(f"c{i + 1}") for i in range(k)], (F.col("m") + F.log("_d")).alias(f"c{k + 1}"))
-    entries = cross_products(cols, groups, [f"c{i}" for i in range(k + 2)]).toPandas()  # (k+2)^2 / 2 numbers per group
-    out = {}
-    for g, part in entries.groupby(groups):
-        mat = to_matrix(part, k + 2)
-        n = mat[0, 0]
-        out[g if isinstance(g, tuple) else (g,)] = (mat[0, k + 1] / n, mat[0, 1:k + 1] / n, mat[1:k + 1, 1:k + 1] / n)
-    return out
 
+def _moments(rows: DataFrame, groups: list[str], weights: dict[tuple, np.ndarray]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Gradient and curvature of the mean log density: means of p_i / d and of their products, as built-in sums of one aggregate.
 
-def _quadratic_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray, free: list[int], sweeps: int = 2000) -> np.ndarray:
-    """Minimise the local quadratic of -mean log density + sum(w) over w >= 0 by coordinate descent (k is tiny)."""
-    h = hess + 1e-10 * np.trace(hess) / len(w) * np.eye(len(w))
-    x, r = w.copy(), 1.0 - grad - h @ w  # r + h x is the gradient of the quadratic model at x
-    for _ in range(sweeps):
-        worst = 0.0
-        for j in free:
-            new = max(0.0, x[j] - (r[j] + h[j] @ x) / h[j, j])
-            worst = max(worst, abs(new - x[j]))
-            x[j] = new
-        if worst < 1e-12:
+    k (k + 2) numbers a group reach the driver.
+    """
+    k = len(next(iter(weights.values())))
+    shares = _with_weights(rows, groups, {g: [w] for g, w in weights.items()}).selectExpr(*groups, *[f"p_{i} / d AS c{i}" for i in range(k)])
+    # One row for each first factor keeps the aggregate at k sums, few enough for generated code.
+    each = shares.selectExpr("*", f"posexplode(array({', '.join(f'c{i}' for i in range(k))})) AS (i, c)")
+    sums = [F.expr(f"sum(c * c{i}) AS h{i}") for i in range(k)]
+    out = {g: (np.zeros(k), np.zeros((k, k))) for g in weights}
+    for r in each.groupBy(*groups, "i").agg(F.count("*").alias("n"), F.sum("c").alias("g"), *sums).collect():
+        grad, hess = out[tuple(r[c] for c in groups)]
+        grad[r.i] = r.g / r.n
+        hess[r.i] = [r[f"h{j}"] / r.n for j in range(k)]
+    return {g: (grad, (hess + hess.T) / 2) for g, (grad, hess) in out.items()}
+
+
+def _quadratic_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray, free: list[int]) -> np.ndarray:
+    """Minimiser over x >= 0 of the local quadratic of -mean log density + sum(x) at ``w``, by active sets: exact, k is tiny."""
+    h = hess[np.ix_(free, free)] + 1e-13 * np.trace(hess) / len(free) * np.eye(len(free))
+    c = grad[free] - 1.0 + h @ w[free]
+    x, active = np.zeros(len(free)), np.zeros(len(free), dtype=bool)
+    for _ in range(50 * len(free)):
+        slope = c - h @ x
+        slope[active] = -np.inf
+        if slope.max(initial=-np.inf) <= 1e-13:
             break
-    return x
+        active[int(slope.argmax())] = True
+        while True:
+            z = np.zeros(len(free))
+            z[active] = np.linalg.lstsq(h[np.ix_(active, active)], c[active], rcond=None)[0]
+            low = active & (z <= 0)
+            if not low.any():
+                break
+            x = x + min(x[i] / (x[i] - z[i]) if x[i] > z[i] else 0.0 for i in np.flatnonzero(low)) * (z - x)
+            active &= x > 1e-15
+            x[~active] = 0.0
+            if not active.any():
+                break
+        x = z if not low.any() else x
+    out = np.zeros(len(w))
+    out[free] = x
+    return out
 
 
-def optimal_weights(rows: DataFrame, groups: list[str], members: dict[tuple, list[int]], k: int, tol: float = 1e-6, max_steps: int = 60) -> dict[tuple, list[float]]:
-    """Stacking weights: the maximiser of sum log sum_j w_j p_ij on the simplex, by sequential quadratic programming.
+def optimal_weights(rows: DataFrame, groups: list[str], members: dict[tuple, list[int]], k: int, tol: float = KKT_TOL, max_steps: int = 60) -> dict[tuple, tuple[np.ndarray, float, int]]:
+    """(weights, KKT gap, rounds) of every group: the maximiser of sum log sum_j w_j p_ij on the simplex, by sequential quadratic programming.
 
-    The objective is concave. Each round is one pass over ``rows`` for all groups together, returning k x k
-    numbers per group; ``max_j mean(p_ij / density) - 1`` bounds the remaining gain per row and stops the loop.
+    The objective is concave. Each round is one pass over the rows of the unfinished groups for the moments and one for the step size;
+    ``max_j mean(p_ij / density) - 1`` bounds what any weights could add to the mean log density and ends the loop. No convergence is an error.
     """
     w = {g: np.array([1.0 / len(ms) if i in ms else 0.0 for i in range(k)]) for g, ms in members.items()}
-    now = _curvature(rows, groups, w, k)
-    todo = set(w)
-    for _ in range(max_steps):
-        todo = {g for g in todo if max(now[g][1][i] for i in members[g]) - 1.0 >= tol}
-        if not todo:
-            break
-        aim = {}
-        for g in todo:
-            x = _quadratic_step(w[g], now[g][1], now[g][2], members[g])
-            x = 1e-3 * w[g] + (1 - 1e-3) * x / x.sum()  # stay inside, so the next density is positive
-            aim[g] = np.where(x > 1e-14, x, 0.0) / x.sum()
-        for _ in range(60):
-            trial = _curvature(rows, groups, {**w, **aim}, k)
-            worse = [g for g in aim if trial[g][0] < now[g][0] - 1e-13]
-            if not worse:
-                break
-            for g in worse:
-                aim[g] = (aim[g] + w[g]) / 2
-        else:
-            raise RuntimeError("stacking weights: no step along the search direction improves the objective")
-        w, now = {**w, **aim}, trial
-    else:
-        if any(max(now[g][1][i] for i in members[g]) - 1.0 >= tol for g in todo):
-            raise RuntimeError(f"stacking weights did not converge in {max_steps} rounds")
-    return {g: (v / v.sum()).tolist() for g, v in w.items()}
-
-
-def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_key", lpd: str = "lpd_obs", tol: float = 1e-6, em_steps: int | None = None) -> DataFrame:
-    """Weight table (groups, model_key, weight, rank, singleton_elpd, best_singleton, objective flags)."""
+    done: dict[tuple, tuple[np.ndarray, float, int]] = {}
+    for step in range(max_steps):
+        now = _moments(rows, groups, {g: v for g, v in w.items() if g not in done})
+        gaps = {g: float(max(grad[i] for i in members[g]) - 1.0) for g, (grad, _) in now.items()}
+        done |= {g: (w[g], gap, step) for g, gap in gaps.items() if gap < tol}
+        if len(done) == len(w):
+            return done
+        tried = {}
+        for g in gaps.keys() - done.keys():
+            x = _quadratic_step(w[g], *now[g], members[g])
+            aim = INSIDE * w[g] + (1 - INSIDE) * x / x.sum()
+            if gaps[g] < FULL_STEP_GAP:
+                w[g] = aim
+            else:
+                tried[g] = [w[g], *[w[g] + a * (aim - w[g]) for a in STEP_SIZES]]
+        for g, values in (objectives(rows, groups, tried) if tried else {}).items():
+            best = int(np.argmax(values[1:])) + 1
+            if values[best] < values[0] - 1e-13:
+                raise RuntimeError(f"stacking weights: no step along the search direction improves the objective of {g}")
+            w[g] = tried[g][best]
+    raise RuntimeError(f"stacking weights did not converge in {max_steps} rounds: {[g for g in w if g not in done]}")
+
+
+def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_key", lpd: str = "lpd_obs", tol: float = KKT_TOL) -> DataFrame:
+    """Weight table (groups, model_key, weight, singleton_elpd, best_singleton, objective, kkt_gap, rounds, converged, rank).
+
+    Weights are optimal up to ``tol`` (see :func:`optimal_weights`); those of at most ``ZERO_WEIGHT`` are set to zero and the others rescaled.
+    """
     from firmlens.session import materialise
 
     spark = obs.sparkSession
@@ -228,17 +236,22 @@ def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_k
         if at is None or (-r.singleton_elpd, r[key]) < (-at[0], at[1]):  # the first key on ties, as in singleton_weights
             best[g] = (r.singleton_elpd, r[key])
     rows = materialise(density_rows(obs, groups, ids, models, key, lpd), "densities")
-    k = len(models)
-    w = em_weights(rows, groups, members, k, em_steps) if em_steps else optimal_weights(rows, groups, members, k, tol)
-    final = em_step(rows, groups, w, len(models))
-    for g, (_, _, objective, _) in final.items():
-        if objective < best[g][0] - 1e-6:  # singleton guard
-            w[g] = [1.0 if m == best[g][1] else 0.0 for m in models]
-    out = [
-        (*(r[c] for c in groups), r[key], float(w[tuple(r[c] for c in groups)][models.index(r[key])]), r.singleton_elpd, best[tuple(r[c] for c in groups)][1])
-        for r in table
-    ]
+    found = optimal_weights(rows, groups, members, len(models), tol)
+    final = {}
+    for g, (w, _, _) in found.items():
+        w = np.where(w > ZERO_WEIGHT, w, 0.0)
+        final[g] = w / w.sum()
+    value = objectives(rows, groups, {g: [w, np.array([float(m == best[g][1]) for m in models])] for g, w in final.items()})
+    for g, (mixed, alone) in value.items():
+        if mixed < alone - 1e-9:  # singleton guard; a mean over rows
+            final[g] = np.array([float(m == best[g][1]) for m in models])
+    counts = {tuple(r[c] for c in groups): r["n"] for r in rows.groupBy(*groups).agg(F.count("*").alias("n")).collect()}
+    out = []
+    for r in table:
+        g = tuple(r[c] for c in groups)
+        out.append((*g, r[key], float(final[g][models.index(r[key])]), r.singleton_elpd, best[g][1], max(value[g]) * counts[g], found[g][1], found[g][2], found[g][1] < tol))
     schema = obs.select(*groups, key).schema.add("weight", "double").add("singleton_elpd", "double").add("best_singleton", "string")
+    schema = schema.add("objective", "double").add("kkt_gap", "double").add("rounds", T.IntegerType()).add("converged", "boolean")
     return ranked_weights(spark.createDataFrame(out, schema), groups, key)
 
 
