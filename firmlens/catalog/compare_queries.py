@@ -204,8 +204,8 @@ def raw_folded(spark, d):
 
 @query("pre5_fold_local_preprocessing", sql_with("fold_views", fold_cut_sql()))
 def _(spark, d):
-    z = prep.fold_local(raw_folded(spark, d).select("sample", "company", "year", "fold_id", *ZV), ["sample"], ZV, K)
-    return z.filter("part = 'test'").select("sample", "fold", "company", "year", *cols_df(ZV))
+    z = prep.fold_local(raw_folded(spark, d).select("sample", "company", "year", "fold_id", *ZV), ["sample"], ZV, K, part="test")
+    return z.select("sample", "fold", "company", "year", *cols_df(ZV))
 
 
 @query("pre6_fold_local_standardisation", sql_with("folded_row", "WITH m AS (SELECT t.sample, k.fold, " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS sd_{c}" for c in ZV)

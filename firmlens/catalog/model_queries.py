@@ -226,8 +226,8 @@ cte("sc_best", "sc_fits sc_block sc_train", f"""SELECT scheme, sample, fold_id,
   FROM sc_fits f JOIN (SELECT scheme, sample, fold_id, g AS n FROM sc_train WHERE i = 1 AND j = 1) t USING (scheme, sample, fold_id)
   LEFT JOIN (SELECT scheme, sample, fold_id, lam, sum(g / (m * m) * ln(1 + lam * m)) AS ld FROM sc_block CROSS JOIN sc_grid WHERE i = 1 AND j = 1 GROUP BY ALL) l USING (scheme, sample, fold_id, lam)) GROUP BY ALL""")
 cte("scores", "sc_rows sc_best sc_firm", f"""SELECT scheme, target_space, model_id, CASE variant WHEN 'pooled' THEN '{POOLED}' ELSE '{FIRM_RE}' END AS variant, model_id || '_' || target_space || '_' || variant AS model_key, company, year, fold_id, y AS y_actual, pred AS pred_mean, sigma AS pred_sd,
-  -0.5 * ln(2 * pi()) - ln(sigma) - (y - pred) * (y - pred) / (2 * sigma * sigma) AS lpd_obs, abs(y - pred) AS abs_error, (y - pred) * (y - pred) AS squared_error
- FROM (SELECT r.scheme, r.sample AS target_space, b.model_id, b.variant, r.company, r.year, r.fold_id, v[{SP + 1}] AS y, sigma, list_dot_product(v[1:{SP}], beta) + CASE WHEN b.variant = 'firm_re' AND f.s IS NOT NULL THEN lam / (1 + lam * f.s[1]) * (f.s[{SP + 1}] - list_dot_product(f.s[1:{SP}], beta)) ELSE 0 END AS pred
+  -0.5 * ln(2 * pi()) - ln(sigma) - (y - pred) * (y - pred) / (2 * sigma * sigma) AS lpd_obs, abs(y - pred) AS abs_error, (y - pred) * (y - pred) AS squared_error, primary_row_target_inclusion
+ FROM (SELECT r.scheme, r.sample AS target_space, b.model_id, b.variant, r.company, r.year, r.fold_id, v[{SP + 1}] AS y, sigma, r.scheme = 'grouped' OR f.s IS NOT NULL AS primary_row_target_inclusion, list_dot_product(v[1:{SP}], beta) + CASE WHEN b.variant = 'firm_re' AND f.s IS NOT NULL THEN lam / (1 + lam * f.s[1]) * (f.s[{SP + 1}] - list_dot_product(f.s[1:{SP}], beta)) ELSE 0 END AS pred
   FROM sc_rows r JOIN sc_best b ON r.scheme = b.scheme AND r.sample = b.sample AND r.fold_id = b.fold_id LEFT JOIN sc_firm f ON f.scheme = r.scheme AND f.sample = r.sample AND f.company = r.company AND f.fold_id = r.fold_id)""")
 
 
@@ -237,15 +237,26 @@ def scores(spark, d):
         parts = []
         for s in ("row", "grouped"):
             rows = folded(spark, d, s).withColumnRenamed("sample", "target_space")
-            parts.append(scoring.cv_scores(rows, MODELS, GRID, refine=False).select(F.lit(s).alias("scheme"), "*"))
+            found = scoring.cv_scores(rows, MODELS, GRID, refine=False)
+            # Only held-out rows of firms with rows in other folds are targets of the row scheme; every row is one of the grouped scheme.
+            found = scoring.with_inclusion(found, rows) if s == "row" else found.withColumn("primary_row_target_inclusion", F.lit(True))
+            parts.append(found.select(F.lit(s).alias("scheme"), "*"))
         return parts[0].unionByName(parts[1])
 
     return stage(spark, d, "scores", build)
 
 
-@query("reg8_held_out_scores", sql_with("scores", f"SELECT scheme, target_space, model_id, variant, company, year, {cols_sql(['pred_mean', 'pred_sd', 'lpd_obs'], 5)} FROM scores"))
+cte("primary_scores", "scores", "SELECT * FROM scores WHERE primary_row_target_inclusion")
+
+
+def primary_scores(spark, d):
+    """Scores of the rows that a scheme aims at: what roll-ups and stacking use."""
+    return scores(spark, d).filter("primary_row_target_inclusion")
+
+
+@query("reg8_held_out_scores", sql_with("scores", f"SELECT scheme, target_space, model_id, variant, company, year, primary_row_target_inclusion, {cols_sql(['pred_mean', 'pred_sd', 'lpd_obs'], 5)} FROM scores"))
 def _(spark, d):
-    return scores(spark, d).select("scheme", "target_space", "model_id", "variant", "company", "year", *cols_df(["pred_mean", "pred_sd", "lpd_obs"], 5))
+    return scores(spark, d).select("scheme", "target_space", "model_id", "variant", "company", "year", "primary_row_target_inclusion", *cols_df(["pred_mean", "pred_sd", "lpd_obs"], 5))
 
 
 @query("reg7_random_intercept_ml", sql_with("sc_best", f"SELECT sample, fold_id, model_id, {r('lam')} AS lam, {r('sigma')} AS sigma, {r('ll', 4)} AS loglik FROM sc_best WHERE scheme = 'row' AND variant = 'firm_re'"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firmlens.catalog.common import K, stage
-from firmlens.catalog.model_queries import scores
+from firmlens.catalog.model_queries import primary_scores
 from firmlens.catalog.panel_queries import cols_df, cols_sql
 from firmlens.catalog.registry import cte, query, r, sql_with
 from firmlens.functions.columns import rnd
@@ -17,8 +17,8 @@ MK = ["scheme", "target_space", "model_id", "variant"]
 G = ["scheme", "target_space"]
 IDS = ["company", "year"]
 
-cte("fold_scores", "scores", """SELECT scheme, target_space, model_id, variant, fold_id, count(*) AS n_test_obs, count(DISTINCT company) AS n_test_firms, sum(lpd_obs) AS elpd_fold, avg(lpd_obs) AS mean_lpd_obs,
- sqrt(avg(squared_error)) AS rmse, avg(abs_error) AS mae FROM scores GROUP BY ALL""")
+cte("fold_scores", "primary_scores", """SELECT scheme, target_space, model_id, variant, fold_id, count(*) AS n_test_obs, count(DISTINCT company) AS n_test_firms, sum(lpd_obs) AS elpd_fold, avg(lpd_obs) AS mean_lpd_obs,
+ sqrt(avg(squared_error)) AS rmse, avg(abs_error) AS mae FROM primary_scores GROUP BY ALL""")
 cte("model_scores", "fold_scores", """SELECT scheme, target_space, model_id, variant, CAST(sum(n_test_obs) AS BIGINT) AS n_test_obs_total, CAST(sum(n_test_firms) AS BIGINT) AS n_test_firms_total, sum(elpd_fold) AS elpd_kfold,
  sum(n_test_obs * mean_lpd_obs) / sum(n_test_obs) AS mean_lpd_obs, stddev_samp(elpd_fold) AS sd_elpd_fold, sqrt(sum(n_test_obs * rmse * rmse) / sum(n_test_obs)) AS rmse, sum(n_test_obs * mae) / sum(n_test_obs) AS mae FROM fold_scores GROUP BY ALL""")
 cte("fold_diag", "fold_scores", """SELECT scheme, target_space, model_id, variant, fold_id, n_test_obs > 5 AS completed, 1 + round(rmse, 4) / 100 AS max_rhat, n_test_obs * 1.5 AS min_ess_bulk, n_test_obs * 1.2 AS min_ess_tail,
@@ -32,7 +32,7 @@ cte("reliability", "fold_diag", f"""SELECT *, reliability_flag IN ('OK', 'CAUTIO
 def fold_diag(spark, d):
     """Fold diagnostics table as a sampler would deliver it, here derived from the fold scores."""
     n = F.col("n_test_obs")
-    return ST.fold_scores(scores(spark, d), MK).select(
+    return ST.fold_scores(primary_scores(spark, d), MK).select(
         *MK, "fold_id", (n > 5).alias("completed"), (1 + F.round("rmse", 4) / 100).alias("max_rhat"), (n * 1.5).alias("min_ess_bulk"),
         (n * 1.2).alias("min_ess_tail"), F.when(F.col("rmse") > 1.2, 1).otherwise(0).alias("divergences"), F.lit(0).alias("treedepth_warnings"))
 
@@ -74,7 +74,7 @@ def optimum_sql(src: str, prefix: str) -> str:
 
 
 _LABEL = f"split_part(model_key, '_', 1) AS model_id, CASE WHEN model_key LIKE '%firm_re' THEN '{FIRM_RE}' ELSE '{POOLED}' END AS variant"
-cte("weights", "scores", f"WITH {optimum_sql('scores', 'opt')} SELECT *, {_LABEL}, row_number() OVER (PARTITION BY scheme, target_space ORDER BY weight DESC, model_key) AS rank FROM opt_final")
+cte("weights", "primary_scores", f"WITH {optimum_sql('primary_scores', 'opt')} SELECT *, {_LABEL}, row_number() OVER (PARTITION BY scheme, target_space ORDER BY weight DESC, model_key) AS rank FROM opt_final")
 
 
 def labelled(w):
@@ -83,12 +83,12 @@ def labelled(w):
 
 def weights(spark, d):
     """Optimal stacking weights, a stage table."""
-    return stage(spark, d, "weights", lambda: labelled(ST.stack(scores(spark, d), G, IDS)))
+    return stage(spark, d, "weights", lambda: labelled(ST.stack(primary_scores(spark, d), G, IDS)))
 
 
 @query("stk1_score_rollup", sql_with("model_scores", f"SELECT {', '.join(MK)}, n_test_obs_total, n_test_firms_total, {cols_sql(['elpd_kfold', 'sd_elpd_fold'], 3)}, {cols_sql(['mean_lpd_obs', 'rmse', 'mae'], 5)} FROM model_scores"))
 def _(spark, d):
-    out = ST.model_scores(ST.fold_scores(scores(spark, d), MK), MK)
+    out = ST.model_scores(ST.fold_scores(primary_scores(spark, d), MK), MK)
     return out.select(*MK, "n_test_obs_total", "n_test_firms_total", *cols_df(["elpd_kfold", "sd_elpd_fold"], 3), *cols_df(["mean_lpd_obs", "rmse", "mae"], 5))
 
 
@@ -98,42 +98,42 @@ def _(spark, d):
     return out.select(*MK, "n_folds_attempted", "n_folds_completed", *cols_df(["max_rhat", "min_ess_bulk", "min_ess_tail"], 6), "divergences", "treedepth_warnings", "reliability_flag", "included_in_stack")
 
 
-@query("stk3_alignment", sql_with("scores", """
-WITH p AS (SELECT scheme, target_space, company, year, count(DISTINCT model_key) AS m, count(*) AS c FROM scores GROUP BY ALL), n AS (SELECT scheme, target_space, count(DISTINCT model_key) AS n_models FROM scores GROUP BY ALL)
+@query("stk3_alignment", sql_with("primary_scores", """
+WITH p AS (SELECT scheme, target_space, company, year, count(DISTINCT model_key) AS m, count(*) AS c FROM primary_scores GROUP BY ALL), n AS (SELECT scheme, target_space, count(DISTINCT model_key) AS n_models FROM primary_scores GROUP BY ALL)
 SELECT scheme, target_space, n_models, count(*) AS n_obs, count_if(m < n_models) AS n_incomplete, count_if(c > m) AS n_duplicated, count_if(m < n_models) = 0 AND count_if(c > m) = 0 AS aligned FROM p JOIN n USING (scheme, target_space) GROUP BY scheme, target_space, n_models"""))
 def _(spark, d):
-    return ST.alignment_report(scores(spark, d), G, IDS)
+    return ST.alignment_report(primary_scores(spark, d), G, IDS)
 
 
-@query("stk4_log_mean_exp", sql_with("scores", f"""
-SELECT scheme, target_space, company, year, count(*) AS n, {r('max(lpd_obs) + ln(avg(exp(lpd_obs - m)))', 5)} AS lme FROM (SELECT *, max(lpd_obs) OVER (PARTITION BY scheme, target_space, company, year) AS m FROM scores) GROUP BY scheme, target_space, company, year"""))
+@query("stk4_log_mean_exp", sql_with("primary_scores", f"""
+SELECT scheme, target_space, company, year, count(*) AS n, {r('max(lpd_obs) + ln(avg(exp(lpd_obs - m)))', 5)} AS lme FROM (SELECT *, max(lpd_obs) OVER (PARTITION BY scheme, target_space, company, year) AS m FROM primary_scores) GROUP BY scheme, target_space, company, year"""))
 def _(spark, d):
-    return ST.log_mean_exp(scores(spark, d), G + IDS, "lpd_obs").withColumn("lme", rnd("lme", 5))
+    return ST.log_mean_exp(primary_scores(spark, d), G + IDS, "lpd_obs").withColumn("lme", rnd("lme", 5))
 
 
 @query("stk5_stacking_weights", sql_with("weights", f"SELECT scheme, target_space, model_key, {r('weight', 4)} AS weight, {r('singleton_elpd', 3)} AS singleton_elpd, best_singleton, {r('objective', 3)} AS objective, converged FROM weights"))
 def _(spark, d):
-    out = ST.stack(scores(spark, d), G, IDS)
+    out = ST.stack(primary_scores(spark, d), G, IDS)
     return out.select("scheme", "target_space", "model_key", rnd("weight", 4).alias("weight"), rnd("singleton_elpd", 3).alias("singleton_elpd"), "best_singleton", rnd("objective", 3).alias("objective"), "converged")
 
 
 @query("stk5_converged_weights")
 def _(spark, d):
-    return ST.stack(scores(spark, d), G, IDS)
+    return ST.stack(primary_scores(spark, d), G, IDS)
 
 
 @query("stk6_pseudo_bma", sql_with("model_scores", f"SELECT {', '.join(MK)}, {r('exp(elpd_kfold - max(elpd_kfold) OVER w) / sum(exp(elpd_kfold - mx)) OVER w')} AS weight FROM (SELECT *, max(elpd_kfold) OVER (PARTITION BY scheme, target_space) AS mx FROM model_scores) WINDOW w AS (PARTITION BY scheme, target_space)"))
 def _(spark, d):
-    ms = ST.model_scores(ST.fold_scores(scores(spark, d), MK), MK)
+    ms = ST.model_scores(ST.fold_scores(primary_scores(spark, d), MK), MK)
     return ST.pseudo_bma(ms, G).select(*MK, rnd("weight").alias("weight"))
 
 
-@query("stk7_singleton_and_objective", sql_with("scores", f"""
-WITH e AS (SELECT scheme, target_space, model_key, sum(lpd_obs) AS elpd FROM scores GROUP BY ALL), b AS (SELECT scheme, target_space, arg_max(model_key, elpd) AS best_model, max(elpd) AS best_elpd, count(*) AS k FROM e GROUP BY ALL),
-q AS (SELECT scheme, target_space, sum(l) AS obj FROM (SELECT scheme, target_space, company, year, max(lpd_obs) + ln(avg(exp(lpd_obs - m))) AS l FROM (SELECT *, max(lpd_obs) OVER (PARTITION BY scheme, target_space, company, year) AS m FROM scores) GROUP BY ALL) GROUP BY ALL)
+@query("stk7_singleton_and_objective", sql_with("primary_scores", f"""
+WITH e AS (SELECT scheme, target_space, model_key, sum(lpd_obs) AS elpd FROM primary_scores GROUP BY ALL), b AS (SELECT scheme, target_space, arg_max(model_key, elpd) AS best_model, max(elpd) AS best_elpd, count(*) AS k FROM e GROUP BY ALL),
+q AS (SELECT scheme, target_space, sum(l) AS obj FROM (SELECT scheme, target_space, company, year, max(lpd_obs) + ln(avg(exp(lpd_obs - m))) AS l FROM (SELECT *, max(lpd_obs) OVER (PARTITION BY scheme, target_space, company, year) AS m FROM primary_scores) GROUP BY ALL) GROUP BY ALL)
 SELECT scheme, target_space, best_model, {r('best_elpd', 3)} AS singleton_objective, {r('obj', 3)} AS equal_weight_objective FROM b JOIN q USING (scheme, target_space)"""))
 def _(spark, d):
-    s = scores(spark, d)
+    s = primary_scores(spark, d)
     elpd = s.groupBy(*G, "model_key").agg(F.sum("lpd_obs").alias("elpd_kfold"))
     single = ST.singleton_weights(elpd, G)
     n = elpd.groupBy(*G).agg(F.count("*").alias("k"))
@@ -143,9 +143,9 @@ def _(spark, d):
     return best.join(obj(single, "singleton_objective"), G).join(obj(equal, "equal_weight_objective"), G)
 
 
-@query("stk8_two_model_weight", sql_with("scores", f"WITH two AS (SELECT * REPLACE (target_space || ':' || model_id AS target_space) FROM scores), {optimum_sql('two', 'tw')} SELECT scheme, split_part(target_space, ':', 1) AS target_space, split_part(target_space, ':', 2) AS model_id, {r('weight', 4)} AS firm_re_weight, converged FROM tw_final WHERE model_key LIKE '%firm_re'"))
+@query("stk8_two_model_weight", sql_with("primary_scores", f"WITH two AS (SELECT * REPLACE (target_space || ':' || model_id AS target_space) FROM primary_scores), {optimum_sql('two', 'tw')} SELECT scheme, split_part(target_space, ':', 1) AS target_space, split_part(target_space, ':', 2) AS model_id, {r('weight', 4)} AS firm_re_weight, converged FROM tw_final WHERE model_key LIKE '%firm_re'"))
 def _(spark, d):
-    pairs = scores(spark, d).withColumn("model_key", F.when(F.col("variant") == FIRM_RE, "firm_re").otherwise("pooled"))
+    pairs = primary_scores(spark, d).withColumn("model_key", F.when(F.col("variant") == FIRM_RE, "firm_re").otherwise("pooled"))
     out = ST.stack(pairs, [*G, "model_id"], IDS).filter("model_key = 'firm_re'")
     return out.select(*G, "model_id", rnd("weight", 4).alias("firm_re_weight"), "converged")
 
@@ -205,12 +205,12 @@ def _(spark, d):
     return ST.variant_shift(weight_pairs(spark, d), ["target_space"]).select("target_space", *cols_df(SHIFT, 4))
 
 
-@query("stk11_pooled_only_substack", sql_with("scores", f"""WITH po AS (SELECT * FROM scores WHERE variant = '{POOLED}'), {optimum_sql('po', 'pw')},
+@query("stk11_pooled_only_substack", sql_with("primary_scores", f"""WITH po AS (SELECT * FROM primary_scores WHERE variant = '{POOLED}'), {optimum_sql('po', 'pw')},
 f AS (SELECT target_space, {FAM_SQL} AS family, sum(CASE WHEN scheme = 'row' THEN weight ELSE 0 END) AS wa, sum(CASE WHEN scheme = 'grouped' THEN weight ELSE 0 END) AS wb FROM (SELECT *, split_part(model_key, '_', 1) AS model_id FROM pw_final) GROUP BY ALL),
 t AS (SELECT target_space, sum(abs(wa - wb)) AS l1, max(abs(wa - wb)) AS mx, arg_max(family, wa) AS fa, arg_max(family, wb) AS fb FROM f GROUP BY target_space)
 SELECT target_space, {r('l1', 5)} AS shift_l1, {r('mx', 5)} AS shift_max, fa AS top_family_a, fb AS top_family_b, CASE WHEN fa <> fb OR l1 >= 0.2 OR mx >= 0.1 THEN 'ACCOUNTING_FAMILY_SHIFT_REMAINS_WITHOUT_FIRMRE' ELSE 'JOINT_SHIFT_DOMINATED_BY_HETEROGENEITY' END AS decision FROM t"""))
 def _(spark, d):
-    pooled = scores(spark, d).filter(F.col("variant") == POOLED)
+    pooled = primary_scores(spark, d).filter(F.col("variant") == POOLED)
     w = labelled(ST.stack(pooled, G, IDS))
     out = ST.family_shift(w, "row", "grouped", ["target_space"])
     return out.withColumns({c: rnd(c, 5) for c in ("shift_l1", "shift_max")})

@@ -6,6 +6,7 @@ the rows, a tiny per-partition total table supplies the offsets, and everything
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -227,27 +228,81 @@ def quantiles_long(df: DataFrame, keys: list[str], probs: list[float], value: st
     (:func:`select_ranks`). One path serves groups of all sizes, ties included, and no group is sorted in one task.
     """
     data = df.filter(~missing(value)).select(*keys, F.col(value).cast("double").alias("_x"))
-    unit = 1.0 / accuracy
-    at = sorted({min(1.0, max(0.0, p + side * MARGIN * unit)) for p in probs for side in (-1, 1)})
-    m = len(at)
+    at = _fractions(probs, accuracy)
     sketch = materialise(data.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", at, accuracy).alias("_p")), "pivots")
-    # Interval j lies between the pivots j - 1 and j. It is kept if a wanted row may be in it by the sketch's promise, give or take a row.
-    n, wants = F.col("_n"), F.expr(f"array({', '.join(f'{float(p)!r}D' for p in probs)})")
+    sketch = _prefetched(sketch, probs, at, accuracy)
+    hist = _histogram(data, sketch, keys, [], len(at))
+    return _from_counts(hist, sketch, keys, probs, lambda missed: _on(data, missed, keys).withColumn("_c", F.lit(1).cast("long")), bound)
+
+
+def complement_quantiles_long(df: DataFrame, keys: list[str], fold: str, folds: list[int], probs: list[float], value: str = "x", accuracy: int = 10000, bound: int = BOUND) -> DataFrame:
+    """Exact quantiles of the training part of every fold: rows (keys, fold, n, q) over the rows of all other folds.
+
+    No row is copied. One pass sketches the pivots of all complements side by side, one counts rows by own fold and interval; the counts of a training part
+    are those of all folds less its own, and only the few values kept near the wanted ranks are repeated for the folds.
+    """
+    data = df.filter(~missing(value)).select(*keys, F.col(fold).alias("_own"), F.col(value).cast("double").alias("_x"))
+    at = _fractions(probs, accuracy)
+    parts = [F.percentile_approx(F.when(~F.col("_own").eqNullSafe(F.lit(k)), F.col("_x")), at, accuracy).alias(f"_p{k}") for k in folds]
+    sizes = [F.count_if(~F.col("_own").eqNullSafe(F.lit(k))).alias(f"_n{k}") for k in folds]
+    wide = materialise(data.groupBy(*keys).agg(*sizes, *parts), "pivots")
+    each = wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("fold"), F.col(f"_n{k}").alias("_n"), F.col(f"_p{k}").alias("_p")) for k in folds])))
+    each = _prefetched(each.where("_n > 0"), probs, at, accuracy)
+    m = len(at)
+    # All complements share one set of pivots; a kept interval of one of them covers several of the shared ones.
+    joint = wide.select(*keys, F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(f"_p{k}", F.array().cast("array<double>")) for k in folds])))).alias("_p"))
+    spans = each.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(m)), lambda j: F.struct(F.get("_kept", j).alias("keep"), F.when(j > 0, F.get("_p", j - 1)).alias("lo"), F.get("_p", j).alias("hi"))))).where("keep")
+    spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    joint = _on(joint, spans, keys)
+    size = F.size("_p")
+    lo = lambda j: F.when(j > 0, F.get("_p", j - 1))
+    inside = lambda j: F.exists("_spans", lambda s: (s["lo"].isNull() | (lo(j) >= s["lo"])) & (s["hi"].isNull() | (F.get("_p", j) <= s["hi"])))
+    # Shorter sets end in NaN, which no value exceeds.
+    joint = materialise(joint.select(*keys, F.concat("_p", F.array_repeat(F.lit(float("nan")), F.lit(m * len(folds)) - size)).alias("_p"), F.transform(F.sequence(F.lit(0), size), inside).alias("_kept")), "joint")
+    hist = _histogram(data, joint, keys, ["_own"], m * len(folds))
+    every = df.sparkSession.createDataFrame([(k,) for k in folds], "fold int")  # the folds of the design
+    counts = hist.crossJoin(F.broadcast(every)).where("NOT (_own <=> fold)").groupBy(*keys, "fold", "_cell", "_x").agg(F.sum("_c").alias("_c"))
+    shared = _on(each.select(*keys, "fold", "_n"), joint, keys)
+    again = lambda missed: _on(data.crossJoin(F.broadcast(every)).where("NOT (_own <=> fold)"), missed, [*keys, "fold"]).withColumn("_c", F.lit(1).cast("long"))
+    return _from_counts(materialise(counts, "complements"), shared, [*keys, "fold"], probs, again, bound)
+
+
+def _fractions(probs: list[float], accuracy: int) -> list[float]:
+    return sorted({min(1.0, max(0.0, p + side * MARGIN / accuracy)) for p in probs for side in (-1, 1)})
+
+
+def _wants(probs: list[float]) -> Column:
+    return F.expr(f"array({', '.join(f'{float(p)!r}D' for p in probs)})")
+
+
+def _lower_rank(p: Column) -> Column:
+    return F.floor((F.col("_n") - 1) * p) + 1
+
+
+def _prefetched(sketch: DataFrame, probs: list[float], at: list[float], accuracy: int) -> DataFrame:
+    """``sketch`` (keys, _n, _p) with ``_kept``: whether a wanted row may lie between the pivots j - 1 and j by the sketch's promise, give or take a row."""
+    n, wants, unit = F.col("_n"), _wants(probs), 1.0 / accuracy
     edges = F.expr(f"array({', '.join(f'{a!r}D' for a in (-1.0, *at, 2.0))})")
-    rank = lambda p: F.floor((n - 1) * p) + 1
-    kept = F.transform(F.sequence(F.lit(0), F.lit(m)), lambda j: F.exists(wants, lambda p: (rank(p) + 1 >= (F.get(edges, j) - unit) * n - 1) & (rank(p) <= (F.get(edges, j + 1) + unit) * n + 2)))
+    near = lambda j: F.exists(wants, lambda p: (_lower_rank(p) + 1 >= (F.get(edges, j) - unit) * n - 1) & (_lower_rank(p) <= (F.get(edges, j + 1) + unit) * n + 2))
     apart = lambda j: ~F.coalesce((j > 0) & (F.get("_p", j - 1) == F.get("_p", j)), F.lit(False))
-    sketch = sketch.withColumn("_kept", F.transform(kept, lambda k, j: k & apart(j)))
-    # The counts of a round are small enough to be written with the rows that stay.
+    return sketch.withColumn("_kept", F.transform(F.sequence(F.lit(0), F.lit(len(at))), lambda j: near(j) & apart(j)))
+
+
+def _histogram(data: DataFrame, pivots: DataFrame, keys: list[str], extra: list[str], n: int) -> DataFrame:
+    """(keys, extra, _cell, _x, _c): rows by cell, and by value where the interval is kept."""
     cell = F.col("_cell")
-    marked = _celled(data, sketch, keys, m)
-    stays = (cell % 2 == 0) & F.get("_kept", F.shiftright(cell, 1))
-    hist = marked.select(*keys, cell, F.when(stays, F.col("_x")).alias("_x")).groupBy(*keys, "_cell", "_x").agg(F.count("*").alias("_c"))
-    hist = materialise(hist, "histogram")
+    stays = (cell % 2 == 0) & F.coalesce(F.get("_kept", F.shiftright(cell, 1)), F.lit(False))
+    counted = _celled(data, pivots, keys, n).select(*keys, *extra, cell, F.when(stays, F.col("_x")).alias("_x"))
+    return materialise(counted.groupBy(*keys, *extra, "_cell", "_x").agg(F.count("*").alias("_c")), "histogram")
+
+
+def _from_counts(hist: DataFrame, sketch: DataFrame, keys: list[str], probs: list[float], again: Callable[[DataFrame], DataFrame], bound: int) -> DataFrame:
+    """Quantiles from ``hist`` (keys, _cell, _x, _c) and ``sketch`` (keys, _n, _p); ``again`` joins the data with intervals that were not kept."""
+    n, wants = F.col("_n"), _wants(probs)
     counts = hist.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_c"), F.count("_x").alias("_d"))
     counts = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_cell", "_c", "_d"))).alias("_counts"))
     each = F.transform(F.sequence(F.lit(0), F.lit(2 * len(probs) - 1)), lambda c: F.struct(
-        F.shiftright(c, 1).alias("_i"), (c % 2).alias("_t"), F.least(rank(F.get(wants, F.shiftright(c, 1))) + c % 2, n).cast("long").alias("_k")))
+        F.shiftright(c, 1).alias("_i"), (c % 2).alias("_t"), F.least(_lower_rank(F.get(wants, F.shiftright(c, 1))) + c % 2, n).cast("long").alias("_k")))
     wanted = _on(sketch, counts, keys).select(*keys, "_n", "_p", "_counts", F.inline(each))
     spots = wanted.select(*keys, "_n", "_p", "_i", "_t", "_k", F.inline(F.array(_locate(F.col("_counts"), F.col("_k")))))
     j = F.shiftright("cell", 1)
@@ -259,8 +314,8 @@ def quantiles_long(df: DataFrame, keys: list[str], probs: list[float], value: st
     inside = hist.where("_x IS NOT NULL").withColumnRenamed("_cell", "_part")
     if told[1]:  # the sketch was further off than it promises
         missed = materialise(spots.where("_hit IS NULL AND _d = 0").select(*keys, F.col("_cell").alias("_part"), "_lo", "_hi").distinct(), "missed")
-        again = _on(data, missed, keys).where("(_lo IS NULL OR _x > _lo) AND (_hi IS NULL OR _x < _hi)")
-        inside = inside.unionByName(again.groupBy(*keys, "_part", "_x").agg(F.count("*").alias("_c")))
+        found = again(missed).where("(_lo IS NULL OR _x > _lo) AND (_hi IS NULL OR isnan(_hi) OR _x < _hi)")
+        inside = inside.unionByName(found.groupBy(*keys, "_part", "_x").agg(F.sum("_c").alias("_c")))
     asked = spots.where("_hit IS NULL").select(*keys, F.col("_cell").alias("_part"), "_i", "_t", "_k", "_before")
     in_cell = [*keys, "_part"]
     narrow = not told[1] and (told[0] or 0) <= bound
@@ -272,6 +327,11 @@ def quantiles_long(df: DataFrame, keys: list[str], probs: list[float], value: st
     return _on(wide, sketch.select(*keys, "_n"), keys).select(*keys, F.col("_n").alias("n"), F.expr(f"array({q})").alias("q"))
 
 
+def complement_quantiles(df: DataFrame, keys: list[str], cols: list[str], fold: str, folds: list[int], probs: list[float]) -> DataFrame:
+    """Training quantiles of several columns and all folds at once: rows (keys, variable, fold, n, q)."""
+    return complement_quantiles_long(unpivot(df, [*keys, fold], cols), [*keys, "variable"], fold, folds, probs)
+
+
 def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
     """Exact quantiles of several columns at once: rows (keys, variable, n, q)."""
     return quantiles_long(unpivot(df, keys, cols), keys + ["variable"], probs)

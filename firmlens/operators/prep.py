@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.columns import clamp, finite, missing
-from firmlens.operators.ordered import quantiles, unpivot
+from firmlens.operators.ordered import complement_quantiles, quantiles, unpivot
 
 PROFILE_PROBS = [0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99]
 PROFILE_NAMES = ["p01", "p05", "p25", "median", "p75", "p95", "p99"]
@@ -90,14 +90,46 @@ def fold_views(df: DataFrame, k: int, fold: str = "fold_id") -> DataFrame:
     )
 
 
-def fold_local(df: DataFrame, keys: list[str], cols: list[str], k: int, winsor: bool = True) -> DataFrame:
-    """Winsorize then z-score with statistics of the training part of each fold only."""
-    views = fold_views(df, k)
-    ks = keys + ["fold"]
-    train = F.col("part") == "train"
+def complement_cutoffs(df: DataFrame, keys: list[str], cols: list[str], k: int, fold: str = "fold_id", lo: float = 0.01, hi: float = 0.99) -> DataFrame:
+    """(keys, variable, fold, n, lo, hi): cutoffs of the training part of every fold, without a copy of the rows for each."""
+    q = complement_quantiles(df, keys, cols, fold, list(range(1, k + 1)), [lo, hi])
+    return q.select(*keys, "variable", "fold", "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
+def clamped_moments(df: DataFrame, keys: list[str], cols: list[str], cuts: DataFrame, fold: str = "fold_id") -> DataFrame:
+    """(keys, variable, fold, n_train, mean, sd) of training values clamped to their fold's own cutoffs.
+
+    One scan sums the values of every own fold that lie inside or outside the cutoffs of each other fold; K is a design number, so the sums are K per own fold and
+    variable, and the shuffle carries only them.
+    """
+    ks = [*keys, "variable"]
+    long = unpivot(df, [*keys, fold], cols).filter(~missing("x"))
+    centre = long.groupBy(*ks).agg(F.avg("x").alias("_c"))
+    table = cuts.groupBy(*ks).agg(F.collect_list(F.struct("fold", "lo", "hi")).alias("_cuts"))  # one entry a fold
+    wide = long.join(F.broadcast(table.join(centre, ks)), ks)
+    each = wide.select(*ks, F.col(fold).alias("_own"), "_c", "x", F.inline("_cuts")).where("NOT (_own <=> fold)")
+    d = F.greatest(F.least(F.col("x"), F.col("hi")), F.col("lo")) - F.col("_c")
+    agg = each.groupBy(*ks, "fold").agg(F.max("_c").alias("_c"), F.count("*").alias("n_train"), F.sum(d).alias("s"), F.sum(d * d).alias("ss"))
+    n = F.col("n_train")
+    var = F.when(n > 1, F.greatest((F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1), F.lit(0.0)))
+    return agg.select(*ks, "fold", "n_train", (F.col("_c") + F.col("s") / n).alias("mean"), F.sqrt(var).alias("sd"))
+
+
+def fold_local(df: DataFrame, keys: list[str], cols: list[str], k: int, winsor: bool = True, fold: str = "fold_id", part: str = "both") -> DataFrame:
+    """Winsorize then z-score with statistics of the training part of each fold only.
+
+    Statistics come from complements (see :func:`complement_cutoffs`); rows are repeated only in what is returned: once per fold with their part
+    there, or each once in its own fold with ``part="test"``.
+    """
+    if winsor:
+        cuts = complement_cutoffs(df, keys, cols, k, fold)
+        st = clamped_moments(df, keys, cols, cuts, fold)
+    else:
+        st = complement_moments(df, keys, cols, fold)
+    views = df.withColumns({"fold": F.col(fold), "part": F.lit("test")}) if part == "test" else fold_views(df, k, fold)
+    ks = [*keys, "fold"]
     if winsor:
-        views = apply_cutoffs(views, cutoffs(views.filter(train), ks, cols), ks, cols)
-    st = train_moments(views.filter(train), ks, cols)
+        views = apply_cutoffs(views, cuts, ks, cols)
     return apply_zscore(views, st, ks, cols)
 
 
@@ -128,16 +160,18 @@ def complement_moments(df: DataFrame, keys: list[str], cols: list[str], fold: st
     )
 
 
-def leakage_audit(df: DataFrame, keys: list[str], cols: list[str], k: int) -> DataFrame:
+def leakage_audit(df: DataFrame, keys: list[str], cols: list[str], k: int, fold: str = "fold_id") -> DataFrame:
     """Training cutoffs of each fold against the global cutoffs, with capped shares on both parts."""
-    views = fold_views(df, k)
-    ks = keys + ["fold", "variable"]
-    local = cutoffs(views.filter(F.col("part") == "train"), keys + ["fold"], cols).drop("n")
+    ks = [*keys, "variable", "fold"]
+    local = complement_cutoffs(df, keys, cols, k, fold).drop("n")
     glob = cutoffs(df, keys, cols).select(*keys, "variable", F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi"))
-    long = unpivot(views, keys + ["fold", "part"], cols).filter(~missing("x")).join(F.broadcast(local), ks)
-    is_train = F.col("part") == "train"
+    table = local.groupBy(*keys, "variable").agg(F.collect_list(F.struct("fold", "lo", "hi")).alias("_cuts"))  # one entry a fold
+    long = unpivot(df, [*keys, fold], cols).filter(~missing("x")).join(F.broadcast(table), [*keys, "variable"])
+    # Each value meets the cutoffs of all folds inside the scan; only counts are shuffled.
+    each = long.select(*keys, "variable", F.col(fold).alias("_own"), "x", F.inline("_cuts"))
+    is_train = ~F.col("_own").eqNullSafe(F.col("fold"))
     lowc, highc = F.col("x") < F.col("lo"), F.col("x") > F.col("hi")
-    agg = long.groupBy(*ks).agg(
+    agg = each.groupBy(*ks).agg(
         F.max("lo").alias("train_lo"), F.max("hi").alias("train_hi"),
         F.count_if(is_train).alias("n_train"), F.count_if(~is_train).alias("n_test"),
         F.count_if(is_train & lowc).alias("train_low"), F.count_if(is_train & highc).alias("train_high"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions.naming import FIRM_RE, POOLED
 from firmlens.operators import lsq
+from firmlens.operators.cv import history_flags
 from firmlens.operators.stacking import model_key
 from firmlens.plans.models import FORMULAS, SPACE_MODELS
 from firmlens.session import materialise
@@ -41,6 +42,13 @@ def cv_scores(folded: DataFrame, models: dict[str, list[str]] = SPACE_MODELS, gr
     return out.withColumn("model_key", model_key())
 
 
+def with_inclusion(scores: DataFrame, folded: DataFrame) -> DataFrame:
+    """``scores`` with the flags of :func:`~firmlens.operators.cv.history_flags`: rows of firms without other folds are no targets of row validation."""
+    by = ["target_space", "company", "fold_id"]
+    flags = history_flags(folded.select(*by).distinct(), ["target_space"])
+    return scores.join(flags.select(*by, "same_firm_history_available", "primary_row_target_inclusion"), by).drop("same_firm_history_available")
+
+
 # The outcome specifications (controls, fixed effects, error type).
 SPECIFICATIONS = {
     "EV_BASELINE_CORE": (["size", "roa_curr", "revenue_growth"], ["industry", "year"], "firm", False),

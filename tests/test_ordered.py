@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from firmlens.operators import aggregates as A
 from firmlens.operators import compare as C
 from firmlens.operators import cv, infer
-from firmlens.operators.ordered import average_ranks, quantiles_long, rank_rows, running
+from firmlens.operators import prep
+from firmlens.operators.ordered import average_ranks, complement_quantiles_long, quantiles_long, rank_rows, running
 
 
 def hot(spark, n=5000, seed=1):
@@ -48,6 +49,40 @@ def test_quantiles_of_few_rows(spark):
     assert got == {n: (n, pytest.approx(np.quantile([float(k * k) for k in range(n)], probs).tolist())) for n in range(1, 8)}
 
 
+@pytest.mark.parametrize("accuracy, bound", [(10000, 1 << 15), (20, 4)])
+def test_quantiles_of_training_parts(spark, accuracy, bound):
+    rng = np.random.default_rng(6)
+    n = 1500
+    g, f = np.where(rng.random(n) < 0.8, "a", "b"), rng.integers(1, 4, n)
+    x = np.where(rng.random(n) < 0.4, 2.0, np.round(rng.normal(size=n), 3))
+    df = spark.createDataFrame([(str(a), int(b), float(c)) for a, b, c in zip(g, f, x)] + [("c", 1, 5.0), ("a", 2, None)], "g string, fold_id int, x double")
+    probs = [0.0, 0.01, 0.5, 0.9, 1.0]
+    got = {(r.g, r.fold): (r.n, r.q) for r in complement_quantiles_long(df, ["g"], "fold_id", [1, 2, 3], probs, accuracy=accuracy, bound=bound).collect()}
+    want = {(a, k): x[(g == a) & (f != k)] for a in "ab" for k in (1, 2, 3)} | {("c", 2): [5.0], ("c", 3): [5.0]}
+    assert got.keys() == want.keys()
+    for key, part in want.items():
+        assert got[key][0] == len(part) and got[key][1] == pytest.approx(np.quantile(part, probs).tolist(), abs=1e-12)
+
+
+def test_fold_local_matches_copies_of_the_rows(spark):
+    rng = np.random.default_rng(7)
+    n = 400
+    rows = [(f"s{i % 2}", i, int(rng.integers(1, 5)), float(rng.normal()), float(rng.exponential())) for i in range(n)]
+    df = spark.createDataFrame(rows, "sample string, id int, fold_id int, u double, v double")
+    got = {(r["sample"], r.id, r.fold): (r.part, r.u, r.v) for r in prep.fold_local(df, ["sample"], ["u", "v"], 4).collect()}
+    assert len(got) == 4 * n
+    for s in ("s0", "s1"):
+        part = [r for r in rows if r[0] == s]
+        for k in range(1, 5):
+            for c in (3, 4):
+                train = np.array([r[c] for r in part if r[2] != k])
+                lo, hi = np.quantile(train, [0.01, 0.99])
+                m, sd = np.clip(train, lo, hi).mean(), np.clip(train, lo, hi).std(ddof=1)
+                for r in part:
+                    assert got[s, r[1], k][c - 2] == pytest.approx((np.clip(r[c], lo, hi) - m) / sd, abs=1e-9)
+                    assert got[s, r[1], k][0] == ("test" if r[2] == k else "train")
+
+
 def test_no_window_sorts_a_group(spark):
     df, _, _ = hot(spark, 100)
     for frame in (quantiles_long(df, ["g"], [0.5]), average_ranks(df, ["g"], "x", "r")):
