@@ -206,7 +206,7 @@ def _publish(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def write_archives(pages: DataFrame, root: str | None = None, shard_bytes: int = 256 << 20, file_bytes: int = 64 << 20, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, root: str | None = None, shard_bytes: int = 64 << 20, file_bytes: int = 64 << 20, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
     """Write one record per row of ``pages`` under ``root`` (a new folder of the shared one by default); returns the folder and the manifest.
 
     Rows are cut into shards at exact running totals of stored bytes in the order of ids and sorted within them; a shard is one task's work and a
