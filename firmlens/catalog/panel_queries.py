@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from firmlens.functions.columns import precision_weight
 from firmlens.operators import panel as P
 from firmlens.operators import prep
 from firmlens.operators.ordered import unpivot
-from firmlens.sources.sinks import table_fingerprint
+from firmlens.session import shared_root
+from firmlens.sources.sinks import publish, published, table_fingerprint, verify_published
 from firmlens.sources.tables import require_columns
 
 MONEY = ["a", "ni", "rev", "cfo", "rec", "ppe", "cogs", "inv"]
@@ -108,6 +111,25 @@ def _(spark, d):
     return table_fingerprint(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
+@query("snk1_published_table", """
+SELECT o_orderstatus, count(*) AS n_rows, (round(CAST(sum(o_totalprice) AS DOUBLE), 2) + 0.0) AS total, true AS committed, true AS files_match, CAST(0 AS BIGINT) AS n_strangers,
+ (SELECT CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus)), 1, 12)) AS BIGINT)) AS VARCHAR) FROM orders) AS fingerprint
+FROM orders GROUP BY o_orderstatus""")
+def _(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    path = f"{shared_root(spark)}/firmlens/{spark.sparkContext.applicationId}/published-{uuid.uuid4().hex}"
+    manifest = publish(rows, path, partition_by=["o_orderstatus"])
+    back = published(spark, path, rows.schema)
+    files = verify_published(spark, path).agg(
+        (F.count("*") == F.count_if("in_manifest")).alias("committed"), F.bool_and(F.col("size_matches") & F.col("md5_matches")).alias("files_match"), F.count_if(~F.col("in_manifest")).alias("n_strangers"))
+    whole = table_fingerprint(back, ["o_orderkey", "o_custkey", "o_orderstatus"])
+    counted = manifest.agg(F.max("n_rows").alias("listed"))
+    by = back.groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.sum("o_totalprice").cast("double").alias("total"))
+    # Single rows of totals beside one row per status.
+    j = by.crossJoin(F.broadcast(files)).crossJoin(F.broadcast(whole.select("fingerprint", F.col("n_rows").alias("read")))).crossJoin(F.broadcast(counted))
+    return j.select("o_orderstatus", "n_rows", rnd("total", 2).alias("total"), (F.col("committed") & (F.col("listed") == F.col("read"))).alias("committed"), "files_match", "n_strangers", "fingerprint")
+
+
 # --- projections -------------------------------------------------------------------------------------
 
 @query("prj1_zero_as_missing", sql_with("firm_years", """

@@ -205,16 +205,25 @@ def _(spark, d):
 MV = ["ta_scaled", "roa_lag", "size"]
 
 
-@query("qa17_drift_check", sql_with("samples", f"""
-WITH l AS {unpivot_sql('samples', 'sample, industry', MV)}, m AS (SELECT sample, industry, variable, avg(x) AS v FROM l GROUP BY ALL)
-SELECT industry, count(*) AS n_matched, {r('max(abs(a.v - b.v))')} AS max_abs_difference, max(abs(a.v - b.v)) >= 0.005 AS blocked FROM (SELECT * FROM m WHERE sample = 'ex_post') a JOIN (SELECT * FROM m WHERE sample = 'real_time') b USING (industry, variable) GROUP BY industry"""))
+LPD = "-0.5::DOUBLE * ln(2 * pi()) - ln(nda_sd_predict) - 0.5 * pow((ta_scaled - nda_mean) / nda_sd_predict, 2)"
+
+
+@query("qa17_drift_check", sql_with("samples da", f"""
+WITH l AS {unpivot_sql('samples', 'sample, industry', MV)}, m AS (SELECT sample, industry, variable, avg(x) AS v FROM l GROUP BY ALL),
+t AS (SELECT sample, industry, sum({LPD}) AS total FROM da WHERE scheme = 'row' AND nda_sd_predict > 0 GROUP BY ALL),
+c AS (SELECT industry, count(*) AS n_matched, max(abs(a.v - b.v)) AS mx FROM (SELECT * FROM m WHERE sample = 'ex_post') a JOIN (SELECT * FROM m WHERE sample = 'real_time') b USING (industry, variable) GROUP BY industry),
+s AS (SELECT c.*, y.total - x.total AS sh FROM c LEFT JOIN (SELECT * FROM t WHERE sample = 'ex_post') x USING (industry) LEFT JOIN (SELECT * FROM t WHERE sample = 'real_time') y USING (industry))
+SELECT industry, n_matched, {r('mx')} AS max_abs_difference, {r('sh', 4)} AS total_shift, coalesce(abs(sh) >= 10, true) AS shift_blocked, mx >= 0.005 OR coalesce(abs(sh) >= 10, true) AS blocked FROM s"""))
 def _(spark, d):
+    from firmlens.functions.columns import normal_log_density
     from firmlens.operators.ordered import unpivot
 
     m = unpivot(samples(spark, d), ["sample", "industry"], MV).groupBy("sample", "industry", "variable").agg(F.avg("x").alias("v"))
     a = m.filter("sample = 'ex_post'").withColumn("variable", F.regexp_replace(F.upper("variable"), "_", "."))
-    out = Q.drift_check(a, m.filter("sample = 'real_time'"), ["industry"], "variable", "v")
-    return out.withColumn("max_abs_difference", rnd("max_abs_difference"))
+    held = da_table(spark, d).filter("scheme = 'row' AND nda_sd_predict > 0").groupBy("sample", "industry").agg(F.sum(normal_log_density("ta_scaled", "nda_mean", "nda_sd_predict")).alias("total"))
+    totals = tuple(held.filter(F.col("sample") == s).drop("sample") for s in ("ex_post", "real_time"))
+    out = Q.drift_check(a, m.filter("sample = 'real_time'"), ["industry"], "variable", "v", totals=totals)
+    return out.withColumns({"max_abs_difference": rnd("max_abs_difference"), "total_shift": rnd("total_shift", 4)})
 
 
 @query("qa18_status_counts", sql_with("cell_status", "SELECT 'cells' AS stage, status, count(*) AS n FROM cell_status GROUP BY status"))

@@ -159,12 +159,22 @@ def minimum_eligibility(grid: DataFrame, counts: DataFrame, keys: list[str], min
     return j.withColumn("eligible", F.col("n_eligible") >= minimum)
 
 
-def drift_check(a: DataFrame, b: DataFrame, by: list[str], name: str, value: str, max_diff: float = 0.005) -> DataFrame:
-    """Largest coefficient difference between two tables after mapping names to a common form."""
+def drift_check(a: DataFrame, b: DataFrame, by: list[str], name: str, value: str, max_diff: float = 0.005, totals: tuple[DataFrame, DataFrame] | None = None, max_shift: float = 10.0) -> DataFrame:
+    """Largest coefficient difference between two tables after mapping names to a common form, and the shift of their score totals.
+
+    ``totals`` are (by, total) of both runs. A difference of ``max_diff`` or more blocks, as does a shift of ``max_shift`` or more in either direction; a
+    total that one run lacks blocks too.
+    """
     norm = lambda df, out: df.select(*by, F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_").alias("_n"), F.col(value).alias(out))
     j = norm(a, "va").join(norm(b, "vb"), by + ["_n"])
-    return j.groupBy(*by).agg(F.count("*").alias("n_matched"), F.max(F.abs(F.col("va") - F.col("vb"))).alias("max_abs_difference")).withColumn(
-        "blocked", F.col("max_abs_difference") >= max_diff)
+    out = j.groupBy(*by).agg(F.count("*").alias("n_matched"), F.max(F.abs(F.col("va") - F.col("vb"))).alias("max_abs_difference"))
+    blocked = F.col("max_abs_difference") >= max_diff
+    if totals is None:
+        return out.withColumn("blocked", blocked)
+    ta, tb = (t.select(*by, F.col("total").alias(n)) for t, n in zip(totals, ("_ta", "_tb")))
+    shift = F.col("_tb") - F.col("_ta")
+    far = F.coalesce(F.abs("total_shift") >= max_shift, F.lit(True))
+    return out.join(ta, by, "left").join(tb, by, "left").withColumn("total_shift", shift).withColumn("shift_blocked", far).withColumn("blocked", blocked | far).drop("_ta", "_tb")
 
 
 def status_counts(df: DataFrame, stage: str, status: str) -> DataFrame:

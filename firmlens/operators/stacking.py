@@ -119,19 +119,19 @@ INSIDE = 1e-4  # share of the present weights that a step keeps, so that the nex
 
 
 def _with_weights(rows: DataFrame, groups: list[str], vectors: dict[tuple, list[np.ndarray]]) -> DataFrame:
-    """Density rows of the groups in ``vectors``, once for each weight vector (``t`` numbers them), with the mixture density ``d``."""
+    """Density rows of the groups in ``vectors``, once for each weight vector (``_t`` numbers them), with the mixture density ``_d``."""
     spark = rows.sparkSession
     k = len(next(iter(vectors.values()))[0])
-    schema = rows.select(*groups).schema.add("t", T.IntegerType()).add("w", T.ArrayType(T.DoubleType()))
+    schema = rows.select(*groups).schema.add("_t", T.IntegerType()).add("_w", T.ArrayType(T.DoubleType()))
     # A short row for each group (space, scheme) and vector, fixed by the model registry.
     table = spark.createDataFrame([(*g, t, [float(x) for x in v]) for g, vs in vectors.items() for t, v in enumerate(vs)], schema)
-    return rows.join(F.broadcast(table), groups).withColumn("d", F.expr(" + ".join(f"w[{i}] * p_{i}" for i in range(k))))
+    return rows.join(F.broadcast(table), groups).withColumn("_d", F.expr(" + ".join(f"_w[{i}] * p_{i}" for i in range(k))))
 
 
 def objectives(rows: DataFrame, groups: list[str], vectors: dict[tuple, list[np.ndarray]]) -> dict[tuple, list[float]]:
     """Mean log mixture density of every group at each of its weight vectors, in one pass."""
-    agg = _with_weights(rows, groups, vectors).groupBy(*groups, "t").agg(F.avg(F.col("m") + F.log("d")).alias("o")).collect()
-    found = {(*(r[c] for c in groups), r.t): r.o for r in agg}
+    agg = _with_weights(rows, groups, vectors).groupBy(*groups, "_t").agg(F.avg(F.col("m") + F.log("_d")).alias("_o")).collect()
+    found = {(*(r[c] for c in groups), r._t): r._o for r in agg}
     return {g: [found[(*g, t)] for t in range(len(vs))] for g, vs in vectors.items()}
 
 
@@ -141,15 +141,15 @@ def _moments(rows: DataFrame, groups: list[str], weights: dict[tuple, np.ndarray
     k (k + 2) numbers a group reach the driver.
     """
     k = len(next(iter(weights.values())))
-    shares = _with_weights(rows, groups, {g: [w] for g, w in weights.items()}).selectExpr(*groups, *[f"p_{i} / d AS c{i}" for i in range(k)])
+    shares = _with_weights(rows, groups, {g: [w] for g, w in weights.items()}).selectExpr(*groups, *[f"p_{i} / _d AS _c{i}" for i in range(k)])
     # One row for each first factor keeps the aggregate at k sums, few enough for generated code.
-    each = shares.selectExpr("*", f"posexplode(array({', '.join(f'c{i}' for i in range(k))})) AS (i, c)")
-    sums = [F.expr(f"sum(c * c{i}) AS h{i}") for i in range(k)]
+    each = shares.selectExpr("*", f"posexplode(array({', '.join(f'_c{i}' for i in range(k))})) AS (_i, _c)")
+    sums = [F.expr(f"sum(_c * _c{i}) AS _h{i}") for i in range(k)]
     out = {g: (np.zeros(k), np.zeros((k, k))) for g in weights}
-    for r in each.groupBy(*groups, "i").agg(F.count("*").alias("n"), F.sum("c").alias("g"), *sums).collect():
+    for r in each.groupBy(*groups, "_i").agg(F.count("*").alias("_n"), F.sum("_c").alias("_g"), *sums).collect():
         grad, hess = out[tuple(r[c] for c in groups)]
-        grad[r.i] = r.g / r.n
-        hess[r.i] = [r[f"h{j}"] / r.n for j in range(k)]
+        grad[r._i] = r._g / r._n
+        hess[r._i] = [r[f"_h{j}"] / r._n for j in range(k)]
     return {g: (grad, (hess + hess.T) / 2) for g, (grad, hess) in out.items()}
 
 
@@ -245,7 +245,7 @@ def stack(obs: DataFrame, groups: list[str], ids: list[str], key: str = "model_k
     for g, (mixed, alone) in value.items():
         if mixed < alone - 1e-9:  # singleton guard; a mean over rows
             final[g] = np.array([float(m == best[g][1]) for m in models])
-    counts = {tuple(r[c] for c in groups): r["n"] for r in rows.groupBy(*groups).agg(F.count("*").alias("n")).collect()}
+    counts = {tuple(r[c] for c in groups): r["_n"] for r in rows.groupBy(*groups).agg(F.count("*").alias("_n")).collect()}
     out = []
     for r in table:
         g = tuple(r[c] for c in groups)

@@ -134,3 +134,37 @@ def test_write_and_fingerprint_round_trip(spark, tmp_path):
     assert got == {"x.txt": (True, 5, "5d41402abc4b2a76b9719d911017c592"), "none.txt": (False, None, None)}
     with pytest.raises(FileNotFoundError):
         read_table(spark, str(tmp_path / "none.parquet"))
+
+
+def test_published_table_is_complete_or_absent(spark, tmp_path):
+    import glob
+    import os
+
+    from firmlens.sources.sinks import publish, published, verify_published
+
+    path = str(tmp_path / "table")
+    df = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(50)], "k int, g string")
+    with pytest.raises(FileNotFoundError):
+        published(spark, path)
+    manifest = publish(df, path, partition_by=["g"], rows_per_file=10)
+    rows = manifest.collect()
+    assert len(rows) >= 6 and {r.n_rows for r in rows} == {50} and {r.role for r in rows} == {"output"} and len({r.md5 for r in rows}) == len(rows)
+    assert sorted(map(tuple, published(spark, path, df.schema).select("k", "g").collect())) == sorted(map(tuple, df.collect()))
+    assert all(r.in_manifest and r.file_exists and r.size_matches and r.md5_matches for r in verify_published(spark, path).collect())
+    hit = sorted(glob.glob(f"{path}/_data/g=a/*.parquet"))
+    data = open(hit[0], "rb").read()
+    os.remove(os.path.join(os.path.dirname(hit[0]), f".{os.path.basename(hit[0])}.crc"))  # else the local file system refuses the file itself
+    open(hit[0], "wb").write(data[:-1] + bytes([data[-1] ^ 1]))
+    open(f"{path}/_data/g=a/stranger.parquet", "wb").write(data)
+    states = [(r.in_manifest, r.size_matches, r.md5_matches) for r in verify_published(spark, path).collect()]
+    assert states.count((True, True, False)) == 1 and states.count((False, False, False)) == 1
+    assert publish(df.limit(0), str(tmp_path / "none")).where("n_rows > 0").count() == 0
+
+
+def test_drift_check_blocks_on_score_totals(spark):
+    from firmlens.operators.quality import drift_check
+
+    coefs = [spark.createDataFrame([("x", "A.b", v), ("y", "A.b", 1.0), ("z", "A.b", 1.0), ("w", "A.b", 1.0)], "g string, n string, v double") for v in (1.0, 1.01)]
+    totals = tuple(spark.createDataFrame([("x", 0.0), ("y", t), ("z", 0.0)], "g string, total double") for t in (-100.0, -110.0))
+    got = {r.g: (r.shift_blocked, r.blocked) for r in drift_check(coefs[0], coefs[1], ["g"], "n", "v", totals=totals).collect()}
+    assert got == {"x": (False, True), "y": (True, True), "z": (False, False), "w": (True, True)}
