@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from firmlens.catalog import sweep as S
 from firmlens.catalog.common import K, da_joined, da_table, derived, folded, samples, stage, table, winsorized
-from firmlens.catalog.compare_queries import metric_pairs
+from firmlens.catalog.compare_queries import matched_sql, metric_pairs
 from firmlens.catalog.panel_queries import cols_df, cols_sql
 from firmlens.catalog.registry import cte, query, r, sql_with
 from firmlens.functions.columns import all_present, precision_weight, rnd
 from firmlens.functions.naming import FIRM_RE, POOLED, model_family
 from firmlens.operators import compare as C
 from firmlens.operators import infer, lsq
+from firmlens.operators.absorb import absorbed_ols
 from firmlens.operators import panel as P
 from firmlens.operators import stacking as ST
 from firmlens.operators.joins import full_weights
@@ -153,34 +154,81 @@ def _(spark, d):
     return out.select("outcome", "expected_sign", "observed_sign", "sign_pattern", *cols_df(["coefficient", "effect_size_sd", "effect_size_abs_mean"]))
 
 
+MEMBER_OUT = list(dict.fromkeys(scoring.CORE_OUTCOMES + scoring.HARMONISED_OUTCOMES))
+FLAGS = ["row_only", "grouped_only", "common"]
+CONTROLS = ["size", "roa_curr", "revenue_growth"]
+MEMBER_KEYS = ["target_space", "score", "outcome"]
+
+cte("membership_flags", "metric_pairs", f"""WITH {matched_sql('metric_pairs', 'sample, metric')} SELECT sample AS target_space, metric AS score, company, year,
+ CAST(fa AND NOT fb AS INTEGER)::DOUBLE AS row_only, CAST(fb AND NOT fa AS INTEGER)::DOUBLE AS grouped_only, CAST(fa AND fb AS INTEGER)::DOUBLE AS common FROM m2""")
+cte("member_rows", "membership_flags outcomes", " UNION ALL ".join(
+    f"SELECT target_space, score, '{o}' AS outcome, company, year, industry, {', '.join(FLAGS + CONTROLS)}, {o} AS y FROM membership_flags JOIN outcomes USING (company, year) WHERE {o} IS NOT NULL" for o in MEMBER_OUT))
+
+
 def membership_terms(spark, d):
-    """Outcome rows joined with the top-share classes of two scores, one row per (score, outcome, firm-year)."""
-    m = C.membership(metric_pairs(spark, d).filter("sample = 'ex_post' and metric <> 'da_z_pred'"), ["sample", "metric"], "a", "b")
+    """Outcome rows joined with the top-share classes of two scores, one row per (space, score, outcome, firm-year)."""
+    m = C.membership(metric_pairs(spark, d), ["sample", "metric"], "a", "b")
     cls = F.col("membership_class")
-    flags = m.select(F.col("metric").alias("score"), "company", "year", *[(cls == c).cast("double").alias(t) for c, t in (("a_only", "row_only"), ("b_only", "grouped_only"), ("both", "common"))])
+    flags = m.select(F.col("sample").alias("target_space"), F.col("metric").alias("score"), "company", "year",
+                     *[(cls == c).cast("double").alias(t) for c, t in (("a_only", "row_only"), ("b_only", "grouped_only"), ("both", "common"))])
     base = P.tenure(P.outcomes(derived(spark, d))).select(
-        "company", "year", "industry", "size", "roa_curr", "revenue_growth", "panel_length", "firm_age",
-        F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in OUT])))
+        "company", "year", "industry", *CONTROLS, "panel_length", "firm_age",
+        F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in MEMBER_OUT])))
     return stage(spark, d, "membership_terms", lambda: flags.join(base.filter(F.col("y").isNotNull()), ["company", "year"]))
 
 
-FLAGS = ["row_only", "grouped_only", "common"]
-
-
 @query("reg10_specification_grid")
 def _(spark, d):
-    return scoring.specification_grid(membership_terms(spark, d), ["score", "outcome"], FLAGS)
+    return scoring.specification_grid(membership_terms(spark, d), MEMBER_KEYS, FLAGS, outcome_sets=scoring.OUTCOME_SETS)
 
 
-@query("reg12_leave_one_firm_out")
+@query("reg1_absorbed_factors", sql_with("reg_within reg_rows", "WITH dr AS MATERIALIZED (SELECT outcome, CAST([" + ", ".join(TERMS + [f"d{v}" for v in YEARS[1:]]) + f", y] AS DOUBLE[]) AS v FROM reg_within), gm AS MATERIALIZED ({S.gram('dr', ['outcome'], 10)}),\n"
+       + S.sweep("gm", ["outcome"], 9, "sw")[0] + f", ft AS MATERIALIZED ({S.fits('sw9', ['outcome'], 9)}), nn AS (SELECT outcome, count(*) AS rows_n, count(DISTINCT company) AS firms FROM reg_rows GROUP BY outcome)\n"
+       + " UNION ALL ".join(f"SELECT outcome, '{t}' AS term, {r(f'beta[{i + 1}]')} AS estimate, {r('sqrt(rss / (rows_n - rank - firms) * -s.g)')} AS std_error, rows_n AS n, rank + firms AS rank "
+                            f"FROM ft JOIN nn USING (outcome) JOIN sw9 s USING (outcome) WHERE s.i = {i + 1} AND s.j = {i + 1}" for i, t in enumerate(TERMS))))
+def _(spark, d):
+    """Firms and years absorbed together, whatever their number of levels."""
+    out = absorbed_ols(outcome_rows(spark, d), ["outcome"], "y", TERMS, ["company", "year"])
+    return out.select("outcome", "term", *cols_df(["estimate", "std_error"]), "n", F.col("rank").cast("long").alias("rank"))
+
+
+_MP = S.width(FLAGS + CONTROLS, YEARS)
+_MQ = _MP + 1
+_MK = ", ".join(MEMBER_KEYS)
+_msweep, _mlast = S.sweep("loo", [*MEMBER_KEYS, "company"], _MP, "ls")
+_fsweep, _flast = S.sweep("tot", MEMBER_KEYS, _MP, "fs")
+_flag_case = "CASE a.i " + " ".join(f"WHEN {k + 2} THEN '{t}'" for k, t in enumerate(FLAGS)) + " END"
+
+
+def _flag_estimates(last, keys):
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    return (f"SELECT {', '.join('a.' + k for k in keys)}, {_flag_case} AS term, CASE WHEN b.g <> 0 THEN a.g END AS estimate FROM {last} a JOIN {last} b ON {on} AND b.i = a.i AND b.j = a.i "
+            f"WHERE a.j = {_MQ} AND a.i BETWEEN 2 AND {len(FLAGS) + 1}")
+
+
+@query("reg12_leave_one_firm_out", sql_with("member_rows", f"""
+WITH fit_keys AS (SELECT {_MK} FROM member_rows WHERE outcome IN ({', '.join(repr(o) for o in scoring.CORE_OUTCOMES)}) GROUP BY ALL HAVING count(*) >= 30 AND count(DISTINCT year) >= 2 AND count(DISTINCT company) >= 2),
+dr AS MATERIALIZED (SELECT {_MK}, company, {S.design_list(FLAGS + CONTROLS, YEARS)} AS v FROM member_rows JOIN fit_keys USING ({_MK}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in CONTROLS)}),
+own AS MATERIALIZED ({S.gram('dr', [*MEMBER_KEYS, 'company'], _MQ)}),
+tot AS MATERIALIZED (SELECT {_MK}, i, j, sum(g) AS g FROM own GROUP BY ALL),
+loo AS MATERIALIZED (SELECT {_MK}, company, i, j, t.g - o.g AS g FROM own o JOIN tot t USING ({_MK}, i, j)),
+{_msweep}, {_fsweep},
+fl AS (SELECT {_MK}, term, estimate AS fullc FROM ({_flag_estimates(_flast, MEMBER_KEYS)}))
+SELECT {_MK}, term, {r('max(fullc)')} AS full_coefficient, {r('min(estimate)')} AS drop_one_min, {r('max(estimate)')} AS drop_one_max, {r('max(abs(estimate - fullc))')} AS max_abs_change, {r('quantile_cont(estimate, 0.5)')} AS drop_one_median,
+ count_if(sign(estimate) <> sign(fullc)) AS sign_flip_n, count(estimate) AS firms_dropped_n, count_if(estimate IS NULL) AS not_estimable_n
+FROM ({_flag_estimates(_mlast, [*MEMBER_KEYS, 'company'])}) JOIN fl USING ({_MK}, term) GROUP BY {_MK}, term"""))
 def _(spark, d):
-    df = lsq.complete(outcome_rows(spark, d).filter("outcome = 'future_cfo'"), ["y", *TERMS])
-    design = designed(df, TERMS)
-    rows = design.project(df, ["outcome", "company"])
-    xs = design.index(TERMS, ["industry", "year"])
-    fits = lsq.fit(lsq.cross_products(rows, ["outcome"], design.values), ["outcome"], design, {"base": (xs, 0)})
-    full = lsq.coefficients(fits, ["outcome"], design, TERMS)
-    return lsq.influence_summary(lsq.leave_one_firm_out(rows, ["outcome"], design, xs, TERMS), full, ["outcome"])
+    """Influence of single firms on the membership coefficients of the baseline, for all spaces, scores and core outcomes."""
+    long = membership_terms(spark, d).filter(F.col("outcome").isin(scoring.CORE_OUTCOMES))
+    usable = scoring.variation(long, MEMBER_KEYS).filter("not thin").select(*MEMBER_KEYS)
+    df = lsq.complete(long.join(F.broadcast(usable), MEMBER_KEYS), ["y", *FLAGS, *CONTROLS])
+    design = designed(df, FLAGS + CONTROLS)
+    rows = design.project(df, [*MEMBER_KEYS, "company"])
+    xs = design.index(FLAGS + CONTROLS, ["industry", "year"])
+    fits = lsq.fit(lsq.cross_products(rows, MEMBER_KEYS, design.values), MEMBER_KEYS, design, {"base": (xs, 0)})
+    full = lsq.coefficients(fits, MEMBER_KEYS, design, FLAGS)
+    out = lsq.influence_summary(lsq.leave_one_firm_out(rows, MEMBER_KEYS, design, xs, FLAGS), full, MEMBER_KEYS)
+    return out.select(*MEMBER_KEYS, "term", *cols_df(["full_coefficient", "drop_one_min", "drop_one_max", "max_abs_change", "drop_one_median"]), "sign_flip_n", "firms_dropped_n", "not_estimable_n")
 
 
 # --- held-out scores -------------------------------------------------------------------------------------

@@ -191,7 +191,7 @@ from firmlens.catalog.registry import cte  # noqa: E402
 cte("outcomes", "derived", """
 SELECT *, cfo_lead / nullif(a, 0) AS future_cfo, ni_lead / nullif(a, 0) AS future_earnings, CASE WHEN a_lead > 0 THEN ni_lead / a_lead END AS future_roa,
   ni / nullif(a_lag, 0) AS current_earnings, -(CASE WHEN lead(year) OVER w = year + 1 THEN lead(ta_scaled) OVER w END) AS accrual_reversal,
-  cfo_lead / nullif(a_lag, 0) AS future_cfo_lagged_assets, ni_lead / nullif(a_lag, 0) AS future_earnings_lagged_assets
+  CASE WHEN a_lead > 0 THEN cfo_lead / a_lead END AS future_cfo_lead_assets, cfo_lead / nullif(a_lag, 0) AS future_cfo_lagged_assets, ni_lead / nullif(a_lag, 0) AS future_earnings_lagged_assets
 FROM derived WINDOW w AS (PARTITION BY company ORDER BY year)""")
 
 

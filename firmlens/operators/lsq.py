@@ -432,41 +432,69 @@ def score_random_intercept(rows: DataFrame, fits: DataFrame, sums: DataFrame, ke
 
 # --- influence ----------------------------------------------------------------------------------------------
 
-def leave_one_firm_out(rows: DataFrame, keys: list[str], design: Design, xs: list[int], terms: list[str], firm: str = "company", chunk: int = 2000) -> DataFrame:
-    """Coefficients without each firm: the total matrix minus the firm's own, solved firm by firm in batches.
+def downdated(g: np.ndarray, own: np.ndarray, xs: list[int], y: int) -> np.ndarray:
+    """Coefficients without each of a batch of row sets, from all rows' matrix ``g`` and the sets' own matrices ``own`` (b, q, q).
 
-    The firm's matrix comes from its own rows; firms are spread over tasks and never refit from data.
+    With A = C'^-1 C^-1 the matrix of all rows, G that of a set and s its summed scores, beta changes by -C (I - C'GC)^-1 C's: one stacked
+    eigendecomposition for the whole batch. A set without which a column is lost makes I - C'GC singular; those few are solved anew
+    with pivoting, and lost columns are NaN.
+    """
+    beta, inv, _, _ = solve(g, xs, y)
+    kept = [c for c in xs if inv[c, c] > 0]
+    out = np.full((len(own), g.shape[0]), np.nan)
+    if not kept:
+        return out
+    root = np.linalg.cholesky(inv[np.ix_(kept, kept)])
+    part = own[:, kept][:, :, kept]
+    scores = own[:, kept, y] - part @ beta[kept]
+    lam, vec = np.linalg.eigh(np.eye(len(kept)) - root.T @ part @ root)
+    safe = lam[:, 0] > 1e-8
+    turned = np.einsum("bji,bj->bi", vec, scores @ root) / np.where(safe[:, None], lam, 1.0)
+    out[:, kept] = beta[kept] - np.einsum("bij,bj->bi", vec, turned) @ root.T
+    for at in np.flatnonzero(~safe):
+        b, left, _, _ = solve(g - own[at], xs, y)
+        out[at] = np.where(np.diag(left) > 0, b, np.nan)
+    return out
+
+
+def leave_one_firm_out(rows: DataFrame, keys: list[str], design: Design, xs: list[int], terms: list[str], firm: str = "company", batch: int = 1024) -> DataFrame:
+    """Coefficients without each firm (keys, firm, term, estimate); null where the term cannot be estimated without it.
+
+    Firms are reduced to their own cross products, spread over tasks and downdated in batches; nothing is refitted. The matrices of all
+    rows, one per design key, are sent to the tasks once. A firm may hold any share of the rows: its matrix is summed map-side.
     """
     vals, p, q = design.values, design.width, len(design.values)
-    total = cross_products(rows, keys, vals)
-    names = design.names
-    pos = [names.index(t) for t in terms]
-    full = total.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "v"))).alias("_g"))
-    pairs = [(i, j) for i in range(q) for j in range(i, q)]
-    per = rows.groupBy(*keys, firm).agg(F.array(*[F.sum(F.col(vals[i]) * F.col(vals[j])) for i, j in pairs]).alias("_own"))
-    joined = per.join(F.broadcast(full), keys)  # one matrix per design key
-    src = joined.select(*keys, firm, F.transform("_g", lambda s: s["v"]).alias("_all"), "_own")
-    iu = np.array([i for i, _ in pairs])
-    ju = np.array([j for _, j in pairs])
+    pos = [design.names.index(t) for t in terms]
+    whole: dict[tuple, np.ndarray] = {}
+    for rec in cross_products(rows, keys, vals).collect():  # p(p+1)/2 numbers per design key
+        g = whole.setdefault(tuple(rec[k] for k in keys), np.zeros((q, q)))
+        g[rec["i"], rec["j"]] = g[rec["j"], rec["i"]] = rec["v"]
+    held = rows.sparkSession.sparkContext.broadcast(whole)
+    iu, ju = np.triu_indices(q)
+    src = rows.groupBy(*keys, firm).agg(F.array(*[F.sum(F.col(vals[i]) * F.col(vals[j])) for i, j in zip(iu, ju)]).alias("_own"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for rec in pdf.itertuples(index=False):
-                left = np.asarray(rec[-2]) - np.asarray(rec[-1])
-                g = np.zeros((q, q))
-                g[iu, ju] = left
-                g[ju, iu] = left
-                beta = solve(g, xs, p)[0]
-                out.extend((*rec[: len(keys) + 1], t, beta[c]) for t, c in zip(terms, pos))
-            yield pd.DataFrame(out, columns=[*keys, firm, "term", "estimate"])
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                for lo in range(0, len(part), batch):
+                    some = part.iloc[lo:lo + batch]
+                    own = np.zeros((len(some), q, q))
+                    own[:, iu, ju] = np.stack(some["_own"].to_numpy())
+                    own[:, ju, iu] = own[:, iu, ju]
+                    beta = downdated(held.value[key], own, xs, p)[:, pos]
+                    yield pd.DataFrame({
+                        **{k: v for k, v in zip(keys, key)}, firm: np.repeat(some[firm].to_numpy(), len(pos)), "term": terms * len(some),
+                        "estimate": beta.ravel()})
 
     schema = T.StructType([rows.schema[k] for k in keys] + [rows.schema[firm], T.StructField("term", T.StringType()), T.StructField("estimate", T.DoubleType())])
-    return src.mapInPandas(run, schema)
+    return src.mapInPandas(run, schema).withColumn("estimate", F.when(~F.isnan("estimate"), F.col("estimate")))
 
 
 def influence_summary(dropped: DataFrame, full: DataFrame, keys: list[str]) -> DataFrame:
-    """Range and sign flips of leave-one-out coefficients; ``full`` is (keys, term, estimate)."""
+    """Range and sign flips of leave-one-out coefficients; ``full`` is (keys, term, estimate).
+
+    ``not_estimable_n`` counts firms without which a term has no estimate; they take no part in the other figures.
+    """
     from firmlens.operators.ordered import quantiles_long
     from firmlens.session import materialise
 
@@ -475,7 +503,8 @@ def influence_summary(dropped: DataFrame, full: DataFrame, keys: list[str]) -> D
     agg = j.groupBy(*ks).agg(
         F.max("full_coefficient").alias("full_coefficient"), F.min("estimate").alias("drop_one_min"), F.max("estimate").alias("drop_one_max"),
         F.max(F.abs(F.col("estimate") - F.col("full_coefficient"))).alias("max_abs_change"),
-        F.count_if(F.signum("estimate") != F.signum("full_coefficient")).alias("sign_flip_n"), F.count("*").alias("firms_dropped_n"),
+        F.count_if(F.signum("estimate") != F.signum("full_coefficient")).alias("sign_flip_n"), F.count("estimate").alias("firms_dropped_n"),
+        F.count_if(F.col("estimate").isNull()).alias("not_estimable_n"),
     )
-    med = quantiles_long(j.select(*ks, F.col("estimate").alias("x")), ks, [0.5]).select(*ks, F.col("q")[0].alias("drop_one_median"))
-    return agg.join(med, ks)
+    med = quantiles_long(j.filter("estimate is not null").select(*ks, F.col("estimate").alias("x")), ks, [0.5]).select(*ks, F.col("q")[0].alias("drop_one_median"))
+    return agg.join(med, ks, "left")

@@ -161,6 +161,7 @@ def outcomes(df: DataFrame) -> DataFrame:
         (-c("ta_scaled_lead")).alias("accrual_reversal"),
         safe_div("cfo_lead", "a_lag").alias("future_cfo_lagged_assets"),
         safe_div("ni_lead", "a_lag").alias("future_earnings_lagged_assets"),
+        F.when(c("a_lead") > 0, safe_div("cfo_lead", "a_lead")).alias("future_cfo_lead_assets"),
     )
 
 

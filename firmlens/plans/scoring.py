@@ -61,25 +61,41 @@ SPECIFICATIONS = {
 }
 
 
-def specification_grid(long: DataFrame, keys: list[str], terms: list[str], specs: dict = SPECIFICATIONS, min_rows: int = 30) -> DataFrame:
-    """Coefficients of ``terms`` under every specification; ``long`` has one row per (keys, firm-year) with ``y``.
+# Outcomes of the core specifications, and those that scale the same numerators by current and by next-year assets.
+CORE_OUTCOMES = ["future_cfo", "future_roa", "future_earnings", "accrual_reversal"]
+HARMONISED_OUTCOMES = ["future_earnings", "future_roa", "future_cfo", "future_cfo_lead_assets"]
+OUTCOME_SETS = {name: HARMONISED_OUTCOMES if name == "EV_DENOMINATOR_HARMONIZED" else CORE_OUTCOMES for name in SPECIFICATIONS}
 
-    Per specification the fits of all (score, outcome) keys come from the same aggregates. Keys with too
-    little variation are reported as such instead of being fit.
-    """
-    from firmlens.operators.prep import winsorize
 
+def variation(long: DataFrame, keys: list[str], min_rows: int = 30) -> DataFrame:
+    """(keys, n_rows, n_years, n_firms, thin): keys with fewer rows than ``min_rows``, one year or one firm are too thin to be fitted."""
     size = long.groupBy(*keys).agg(
         F.count("y").alias("n_rows"), F.count_distinct("year").alias("n_years"), F.count_distinct("company").alias("n_firms"))
     thin = (F.col("n_rows") < min_rows) | (F.col("n_years") < 2) | (F.col("n_firms") < 2)
-    size = materialise(size.withColumn("thin", thin), "size")
-    usable = long.join(F.broadcast(size.filter("not thin").select(*keys)), keys)  # one row per (score, outcome)
+    return materialise(size.withColumn("thin", thin), "size")
+
+
+def specification_grid(
+    long: DataFrame, keys: list[str], terms: list[str], specs: dict = SPECIFICATIONS, min_rows: int = 30,
+    outcome_sets: dict[str, list[str]] | None = None, outcome_col: str = "outcome",
+) -> DataFrame:
+    """Coefficients of ``terms`` under every specification; ``long`` has one row per (keys, firm-year) with ``y``.
+
+    Per specification the fits of all keys come from the same aggregates. ``outcome_sets`` names the outcomes of a specification, by
+    default all. Keys with too little variation are reported as such instead of being fit. ``r2`` and ``adj_r2`` are of the full model, absorbed firms included.
+    """
+    from firmlens.operators.prep import winsorize
+
+    of = lambda df, name: df.filter(F.col(outcome_col).isin(outcome_sets[name])) if outcome_sets else df
+    size = variation(long, keys, min_rows)
+    usable = long.join(F.broadcast(size.filter("not thin").select(*keys)), keys)  # one row per design key
     levels = lsq.factor_levels(long, ["industry", "year"])
     out = None
     for name, (controls, fe, errors, winsor) in specs.items():
-        data = lsq.complete(usable, ["y", *terms, *controls])
-        if winsor:
+        data = of(usable, name)
+        if winsor:  # cut-offs of all rows with an outcome, before missing controls take rows away
             data = winsorize(data, keys, ["y"])
+        data = lsq.complete(data, ["y", *terms, *controls])
         absorb = "company" in fe
         design = lsq.Design(["y"], terms + controls, {f: levels[f] for f in fe if f != "company"})
         if absorb:
@@ -92,13 +108,16 @@ def specification_grid(long: DataFrame, keys: list[str], terms: list[str], specs
             xs = xs[1:]  # the intercept is absorbed
         fits = materialise(lsq.fit(lsq.cross_products(rows, keys, design.values), keys, design, {name: (xs, 0)}), "fits")
         if absorb:
-            firms = rows.groupBy(*keys).agg(F.count_distinct("company").alias("_g"))
-            fits = materialise(fits.join(firms, keys).withColumn("rank", (F.col("rank") + F.col("_g")).cast("int")).drop("_g"), "fits")
+            whole = data.groupBy(*keys).agg(F.count_distinct("company").alias("_g"), (F.var_pop("y") * F.count("y")).alias("_t"))
+            fits = fits.join(whole, keys).withColumns({"rank": (F.col("rank") + F.col("_g")).cast("int"), "tss": F.col("_t")})
+            fits = materialise(fits.drop("_g", "_t"), "fits")
         scored = lsq.residuals(rows, fits, keys, design)
         clusters = [["company"], ["year"]] if errors == "two_way" else [["company"]]
         part = lsq.clustered(fits, scored, keys, design, terms, clusters)
         out = part if out is None else out.unionByName(part)
-    skipped = size.filter("thin").select(
-        *keys, F.explode(F.array(*[F.lit(s) for s in specs])).alias("spec"), F.col("n_rows").alias("n"), F.lit("insufficient_variation").alias("se_status"),
+    named = F.array(*[F.struct(F.lit(s).alias("spec"), F.array(*[F.lit(o) for o in outcome_sets[s]]).alias("of") if outcome_sets else F.lit(None).cast("array<string>").alias("of")) for s in specs])
+    thin = size.filter("thin").select("*", F.inline(named)).filter(F.col("of").isNull() | F.array_contains("of", F.col(outcome_col))) if outcome_sets else size.filter("thin").select("*", F.inline(named))
+    skipped = thin.select(
+        *keys, "spec", F.col("n_rows").alias("n"), F.lit("insufficient_variation").alias("se_status"),
     ).withColumn("term", F.explode(F.array(*[F.lit(t) for t in terms])))
     return out.unionByName(skipped, allowMissingColumns=True)

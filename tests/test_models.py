@@ -285,3 +285,67 @@ def test_folds_are_dealt_inside_the_dominant_industry(spark):
     rows = [("A", y, "Z" if y > 2015 else "B") for y in (2015, 2016, 2017)] + [("C", 2015, "Y"), ("C", 2016, "X")]
     got = {r.company: r.industry for r in grouped_folds(spark.createDataFrame(rows, "company string, year int, industry string"), 2).collect()}
     assert got == {"A": "Z", "C": "X"}
+
+
+def test_downdating_equals_refits_and_reports_lost_terms(spark, data):
+    pdf = data.assign(o="y", only=(data.company == "c3").astype(float))
+    design = lsq.Design(["y"], ["x", "z", "only"])
+    rows = design.project(spark.createDataFrame(pdf), ["o", "company"])
+    out = lsq.leave_one_firm_out(rows, ["o"], design, design.index(["x", "z", "only"]), ["x", "only"], batch=7).toPandas()
+    assert len(out) == 2 * pdf.company.nunique()
+    for (c, term), got in out.set_index(["company", "term"]).estimate.items():
+        d = pdf[pdf.company != c]
+        cols = ["x", "z"] + (["only"] if d.only.any() else [])
+        b, *_ = np.linalg.lstsq(np.c_[np.ones(len(d)), d[cols]], d.y, rcond=None)
+        if term == "only" and c == "c3":
+            assert np.isnan(got)
+        else:
+            assert got == pytest.approx(b[1 if term == "x" else 3], rel=1e-8)
+    full = spark.createDataFrame([("y", "x", 1.0), ("y", "only", 1.0)], "o string, term string, estimate double")
+    got = lsq.influence_summary(spark.createDataFrame(out), full, ["o"]).toPandas().set_index("term")
+    assert got.loc["x", ["firms_dropped_n", "not_estimable_n"]].tolist() == [pdf.company.nunique(), 0]
+    assert got.loc["only", ["firms_dropped_n", "not_estimable_n"]].tolist() == [pdf.company.nunique() - 1, 1]
+
+
+def test_two_factors_of_2000_levels_equal_dummies(spark):
+    from firmlens.operators.absorb import absorbed_ols
+
+    rng = np.random.default_rng(5)
+    n, levels = 40_000, 2_000
+    f, g = rng.integers(0, levels, n), rng.integers(0, levels, n)
+    f[: n // 3] = 0  # one level holds a third of the rows
+    x = rng.normal(size=n) + 0.3 * (f % 7) + 0.2 * (g % 5)
+    y = 1.5 * x + np.sin(f) + np.cos(g) + rng.normal(size=n)
+    pdf = pd.DataFrame({"k": "a", "f": f, "g": g, "x": x, "y": y})
+    out = absorbed_ols(spark.createDataFrame(pdf), ["k"], "y", ["x"], ["f", "g"]).first()
+    lf, lg = np.unique(f, return_inverse=True)[1], np.unique(g, return_inverse=True)[1]
+    p = 1 + lf.max() + 1 + lg.max()  # the first level of g is the base
+    gram, right = np.zeros((p, p)), np.zeros(p)
+    a, b = 1 + lf, 1 + lf.max() + lg  # column of g's level; the base falls on f's last column and is masked
+    use = lg > 0
+    gram[0, 0], right[0] = x @ x, x @ y
+    np.add.at(gram, (a, a), 1.0), np.add.at(gram[0], a, x), np.add.at(right, a, y)
+    b = 1 + lf.max() + lg
+    np.add.at(gram, (b[use], b[use]), 1.0), np.add.at(gram[0], b[use], x[use]), np.add.at(right, b[use], y[use])
+    np.add.at(gram, (a[use], b[use]), 1.0)
+    gram = np.triu(gram) + np.triu(gram, 1).T
+    beta = np.linalg.solve(gram, right)
+    rss = y @ y - beta @ right
+    se = np.sqrt(rss / (n - p) * np.linalg.solve(gram, np.eye(p)[0])[0])
+    assert (out["n"], out["rank"]) == (n, p)
+    assert out["estimate"] == pytest.approx(beta[0], rel=1e-8) and out["std_error"] == pytest.approx(se, rel=1e-8)
+
+
+def test_absorbed_rank_counts_separate_parts(spark):
+    from firmlens.operators.absorb import absorbed_ols
+
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"f": np.repeat(np.arange(12), 6), "x": rng.normal(size=72), "y": rng.normal(size=72)})
+    pdf["g"] = (pdf.f // 4) * 3 + rng.integers(0, 3, 72)  # three groups that share no level
+    pdf.loc[70, "g"] = np.nan
+    sdf = spark.createDataFrame(pdf).withColumn("g", F.when(~F.isnan("g"), F.col("g")))
+    out = absorbed_ols(sdf, [], "y", ["x"], ["f", "g"]).first()
+    d = pdf.dropna()
+    full = np.c_[d.x, pd.get_dummies(d.f).to_numpy(float), pd.get_dummies(d.g).to_numpy(float)]
+    b, _, rank, _ = np.linalg.lstsq(full, d.y, rcond=None)
+    assert (out["n"], out["rank"]) == (71, rank) and out["estimate"] == pytest.approx(b[0])
