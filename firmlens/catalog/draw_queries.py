@@ -184,30 +184,6 @@ def _(spark, d):
     return D.split_rhat(chains(spark, d), ["parameter"]).withColumn("rhat", rnd("rhat"))
 
 
-@query("draw11_rank_normalised_rhat")
-def _(spark, d):
-    return D.rank_rhat(chains(spark, d), ["parameter"])
-
-
-@query("draw12_effective_sample_size")
-def _(spark, d):
-    return D.effective_sizes(chains(spark, d), ["parameter"])
-
-
-@query("draw13_mcmc_gate", sql_with("classic_rhat chains", f"""
-WITH e AS (SELECT parameter, CAST(count(*) AS DOUBLE) AS ess_bulk, count(*) / 2.0::DOUBLE AS ess_tail FROM chains GROUP BY parameter), j AS (SELECT CASE WHEN parameter IN ('click', 'view') THEN 'm1' ELSE 'm2' END AS model_key, rhat, ess_bulk, ess_tail FROM classic_rhat JOIN e USING (parameter)),
-a AS (SELECT model_key, count(*) AS n_parameters, max(rhat) AS mr, min(ess_bulk) AS mb, min(ess_tail) AS mt, count_if(rhat > 1.01) AS n_rhat_gt_1_01, count_if(ess_bulk < 400) AS n_bulk_lt_400, count_if(ess_tail < 400) AS n_tail_lt_400 FROM j GROUP BY model_key)
-SELECT model_key, n_parameters, {r('mr')} AS max_rhat, {r('mb')} AS min_bulk, {r('mt')} AS min_tail, n_rhat_gt_1_01, n_bulk_lt_400, n_tail_lt_400, CASE WHEN mr > 1.01 OR least(mb, mt) < 400 THEN 'FAIL' WHEN least(mb, mt) < 1000 THEN 'REVIEW' ELSE 'PASS' END AS status,
- concat_ws('; ', CASE WHEN mr > 1.01 THEN printf('Rhat max %.4f > 1.01', mr) END, CASE WHEN mb < 400 THEN printf('bulk ESS min %.1f < 400', mb) END, CASE WHEN mt < 400 THEN printf('tail ESS min %.1f < 400', mt) END) AS reason FROM a"""))
-def _(spark, d):
-    c = chains(spark, d)
-    n = c.groupBy("parameter").agg(F.count("*").cast("double").alias("ess_bulk"), (F.count("*") / 2.0).alias("ess_tail"))
-    det = D.split_rhat(c, ["parameter"]).join(n, "parameter").withColumn("model_key", F.when(F.col("parameter").isin("click", "view"), "m1").otherwise("m2"))
-    samp = det.select("model_key").distinct().select("model_key", F.lit(0).cast("long").alias("divergences"), F.lit(0).cast("long").alias("treedepth_hits"))
-    out = D.mcmc_gate(det, ["model_key"], samp)
-    return out.select("model_key", "n_parameters", *cols_df(["max_rhat", "min_bulk", "min_tail"]), "n_rhat_gt_1_01", "n_bulk_lt_400", "n_tail_lt_400", "status", "reason")
-
-
 def _poly_sql(coef, x):
     out = repr(coef[0]) + "::DOUBLE"
     for c in coef[1:]:
@@ -222,6 +198,76 @@ def nq_sql(p):
     return f"CASE WHEN {p} < 0.02425::DOUBLE THEN {t(ql)} WHEN {p} <= 1 - 0.02425::DOUBLE THEN {_poly_sql(D._A, rr)} * ({p} - 0.5) / {_poly_sql(D._B + (1.0,), rr)} ELSE -({t(qh)}) END"
 
 
+cte("half_chains", "chains", """SELECT parameter, chain * 2 + CASE WHEN iter > floor(mx / 2) THEN 1 ELSE 0 END AS hc, CAST(iter - CASE WHEN iter > floor(mx / 2) THEN floor(mx / 2) ELSE 0 END AS BIGINT) AS pos, value
+ FROM (SELECT *, max(iter) OVER (PARTITION BY parameter, chain) AS mx FROM chains)""")
+
+
+def _normal_scores_sql(src, x):
+    return (f"SELECT *, {nq_sql('p')} AS z FROM (SELECT *, (rank() OVER (PARTITION BY parameter ORDER BY {x}) + (count(*) OVER (PARTITION BY parameter, {x}) - 1) / 2.0::DOUBLE - 0.375::DOUBLE)"
+            f" / (count(*) OVER (PARTITION BY parameter) + 0.25::DOUBLE) AS p FROM {src})")
+
+
+def _rhat_sql(src):
+    return (f"SELECT parameter, sqrt(((n - 1) / n * w + bm) / w) AS rhat FROM (SELECT parameter, avg(n) AS n, avg(v) AS w, var_samp(m) AS bm FROM "
+            f"(SELECT parameter, hc, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM {src} GROUP BY ALL) GROUP BY parameter)")
+
+
+cte("bulk_scores", "half_chains", _normal_scores_sql("half_chains", "value"))
+cte("folded_chains", "half_chains", "SELECT parameter, hc, pos, abs(value - med) AS value FROM half_chains JOIN (SELECT parameter, quantile_cont(value, 0.5) AS med FROM half_chains GROUP BY parameter) USING (parameter)")
+cte("folded_scores", "folded_chains", _normal_scores_sql("folded_chains", "value"))
+cte("rank_rhat", "bulk_scores folded_scores", f"SELECT parameter, b.rhat AS rhat_bulk, f.rhat AS rhat_folded, greatest(b.rhat, f.rhat) AS rhat FROM ({_rhat_sql('bulk_scores')}) b JOIN ({_rhat_sql('folded_scores')}) f USING (parameter)")
+cte("ess_input", "bulk_scores", """WITH q AS (SELECT parameter, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM bulk_scores GROUP BY parameter),
+ x AS (SELECT parameter, 'bulk' AS kind, hc, pos, z AS x FROM bulk_scores UNION ALL SELECT parameter, 'low', hc, pos, CAST(value <= lo AS INTEGER)::DOUBLE FROM bulk_scores JOIN q USING (parameter)
+  UNION ALL SELECT parameter, 'high', hc, pos, CAST(value <= hi AS INTEGER)::DOUBLE FROM bulk_scores JOIN q USING (parameter))
+ SELECT *, x - avg(x) OVER c AS d, count(*) OVER c AS n FROM x WINDOW c AS (PARTITION BY parameter, kind, hc)""")
+cte("ess_facts", "ess_input", """SELECT parameter, kind, count(*) AS m, avg(n) AS nbar, sum(n) AS size, avg(v) AS w, avg(v) * (avg(n) - 1) / avg(n) + coalesce(var_samp(mean), 0) AS vp FROM
+ (SELECT parameter, kind, hc, count(*) AS n, avg(x) AS mean, var_samp(x) AS v FROM ess_input GROUP BY ALL) GROUP BY ALL""")
+cte("ess_lags", "ess_input ess_facts", """SELECT parameter, kind, lag, CASE WHEN lag = 0 THEN 1 ELSE 1 - (w - c / m) / vp END AS rho, nbar FROM
+ (SELECT a.parameter, a.kind, b.pos - a.pos AS lag, sum(a.d * b.d / (a.n - 1)) AS c FROM ess_input a JOIN ess_input b ON a.parameter = b.parameter AND a.kind = b.kind AND a.hc = b.hc AND b.pos >= a.pos GROUP BY ALL) JOIN ess_facts USING (parameter, kind)""")
+cte("effective_sizes", "ess_lags ess_facts", """WITH p AS (SELECT parameter, kind, lag // 2 AS t, sum(rho) AS pair FROM ess_lags WHERE lag // 2 < floor(nbar / 2) GROUP BY ALL),
+ s AS (SELECT parameter, kind, min(CASE WHEN pair < 0 THEN t END) AS stop FROM p GROUP BY ALL),
+ l AS (SELECT parameter, kind, min(pair) OVER (PARTITION BY parameter, kind ORDER BY t) AS low FROM p JOIN s USING (parameter, kind) WHERE stop IS NULL OR t < stop),
+ e AS (SELECT parameter, kind, size / greatest(-1 + 2 * total, 1 / log10(size)) AS ess FROM ess_facts JOIN (SELECT parameter, kind, sum(low) AS total FROM l GROUP BY ALL) USING (parameter, kind))
+ SELECT parameter, min(CASE WHEN kind = 'bulk' THEN ess END) AS ess_bulk, min(CASE WHEN kind <> 'bulk' THEN ess END) AS ess_tail FROM e GROUP BY parameter""")
+
+
+@query("draw11_rank_normalised_rhat", sql_with("rank_rhat", f"SELECT parameter, {cols_sql(['rhat_bulk', 'rhat_folded', 'rhat'])} FROM rank_rhat"))
+def _(spark, d):
+    return D.rank_rhat(chains(spark, d), ["parameter"]).select("parameter", *cols_df(["rhat_bulk", "rhat_folded", "rhat"]))
+
+
+@query("draw12_effective_sample_size", sql_with("effective_sizes", f"SELECT parameter, {cols_sql(['ess_bulk', 'ess_tail'], 4)} FROM effective_sizes"))
+def _(spark, d):
+    return D.effective_sizes(chains(spark, d), ["parameter"]).select("parameter", *cols_df(["ess_bulk", "ess_tail"], 4))
+
+
+GATE_COUNTS = ["n_rhat_gt_1_01", "n_bulk_lt_400", "n_tail_lt_400", "n_bulk_lt_1000", "n_tail_lt_1000"]
+_model_of = "CASE WHEN parameter IN ('click', 'view') THEN 'm1' ELSE 'm2' END"
+
+
+@query("draw13_mcmc_gate", sql_with("rank_rhat effective_sizes chains", f"""
+WITH j AS (SELECT {_model_of} AS model_key, rhat, ess_bulk, ess_tail FROM rank_rhat JOIN effective_sizes USING (parameter)),
+dv AS (SELECT {_model_of} AS model_key, count_if(value IS NULL OR NOT isfinite(value)) AS divergences FROM chains GROUP BY ALL),
+a AS (SELECT model_key, count(*) AS n_parameters, max(rhat) AS mr, min(ess_bulk) AS mb, min(ess_tail) AS mt, count_if(rhat > 1.01) AS n_rhat_gt_1_01, count_if(ess_bulk < 400) AS n_bulk_lt_400, count_if(ess_tail < 400) AS n_tail_lt_400,
+ count_if(ess_bulk < 1000) AS n_bulk_lt_1000, count_if(ess_tail < 1000) AS n_tail_lt_1000 FROM j GROUP BY model_key)
+SELECT model_key, n_parameters, {r('mr')} AS max_rhat, {r('mb', 4)} AS min_bulk, {r('mt', 4)} AS min_tail, divergences, {', '.join(GATE_COUNTS)}, {', '.join(r(f'{c} / n_parameters::DOUBLE') + f' AS share_{c[2:]}' for c in GATE_COUNTS)},
+ mb >= 1000 AND mt >= 1000 AS ess_strict_passed, CASE WHEN mr > 1.01 OR divergences > 0 OR least(mb, mt) < 400 THEN 'FAIL' WHEN least(mb, mt) < 1000 THEN 'REVIEW' ELSE 'PASS' END AS status,
+ concat_ws('; ', CASE WHEN mr > 1.01 THEN printf('Rhat max %.4f > 1.01', mr) END, CASE WHEN divergences > 0 THEN printf('divergences=%d', divergences) END, CASE WHEN mb < 400 THEN printf('bulk ESS min %.1f < 400', mb) END, CASE WHEN mt < 400 THEN printf('tail ESS min %.1f < 400', mt) END) AS reason
+FROM a JOIN dv USING (model_key)"""))
+def _(spark, d):
+    """The gate on rank-normalised R-hat and effective sizes of all parameters; draws without a finite value count as divergences."""
+    from firmlens.session import materialise
+
+    c = materialise(chains(spark, d), "chains")
+    model = F.when(F.col("parameter").isin("click", "view"), "m1").otherwise("m2").alias("model_key")
+    det = D.rank_rhat(c, ["parameter"]).join(D.effective_sizes(c, ["parameter"]), "parameter").select(model, "rhat", "ess_bulk", "ess_tail")
+    bad = F.count_if(F.col("value").isNull() | ~finite("value"))
+    samp = c.groupBy(model).agg(bad.alias("divergences"), F.lit(0).cast("long").alias("treedepth_hits"))
+    out = D.mcmc_gate(det, ["model_key"], samp)
+    return out.select("model_key", "n_parameters", rnd("max_rhat").alias("max_rhat"), *cols_df(["min_bulk", "min_tail"], 4), "divergences", *GATE_COUNTS,
+                      *cols_df(["share_" + c[2:] for c in GATE_COUNTS]), "ess_strict_passed", "status", "reason")
+
+
 cte("eta", "scores", f"""SELECT company, year, d AS draw_id, y_actual, pred_mean + 0.1 * pred_sd * {_z_sql(*Z1, 'cos')} AS eta, pred_sd AS sigma, 4.0::DOUBLE + d % 5 AS nu, 0.3 * pred_sd AS sigma_u
  FROM (SELECT * FROM scores WHERE scheme = 'grouped' AND model_key = 'M01_ex_post_firm_re'), (SELECT unnest(range(1, 7)) AS d)""")
 

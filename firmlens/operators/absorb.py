@@ -45,7 +45,8 @@ def level_effects(rows: DataFrame, keys: list[str], factors: list[str], cols: li
         for f in factors:
             j, rest = _left_over(cells, keys, {g: e for g, e in effects.items() if g != f}, cols, "_s_{}")
             mean = j.groupBy(*keys, f).agg(*[(F.sum(x) / F.sum("_n")).alias(c) for c, x in zip(cols, rest)])
-            effects[f] = materialise(mean, "effects")
+            # of two factors the first one's effects serve the second's alone: they stay part of its plan until the end
+            effects[f] = mean if len(factors) == 2 and f == factors[0] else materialise(mean, "effects")
         if len(factors) == 1:
             return cells, effects
         if old is None:

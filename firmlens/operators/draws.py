@@ -7,6 +7,7 @@ bounded; everything that spans observations uses the distributed scans.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -283,98 +284,115 @@ def rank_rhat(draws: DataFrame, keys: list[str]) -> DataFrame:
     return bulk.join(fold, keys).withColumn("rhat", F.greatest("rhat_bulk", "rhat_folded"))
 
 
+def lag_blocks(series: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """(keys, n, b, at, d): the centred values of up to ``block`` consecutive positions and their places in the block."""
+    m = series.groupBy(*keys).agg(F.avg("x").alias("_m"), F.count("*").alias("n"))
+    c = series.join(m, keys).select(*keys, "n", (F.col("pos") - 1).alias("p"), (F.col("x") - F.col("_m")).alias("d"))
+    cut = c.select(*keys, "n", F.floor(F.col("p") / block).alias("b"), (F.col("p") % block).cast("int").alias("at"), "d")
+    packed = cut.groupBy(*keys, "n", "b").agg(F.collect_list(F.struct("at", "d")).alias("v"))  # at most ``block`` values
+    return packed.select(*keys, "n", "b", F.col("v.at").alias("at"), F.col("v.d").alias("d"))
+
+
+def lag_products(blocks: DataFrame, keys: list[str], block: int, first: int, last: int) -> DataFrame:
+    """(keys, n, lag, s): sums of products d_t d_{t+lag} for first <= lag <= last, from the cross-correlations of pairs of blocks.
+
+    A lag joins blocks whose numbers differ by lag // block or one more. Each such pair is one row of two arrays, correlated by a fast
+    Fourier transform, so a task never holds more than pairs of blocks, however long a series or a lag is.
+    """
+    near, far = first // block, last // block + 1
+    left = blocks.select(*keys, "n", F.col("at").alias("ax"), F.col("d").alias("x"), F.explode(F.sequence(F.col("b") + near, F.col("b") + far)).alias("b"), F.col("b").alias("own"))
+    right = blocks.select(*keys, "b", F.col("at").alias("ay"), F.col("d").alias("y"))
+    pairs = left.join(right, keys + ["b"]).select(*keys, "n", (F.col("b") - F.col("own")).alias("k"), "ax", "x", "ay", "y")
+    schema = T.StructType([blocks.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("lag", T.LongType()), T.StructField("s", T.DoubleType())])
+
+    def spectrum(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        d = np.zeros(2 * block)
+        d[at] = values
+        return np.fft.rfft(d)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rec in pdf.to_dict("records"):
+                around = np.fft.irfft(np.conj(spectrum(rec["ax"], rec["x"])) * spectrum(rec["ay"], rec["y"]), 2 * block)
+                steps = np.arange(0 if rec["k"] == 0 else 1 - block, block)
+                lag = rec["k"] * block + steps
+                use = (lag >= first) & (lag <= last) & (lag < rec["n"])
+                yield pd.DataFrame({**{k: rec[k] for k in keys}, "n": rec["n"], "lag": lag[use], "s": around[steps[use]]})
+
+    return pairs.mapInPandas(run, schema).groupBy(*keys, "n", "lag").agg(F.sum("s").alias("s"))
+
+
 def autocovariance(series: DataFrame, keys: list[str], max_lag: int, block: int = 4096) -> DataFrame:
-    """Sums of products (x_t - m)(x_{t+lag} - m) for lags 0..max_lag per series (keys, pos, x).
+    """Sums of products (x_t - m)(x_{t+lag} - m) for lags 0..max_lag per series (keys, pos, x)."""
+    return lag_products(materialise(lag_blocks(series, keys, block), "blocks"), keys, block, 0, max_lag)
 
-    The series is cut into blocks of positions; each block also receives the first ``max_lag`` positions of the
-    next ones, so every product is formed exactly once and no series is ever held whole.
+
+def positive_sequence(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, stop, total) of (keys, t, pair): the first negative pair, null if none yet, and the sum of the running minima before it.
+
+    Only pairs before the first negative one are put in order.
     """
-    block = max(block, max_lag)
-    m = series.groupBy(*keys).agg(F.avg("x").alias("_m"), F.count("*").alias("_n"))
-    c = series.join(m, keys).select(*keys, "_n", (F.col("pos") - 1).alias("p"), (F.col("x") - F.col("_m")).alias("d"))
-    home = F.floor(F.col("p") / block)
-    rows = c.select("*", F.explode(F.array_distinct(F.array(home, F.floor((F.col("p") - max_lag) / block)))).alias("b")).filter("b >= 0")
-
-    def lags(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        start = int(pdf["b"].iloc[0]) * block
-        d = np.zeros(block + max_lag)
-        d[(pdf["p"] - start).to_numpy()] = pdf["d"].to_numpy()
-        own = d[:block]
-        s = [float(own @ d[t:t + block]) for t in range(max_lag + 1)]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "n": pdf["_n"].iloc[0], "lag": range(max_lag + 1), "s": s})
-
-    schema = T.StructType([series.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("lag", T.LongType()), T.StructField("s", T.DoubleType())])
-    parts = rows.groupBy(*keys, "b").applyInPandas(lags, schema)  # at most block + max_lag rows each
-    return parts.groupBy(*keys, "n", "lag").agg(F.sum("s").alias("s"))
-
-
-def ess_from_lags(n: np.ndarray, acov: np.ndarray, means: np.ndarray) -> tuple[float, bool]:
-    """(effective sample size, whether the positive sequence ended within the lags) from per-chain autocovariances."""
-    m, nbar = len(n), n.mean()
-    cov = acov / n[:, None]
-    chain_var = cov[:, 0] * n / (n - 1)
-    mean_var = chain_var.mean()
-    var_plus = mean_var * (nbar - 1) / nbar + (means.var(ddof=1) if m > 1 else 0.0)
-    if not var_plus > 0:
-        return float("nan"), True
-    rho = 1.0 - (mean_var - (cov * (n / (n - 1))[:, None]).mean(axis=0)) / var_plus
-    rho[0] = 1.0
-    total, prev, done, t = 0.0, np.inf, False, 0
-    while 2 * t + 1 < len(rho):
-        pair = rho[2 * t] + rho[2 * t + 1]
-        if pair < 0:
-            done = True
-            break
-        prev = min(prev, pair)
-        total += prev
-        t += 1
-    done = done or len(rho) >= nbar
-    tau = max(-1.0 + 2.0 * total, 1.0 / np.log10(n.sum()))
-    return float(n.sum() / tau), done
+    stop = pairs.groupBy(*keys).agg(F.min(F.when(F.col("pair") < 0, F.col("t"))).alias("stop"))
+    before = pairs.join(stop, keys).where(F.col("stop").isNull() | (F.col("t") < F.col("stop")))
+    low = before.withColumn("low", F.min("pair").over(W.partitionBy(*keys).orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return stop.join(low.groupBy(*keys).agg(F.sum("low").alias("total")), keys, "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+
 
+def effective_sizes(draws: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
+    """Bulk and tail effective sample size per parameter from rank-normalised split chains and from both 5 % tails.
 
-def effective_sizes(draws: DataFrame, keys: list[str], max_lag: int = 64) -> DataFrame:
-    """Bulk and tail effective sample size per parameter; lags double until every positive sequence has ended."""
+    Autocovariances are summed up to ``block`` lags first; the range of lags doubles for those parameters alone whose pairs of
+    autocorrelations have not turned negative. Chains are never held whole and no row grows with a chain. A constant
+    series has no effective size (NaN). Lags beyond a shorter chain's length count as zero there.
+    """
     s = materialise(split_chains(draws, keys), "split")
     tails = quantiles_long(s, keys, [0.05, 0.95], value="value").select(*keys, F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
-    z = normal_scores(s, keys, "value", "_z")
-    j = z.join(F.broadcast(tails), keys)
+    j = normal_scores(s, keys, "value", "_z").join(tails, keys)
     long = j.select(*keys, "half_chain", "pos", F.inline(F.array(
         F.struct(F.lit("bulk").alias("kind"), F.col("_z").alias("x")),
         F.struct(F.lit("low").alias("kind"), (F.col("value") <= F.col("_lo")).cast("double").alias("x")),
         F.struct(F.lit("high").alias("kind"), (F.col("value") <= F.col("_hi")).cast("double").alias("x")))))
+    ks, one = keys + ["kind", "half_chain"], keys + ["kind"]
     long = materialise(long, "essinput")
-    ks = keys + ["kind", "half_chain"]
-    means = materialise(long.groupBy(*ks).agg(F.avg("x").alias("mean"), F.count("*").alias("len")), "means")
-    longest = means.agg(F.max("len")).first()[0]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        res, done = {}, True
-        for kind, part in pdf.groupby("kind"):
-            wide = part.pivot(index="half_chain", columns="lag", values="s").sort_index()
-            info = part.drop_duplicates("half_chain").set_index("half_chain").loc[wide.index]
-            res[kind], d = ess_from_lags(info["n"].to_numpy(dtype=float), wide.to_numpy(), info["mean"].to_numpy())
-            done = done and d
-        out.update(ess_bulk=[res["bulk"]], ess_tail=[min(res["low"], res["high"])], ended=[done])
-        return pd.DataFrame(out)
-
-    schema = T.StructType([draws.schema[k] for k in keys] + T._parse_datatype_string("ess_bulk double, ess_tail double, ended boolean").fields)
+    blocks = materialise(lag_blocks(long, ks, block), "blocks")
+    per = long.groupBy(*ks).agg(F.avg("x").alias("mean"), F.var_samp("x").alias("var"), F.count("*").alias("n"))
+    facts = per.groupBy(*one).agg(
+        F.count("*").alias("m"), F.avg("n").alias("nbar"), F.sum("n").alias("size"), F.avg("var").alias("inner"), F.coalesce(F.var_samp("mean"), F.lit(0.0)).alias("outer"))
+    facts = facts.withColumn("whole", F.col("inner") * (F.col("nbar") - 1) / F.col("nbar") + F.col("outer"))
+    facts = materialise(facts.withColumn("limit", F.floor(F.col("nbar") / 2)), "chains")  # pairs of lags within the mean length
+    longest = facts.agg(F.max("nbar")).first()[0] or 0
+    open_, parts, done, first, last = facts.where("whole > 0"), None, None, 0, 2 * (block // 2) - 1
     while True:
-        lags = min(max_lag, int(longest) - 1)
-        acov = autocovariance(long, ks, lags).join(means.drop("len"), ks)
-        out = materialise(acov.groupBy(*keys).applyInPandas(run, schema), "ess")  # chains x lags numbers per parameter
-        if lags >= longest - 1 or out.filter("not ended").isEmpty():
-            return out.drop("ended")
-        max_lag *= 4
+        sums = lag_products(blocks.join(open_.select(*one), one, "left_semi"), ks, block, first, last)
+        cov = sums.where("n > 1").groupBy(*one, "lag").agg(F.sum(F.col("s") / (F.col("n") - 1)).alias("c"))
+        rho = cov.join(facts, one).select(*one, "lag", F.when(F.col("lag") == 0, 1.0).otherwise(1 - (F.col("inner") - F.col("c") / F.col("m")) / F.col("whole")).alias("rho"), "limit")
+        pair = rho.groupBy(*one, F.floor(F.col("lag") / 2).alias("t"), "limit").agg(F.sum("rho").alias("pair"))
+        new = materialise(pair.where("t < limit").drop("limit"), "pairs")
+        parts = new if parts is None else parts.unionByName(new)
+        seen = materialise(positive_sequence(parts.join(open_.select(*one), one, "left_semi"), one), "sequence")
+        ended = seen if last + 1 >= longest else seen.where("stop is not null")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = open_.join(ended.select(*one), one, "left_anti")
+        if last + 1 >= longest or open_.isEmpty():
+            break
+        first, last = last + 1, 2 * last + 1
+    tau = F.greatest(-1 + 2 * F.col("total"), 1 / F.log10("size"))
+    sizes = facts.join(done.select(*one, "total"), one, "left").withColumn("ess", F.when(F.col("whole") > 0, F.col("size") / tau).otherwise(F.lit(float("nan"))))
+    of = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.when(~F.isnan("ess"), F.col("ess"))))
+    lost = lambda *kinds: F.coalesce(F.max((F.col("kind").isin(*kinds) & F.isnan("ess"))), F.lit(True))
+    pick = lambda *kinds: F.when(lost(*kinds), F.lit(float("nan"))).otherwise(of(*kinds))
+    return sizes.groupBy(*keys).agg(pick("bulk").alias("ess_bulk"), pick("low", "high").alias("ess_tail"))
+
+
+STRICT_ESS = 1000  # fixed value: the strict marker asks for this many effective draws in bulk and tail
 
 
 def mcmc_gate(detail: DataFrame, keys: list[str], sampler: DataFrame) -> DataFrame:
     """Gate per model from parameter diagnostics (rhat, ess_bulk, ess_tail) and sampler counts (divergences, treedepth_hits)."""
     agg = detail.groupBy(*keys).agg(
         F.count("*").alias("n_parameters"), F.max("rhat").alias("max_rhat"), F.min("ess_bulk").alias("min_bulk"), F.min("ess_tail").alias("min_tail"),
-        F.count_if(F.col("rhat") > 1.01).alias("n_rhat_gt_1_01"), F.count_if(F.col("ess_bulk") < 400).alias("n_bulk_lt_400"), F.count_if(F.col("ess_tail") < 400).alias("n_tail_lt_400"))
+        F.count_if(F.col("rhat") > 1.01).alias("n_rhat_gt_1_01"), F.count_if(F.col("ess_bulk") < 400).alias("n_bulk_lt_400"), F.count_if(F.col("ess_tail") < 400).alias("n_tail_lt_400"),
+        F.count_if(F.col("ess_bulk") < STRICT_ESS).alias("n_bulk_lt_1000"), F.count_if(F.col("ess_tail") < STRICT_ESS).alias("n_tail_lt_1000"))
     j = agg.join(sampler, keys, "left").fillna(0, ["divergences", "treedepth_hits"])
     bad = ~finite("max_rhat") | ~finite("min_bulk") | ~finite("min_tail")
     low = F.least("min_bulk", "min_tail")
@@ -384,7 +402,9 @@ def mcmc_gate(detail: DataFrame, keys: list[str], sampler: DataFrame) -> DataFra
         "; ", say(F.col("max_rhat") > 1.01, "Rhat max %.4f > 1.01", "max_rhat"), say(F.col("divergences") > 0, "divergences=%d", "divergences"),
         say(F.col("min_bulk") < 400, "bulk ESS min %.1f < 400", "min_bulk"), say(F.col("min_tail") < 400, "tail ESS min %.1f < 400", "min_tail"))
     share = lambda c: (F.col(c) / F.col("n_parameters")).alias("share_" + c[2:])
-    return j.select("*", *[share(c) for c in ("n_rhat_gt_1_01", "n_bulk_lt_400", "n_tail_lt_400")], flag.alias("status"), reason.alias("reason"))
+    strict = (F.col("min_bulk") >= STRICT_ESS) & (F.col("min_tail") >= STRICT_ESS)
+    counts = ("n_rhat_gt_1_01", "n_bulk_lt_400", "n_tail_lt_400", "n_bulk_lt_1000", "n_tail_lt_1000")
+    return j.select("*", *[share(c) for c in counts], strict.alias("ess_strict_passed"), flag.alias("status"), reason.alias("reason"))
 
 
 # --- marginal new-firm density, predictive checks ---------------------------------------------------------------

@@ -245,7 +245,11 @@ def test_autocovariance_blocks_and_ess(spark):
     from statistics import NormalDist
 
     dr = spark.createDataFrame([("p", c, i + 1, float(v)) for c in range(4) for i, v in enumerate(x[c])], "parameter string, chain long, iter long, value double")
-    got = D.effective_sizes(dr, ["parameter"], max_lag=8).first()
+    got = D.effective_sizes(dr, ["parameter"]).first()
+    small = D.effective_sizes(dr, ["parameter"], block=4).first()  # the positive sequence is longer than the first ranges of lags
+    assert (small.ess_bulk, small.ess_tail) == pytest.approx((got.ess_bulk, got.ess_tail), rel=1e-9)
+    flat = D.effective_sizes(dr.withColumn("value", F.lit(1.0)), ["parameter"]).first()
+    assert np.isnan(flat.ess_bulk) and np.isnan(flat.ess_tail)
     ranks = pd.Series(x.ravel()).rank().to_numpy().reshape(x.shape)
     z = np.vectorize(NormalDist().inv_cdf)((ranks - 0.375) / (x.size + 0.25)).reshape(8, 150)
     assert got.ess_bulk == pytest.approx(brute_ess(z), rel=1e-4)
