@@ -268,40 +268,41 @@ def _(spark, d):
                       *cols_df(["share_" + c[2:] for c in GATE_COUNTS]), "ess_strict_passed", "status", "reason")
 
 
-cte("eta", "scores", f"""SELECT company, year, d AS draw_id, y_actual, pred_mean + 0.1 * pred_sd * {_z_sql(*Z1, 'cos')} AS eta, pred_sd AS sigma, 4.0::DOUBLE + d % 5 AS nu, 0.3 * pred_sd AS sigma_u
- FROM (SELECT * FROM scores WHERE scheme = 'grouped' AND model_key = 'M01_ex_post_firm_re'), (SELECT unnest(range(1, 7)) AS d)""")
+cte("eta", "scores", f"""SELECT model_key, company, year, d AS draw_id, y_actual, pred_mean + 0.1 * pred_sd * {_z_sql(*Z1, 'cos')} AS eta, pred_sd AS sigma, 4.0::DOUBLE + d % 5 AS nu, 0.3 * pred_sd AS sigma_u
+ FROM (SELECT * FROM scores WHERE scheme = 'grouped' AND variant = '{FIRM_RE}'), (SELECT unnest(range(1, 7)) AS d)""")
 
 
 @query("draw14_new_firm_marginal", sql_with("eta", f"""
 WITH u AS (SELECT *, (CAST(('0x' || substr(md5(concat_ws(':', '42', 'newfirm', company, CAST(draw_id AS VARCHAR), CAST(node AS VARCHAR))), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS p FROM eta, (SELECT unnest(range(1, 7)) AS node)),
 m AS (SELECT *, eta + sigma_u * ({nq_sql('p')}) AS mu FROM u),
 l AS (SELECT *, lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(nu * pi()) - ln(sigma) - (nu + 1) / 2 * ln(1 + (y_actual - mu) / sigma * (y_actual - mu) / sigma / nu) AS ll FROM m)
-SELECT company, year, count(*) AS n, {r('max(t) + ln(avg(exp(ll - t)))', 5)} AS lpd_obs, {r('avg(mu)', 5)} AS pred_mean, {r('stddev_samp(mu)', 5)} AS pred_sd FROM (SELECT *, max(ll) OVER (PARTITION BY company, year) AS t FROM l) GROUP BY company, year"""))
+SELECT model_key, company, year, count(*) AS n, {r('max(t) + ln(avg(exp(ll - t)))', 5)} AS lpd_obs, {r('avg(mu)', 5)} AS pred_mean, {r('stddev_samp(mu)', 5)} AS pred_sd FROM (SELECT *, max(ll) OVER (PARTITION BY model_key, company, year) AS t FROM l) GROUP BY model_key, company, year"""))
 def _(spark, d):
-    s = scores(spark, d).filter("scheme = 'grouped' and model_key = 'M01_ex_post_firm_re'")
+    """Marginal density of a new firm under every firm-intercept model of both spaces."""
+    s = scores(spark, d).filter((F.col("scheme") == "grouped") & (F.col("variant") == FIRM_RE))
     n = F.col("draw_id")
     eta = s.withColumn("draw_id", F.explode(F.sequence(F.lit(1), F.lit(6)))).select(
-        *IDS, "draw_id", "y_actual", (F.col("pred_mean") + 0.1 * F.col("pred_sd") * _z(n, *Z1, F.cos)).alias("eta"), F.col("pred_sd").alias("sigma"),
+        *OK, "draw_id", "y_actual", (F.col("pred_mean") + 0.1 * F.col("pred_sd") * _z(n, *Z1, F.cos)).alias("eta"), F.col("pred_sd").alias("sigma"),
         (F.lit(4.0) + n % 5).alias("nu"), (0.3 * F.col("pred_sd")).alias("sigma_u"))
-    return D.new_firm_marginal(eta, IDS, 6).select(*IDS, "n", *cols_df(["lpd_obs", "pred_mean", "pred_sd"], 5))
+    return D.new_firm_marginal(eta, OK, 6).select(*OK, "n", *cols_df(["lpd_obs", "pred_mean", "pred_sd"], 5))
 
 
 @query("draw15_draw_moments", sql_with("draws", f"""SELECT model_key, CAST(draw_id AS INTEGER) AS draw_id, {r('avg(predict)', 5)} AS mean, {r('stddev_samp(predict)', 5)} AS sd,
- {', '.join(r(f'quantile_cont(predict, {p})', 5) + f' AS {n}' for p, n in zip(D.MOMENT_Q, D.MOMENTS[2:]))} FROM draws WHERE model_key = 'M01_ex_post_pooled' GROUP BY model_key, draw_id"""))
+ {', '.join(r(f'quantile_cont(predict, {p})', 5) + f' AS {n}' for p, n in zip(D.MOMENT_Q, D.MOMENTS[2:]))} FROM draws GROUP BY model_key, draw_id"""))
 def _(spark, d):
-    out = D.draw_moments(draws(spark, d).filter("model_key = 'M01_ex_post_pooled'").select("model_key", "draw_id", "predict"), ["model_key"])
+    out = D.draw_moments(draws(spark, d).select("model_key", "draw_id", "predict"), ["model_key"])
     return out.select("model_key", "draw_id", *cols_df(D.MOMENTS, 5))
 
 
 @query("draw15_predictive_check", sql_with("draws", f"""
-WITH dr AS (SELECT * FROM draws WHERE model_key = 'M01_ex_post_pooled'), o AS (SELECT model_key, company, year, any_value(ta_scaled) AS y, quantile_cont(predict, 0.01) AS q010, quantile_cont(predict, 0.025) AS q025, quantile_cont(predict, 0.975) AS q975, quantile_cont(predict, 0.99) AS q990 FROM dr GROUP BY ALL),
+WITH dr AS (SELECT * FROM draws), o AS (SELECT model_key, company, year, any_value(ta_scaled) AS y, quantile_cont(predict, 0.01) AS q010, quantile_cont(predict, 0.025) AS q025, quantile_cont(predict, 0.975) AS q975, quantile_cont(predict, 0.99) AS q990 FROM dr GROUP BY ALL),
 b AS (SELECT model_key, count(*) AS n_obs, avg(y) AS m, stddev_samp(y) AS s, quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi, avg(CASE WHEN y < q025 OR y > q975 THEN 1.0 ELSE 0 END) AS o95, avg(CASE WHEN y < q010 OR y > q990 THEN 1.0 ELSE 0 END) AS o98 FROM o GROUP BY model_key),
 t AS (SELECT model_key, avg(m) AS rm, avg(s) AS rs, avg(lo) AS rlo, avg(hi) AS rhi FROM (SELECT model_key, draw_id, avg(predict) AS m, stddev_samp(predict) AS s, quantile_cont(predict, 0.01) AS lo, quantile_cont(predict, 0.99) AS hi FROM dr GROUP BY ALL) GROUP BY model_key),
 z AS (SELECT *, abs(m - rm) AS md, abs(s - rs) AS sd, greatest(abs(lo - rlo), abs(hi - rhi)) AS td FROM b JOIN t USING (model_key))
 SELECT model_key, n_obs, {r('o95')} AS outside_95, {r('o98')} AS outside_98, {r('md', 4)} AS mean_difference, {r('sd', 4)} AS sd_difference, {r('td', 4)} AS tail_difference,
  CASE WHEN md > 0.1 OR sd > 0.15 OR td > 0.2 THEN 'FAIL' WHEN md > 0.05 OR sd > 0.08 OR td > 0.1 THEN 'REVIEW' ELSE 'PASS' END AS ppc_flag FROM z"""))
 def _(spark, d):
-    dr = draws(spark, d).filter("model_key = 'M01_ex_post_pooled'")
+    dr = draws(spark, d)
     iv = D.predictive_summary(dr, OK)
     out = D.predictive_check(iv.select(*OK, "ta_scaled"), dr.select("model_key", "draw_id", "predict"), iv, ["model_key"])
     return out.select("model_key", "n_obs", "ppc_flag", *cols_df(["outside_95", "outside_98"]), *cols_df(["mean_difference", "sd_difference", "tail_difference"], 4))

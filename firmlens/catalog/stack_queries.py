@@ -257,12 +257,15 @@ def _(spark, d):
 
 
 @query("stk16_exclusion_list", sql_with("weights gate", """
-SELECT w.target_space, w.model_id, w.variant, coalesce(g.status, 'MISSING') AS gate_status, CASE WHEN g.status IS NULL THEN 'gate_status_missing' ELSE 'gate_status_fail' END AS reason
-FROM (SELECT * FROM weights WHERE scheme = 'row') w LEFT JOIN (SELECT target_space, model_id, variant, CASE WHEN mcmc_status = 'REVIEW' THEN 'FAIL' ELSE mcmc_status END AS status FROM gate WHERE model_id <> 'M01') g USING (target_space, model_id, variant) WHERE g.status IS NULL OR g.status = 'FAIL'"""))
+SELECT w.scheme, w.target_space, w.model_id, w.variant, coalesce(g.mcmc_status, 'MISSING') AS gate_status, coalesce(g.mcmc_status = 'FAIL', true) AS excluded,
+ CASE WHEN g.mcmc_status IS NULL THEN 'gate_status_missing' WHEN g.mcmc_status = 'FAIL' THEN 'gate_status_fail' END AS reason FROM weights w LEFT JOIN gate g USING (target_space, model_id, variant)"""))
 def _(spark, d):
-    g = gate(spark, d).filter("model_id <> 'M01'").withColumn("status", F.when(F.col("mcmc_status") == "REVIEW", "FAIL").otherwise(F.col("mcmc_status")))
-    cand = weights(spark, d).filter("scheme = 'row'").select("target_space", "model_id", "variant")
-    return ST.exclusion_list(cand, g, ["target_space", "model_id", "variant"])
+    """Every candidate of both schemes against the whole gate table, and whether it is on the exclusion list."""
+    g, by = gate(spark, d), ["target_space", "model_id", "variant"]
+    cand = weights(spark, d).select("scheme", *by)
+    lost = ST.exclusion_list(cand.select(*by).distinct(), g, by, "mcmc_status").select(*by, "reason")
+    out = cand.join(g, by, "left").join(lost, by, "left")
+    return out.select("scheme", *by, F.coalesce("mcmc_status", F.lit("MISSING")).alias("gate_status"), F.col("reason").isNotNull().alias("excluded"), "reason")
 
 
 # --- comparisons of weight runs -----------------------------------------------------------------------------

@@ -353,3 +353,10 @@ def test_absorbed_rank_counts_separate_parts(spark):
     full = np.c_[d.x, pd.get_dummies(d.f).to_numpy(float), pd.get_dummies(d.g).to_numpy(float)]
     b, _, rank, _ = np.linalg.lstsq(full, d.y, rcond=None)
     assert (out["n"], out["rank"]) == (71, rank) and out["estimate"] == pytest.approx(b[0])
+
+
+def test_exclusion_list_names_failed_and_missing_gates(spark):
+    cand = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "model_id string")
+    gate = spark.createDataFrame([("a", "PASS"), ("b", "FAIL"), ("d", "REVIEW"), ("z", "FAIL")], "model_id string, mcmc_status string")
+    got = {r.model_id: (r.gate_status, r.reason) for r in ST.exclusion_list(cand, gate, ["model_id"], "mcmc_status").collect()}
+    assert got == {"b": ("FAIL", "gate_status_fail"), "c": ("MISSING", "gate_status_missing")}
