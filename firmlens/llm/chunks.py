@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from firmlens.llm.sides import free
 from firmlens.llm.text import BASE, INVERSE, _powers, byte_views, mix, pieces
 from firmlens.session import materialise
 
@@ -138,13 +139,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the repeated passages that are not first occurrences; all columns are kept. Ids must be unique; null ids are left alone."""
+    name = free("_cut", docs.columns)
     cut = repeated_passages(docs, id_col, text_col, **options).where("not kept")
-    spans = cut.groupBy(F.col("doc_id").alias(id_col)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    spans = cut.groupBy(F.col("doc_id").alias(id_col)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(s: Column, x: Column) -> Column:
         return F.struct(x["end"].alias("at"), F.concat(s["done"], F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"])).alias("done"))
 
-    folded = F.aggregate("_cut", start, step)
+    folded = F.aggregate(name, start, step)
     left = F.concat(folded["done"], F.substring(F.col(text_col), folded["at"] + 1, F.length(text_col)))
-    return docs.join(spans, id_col, "left").withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    return docs.join(spans, id_col, "left").withColumn(text_col, F.when(F.col(name).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.sides import let
+from firmlens.llm.sides import free, let
 
 PART = 16.0  # larger rates are sums of independent Poisson parts of at most this mean
 TERMS = 64  # the tail of a part beyond these terms is below 1e-19, less than the spacing of the uniform numbers
@@ -64,15 +64,16 @@ def mix_sources(
     Columns of ``docs`` with the names of the three new ones are replaced; other columns pass through.
     """
     docs = docs.drop("copy_no", "n_copies", "shuffle_key")
-    rates = source_rates(docs, targets, total, source_col).select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cuts").alias("_cuts"))
+    name, parts, cuts = (free(c, docs.columns) for c in ("_source", "_parts", "_cuts"))
+    rates = source_rates(docs, targets, total, source_col).select(F.col("source").alias(name), F.col("parts").alias(parts), F.col("cuts").alias(cuts))
     few = rates.limit(broadcast_sources + 1).count() <= broadcast_sources
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    found = docs.join(F.broadcast(rates) if few else rates, F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    found = docs.join(F.broadcast(rates) if few else rates, F.col(source_col).eqNullSafe(F.col(name)), "left")
     draws = F.aggregate(
-        F.sequence(F.lit(1), F.coalesce("_parts", F.lit(1))), F.lit(0),
-        lambda n, j: n + let(uniform(F.lit(str(seed)), key, j.cast("string")), lambda u: F.size(F.filter("_cuts", lambda c: c <= u))),
+        F.sequence(F.lit(1), F.coalesce(parts, F.lit(1))), F.lit(0),
+        lambda n, j: n + let(uniform(F.lit(str(seed)), key, j.cast("string")), lambda u: F.size(F.filter(cuts, lambda c: c <= u))),
     )
-    counted = found.withColumn("n_copies", draws).drop("_source", "_parts", "_cuts").where("n_copies > 0")
+    counted = found.withColumn("n_copies", draws).drop(name, parts, cuts).where("n_copies > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     order = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), key, F.col("copy_no").cast("string"))), 1, 15)
     return copies.withColumn("shuffle_key", F.conv(order, 16, 10).cast("long")).orderBy("shuffle_key", id_col, "copy_no")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.sides import keyed, let, sized
+from firmlens.llm.sides import free, keyed, let, sized
 from firmlens.session import materialise
 
 
@@ -123,14 +123,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     ``id_col`` is the repository of a row unless ``repo_col`` is given.
     """
     rows, key = keyed(docs, "texts")
-    found = find_secrets(rows, key, text_col, **{"repo_col": id_col, **options}).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("spans").alias("_spans"))
+    spans = free("_spans", docs.columns)
+    found = find_secrets(rows, key, text_col, **{"repo_col": id_col, **options}).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(s: Column, x: Column) -> Column:
         gap = F.when(x["start"] >= s["at"], F.concat(F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["done"], gap).alias("done"))
 
-    folded = F.aggregate("_spans", start, step)
+    folded = F.aggregate(spans, start, step)
     rest = F.substring(F.col(text_col), folded["at"] + 1, F.length(text_col))
-    clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(folded["done"], rest))
+    clean = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.concat(folded["done"], rest))
     return rows.join(sized(found, "redacted"), key, "left").withColumn(text_col, clean).select(*docs.columns)

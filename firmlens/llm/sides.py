@@ -23,9 +23,15 @@ def sized(df: DataFrame, label: str, rows: int = ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``docs``, written once with a long key of its own for each row, and the name of that column. Ids may repeat or be null; keys do neither."""
-    key = "_row"
-    while key.lower() in {c.lower() for c in docs.columns}:
-        key += "_"
+    key = free("_row", docs.columns)
     return materialise(docs.withColumn(key, F.monotonically_increasing_id()), label), key

@@ -339,3 +339,18 @@ def test_word_hashes_ignore_case_and_white_space():
 
     a = list(text.shingle_sets(*text.byte_views(pa.array(["A b  c\td e f", "a B c d e f ", None, "", "é É"]))))
     assert (a[0] == a[1]).all() and len(a[0]) == 2 and len(a[2]) == len(a[3]) == 0 and len(a[4]) == 1
+
+
+def test_columns_named_like_work_columns_change_nothing(spark):
+    passage = prose(5, 120)
+    rows = [(1, f'{passage} token = "0123456789abcdef0123456789abcdef"', "en", "a"), (2, f"{prose(6, 30)} {passage}", "en", "b"), (3, None, None, None)]
+    plain = docs(spark, rows)
+    names = ("_source", "_parts", "_cuts", "_spans", "_cut", "_row", "_CUTS_")
+    odd = plain
+    for c in names:
+        odd = odd.withColumn(c, F.lit(c))
+    for apply in (mixing.mix_sources, secret_scan.redact, chunks.drop_repeats):
+        want, got = apply(plain), apply(odd)
+        assert all(c in got.columns for c in names)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        assert {tuple(r) for r in got.select(*names).collect()} <= {names}
