@@ -360,3 +360,20 @@ def test_exclusion_list_names_failed_and_missing_gates(spark):
     gate = spark.createDataFrame([("a", "PASS"), ("b", "FAIL"), ("d", "REVIEW"), ("z", "FAIL")], "model_id string, mcmc_status string")
     got = {r.model_id: (r.gate_status, r.reason) for r in ST.exclusion_list(cand, gate, ["model_id"], "mcmc_status").collect()}
     assert got == {"b": ("FAIL", "gate_status_fail"), "c": ("MISSING", "gate_status_missing")}
+
+
+def test_specification_grid_keeps_outcome_sets_and_reports_thin_keys(spark):
+    from firmlens.plans import scoring
+
+    rng, n = np.random.default_rng(1), 80
+    pdf = pd.DataFrame({"score": ["a"] * 70 + ["b"] * 10, "outcome": "future_cfo", "company": [f"c{i % 20}" for i in range(n)], "year": 1996 + np.arange(n) // 20,
+                        "industry": "X", "t": rng.normal(size=n), "size": rng.normal(size=n), "y": rng.normal(size=n)})
+    specs = {"core": (["size"], ["year"], "firm", False), "other": (["size"], ["year"], "firm", False)}
+    out = scoring.specification_grid(spark.createDataFrame(pdf), ["score", "outcome"], ["t"], specs, outcome_sets={"core": ["accrual_reversal"], "other": ["future_cfo"]})
+    got = {(r.score, r.spec): r for r in out.collect()}
+    assert set(got) == {("a", "other"), ("b", "other")} and got["b", "other"].se_status == "insufficient_variation"
+    d = pdf[pdf.score == "a"]
+    full = np.c_[np.ones(len(d)), d[["t", "size"]], pd.get_dummies(d.year, drop_first=True).to_numpy(float)]
+    b, *_ = np.linalg.lstsq(full, d.y, rcond=None)
+    fit = got["a", "other"]
+    assert fit.estimate == pytest.approx(b[1]) and fit.r2 == pytest.approx(1 - ((d.y - full @ b) ** 2).sum() / ((d.y - d.y.mean()) ** 2).sum())
