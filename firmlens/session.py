@@ -6,10 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: str | None = None
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(app: str = "firmlens", cores: str | int = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -48,15 +53,48 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables with the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``materialise`` writes inside the block are removed when it ends, by an error too.
+
+    What the block returns must not read them: write it with ``outer=True``.
+    """
+    path = f"{shared_root(spark)}/firmlens/{spark.sparkContext.applicationId}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set((*_SCRATCH.get(), path))
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, path)
+
+
+def materialise(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where two branches must see the *same* physical rows (partition ids of a sampled range
     partitioning) and for stage tables that many later steps read. Survives lost executors.
+    The table lies in the folder of the innermost ``scratch`` block, with ``outer`` in that of the block around it.
+    Shuffle files of the plan are not needed once its rows are written, so they go at once.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/firmlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    blocks = _SCRATCH.get()[:-1] if outer else _SCRATCH.get()
+    folder = blocks[-1] if blocks else f"{shared_root(spark)}/firmlens/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_SHUFFLES, None)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
