@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.session import materialise
+from firmlens.session import materialise, scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes without edges are absent. Each round writes its labels to the shared folder, so lineage stays
     short and a lost executor costs one round at most. A node with very many edges is one key of a plain
-    equi-join, which adaptive execution splits; the minimum over its neighbours is combined before shuffling.
+    equi-join, which adaptive execution splits; the minimum over its neighbours is combined before shuffling. Only the
+    last labels are kept.
     """
+    with scratch(edges.sparkSession):
+        return materialise(_settled(edges), "components", outer=True)
+
+
+def _settled(edges: DataFrame) -> DataFrame:
     both = materialise(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links"
     )

@@ -9,6 +9,10 @@ of one of them, taken in an order that both follow, one is shared. Only these d
 
 Shingles that many documents share get coarse bands of their own. They are found on a bounded sample of documents, which
 steers cost only: any split gives the same links. Candidates are compared with a 1024-bit sketch first, then with whole sets.
+
+Groups under one key are merged in rounds. In a round each key elects one of its sets, and each set is compared with the one that
+most of its keys elected, so a round compares no more pairs than there are sets. Keys whose sets are all in one component
+are done. What the rounds leave open is joined key by key, across components only, under bounds on sizes and sketches.
 """
 
 from __future__ import annotations
@@ -24,12 +28,11 @@ from pyspark.sql import Window as W
 from firmlens.llm.graph import components
 from firmlens.llm.sides import keyed, sized
 from firmlens.llm.text import byte_views, mix, shingle_sets
-from firmlens.session import materialise
+from firmlens.session import materialise, scratch
 
 SMALL = 64  # smaller sets give each shingle a band of its own
 SKETCH_BITS = 1024
-SALTS = 16
-REPRESENTATIVES = 2
+ROUNDS = 3  # elections before the closing join; their number steers cost only
 SEEN_SETS = 1 << 20  # sets a task remembers so that copies emit no second set of keys
 
 
@@ -185,10 +188,11 @@ def frequent_shingles(docs: DataFrame, width: int, sample_docs: int, least: int)
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = byte_views(batch.column(1))
-            held = [u.tobytes() for u in shingle_sets(raw, at, width)]
+            raw, at = byte_views(batch.column(0))
+            held = [u for u in shingle_sets(raw, at, width) if len(u)]
             for lo in range(0, len(held), 256):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array(held[lo : lo + 256], pa.binary())], ["node", "members"])
+                part = held[lo : lo + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(u)[0] for u in part], pa.int64()), pa.array([u.tobytes() for u in part], pa.binary())], ["set_id", "members"])
 
     return run
 
@@ -205,7 +209,7 @@ def _verify(percent: int):
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                 both = int((v[at] == u).sum())
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["x", "y"])
 
     return run
 
@@ -219,55 +223,61 @@ def _within():
         for batch in batches:
             a, b, most, x, y = (batch.column(k) for k in range(5))
             keep = [u.as_py() is None or v.as_py() is None or wide_distance(u.as_py(), v.as_py()) <= m.as_py() for m, u, v in zip(most, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["x", "y"])
 
     return run
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of set ids -> pairs (a, b) of their documents that sizes and sketches do not rule out."""
-    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("node").alias(f"n{c}"), F.col("n_shingles").alias(f"s{c}"), F.col("bits").alias(f"b{c}"))
+    """The pairs (x, y) of set ids that sizes and sketches do not rule out."""
+    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("n_shingles").alias(f"s{c}"), F.col("bits").alias(f"b{c}"))
     bound = F.floor((F.col("sx") + F.col("sy")) * (100 - percent) / (100 + percent)).cast("long")
     small, large = F.least("sx", "sy"), F.greatest("sx", "sy")
-    near = (
-        pairs.join(side("x"), "x").join(side("y"), "y")
-        .where((100 * small >= percent * large) & (_hamming("bx", "by") <= bound))
-        .select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b"), bound.alias("most"))
-        .distinct()
-    )
-    wide = lambda c, w: sets.where("wide is not null").select(F.col("node").alias(c), F.col("wide").alias(w))
-    full = near.join(wide("a", "x"), "a", "left").join(wide("b", "y"), "b", "left").select("a", "b", "most", "x", "y")
-    return full.mapInArrow(_within(), "a long, b long")
+    near = pairs.join(side("x"), "x").join(side("y"), "y").where((100 * small >= percent * large) & (_hamming("bx", "by") <= bound)).select("x", "y", bound.alias("most"))
+    wide = lambda c: sets.where("wide is not null").select(F.col("set_id").alias(c), F.col("wide").alias(f"w{c}"))
+    full = near.join(wide("x"), "x", "left").join(wide("y"), "y", "left").select("x", "y", "most", "wx", "wy")
+    return full.mapInArrow(_within(), "x long, y long")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough. Texts of documents in no pair are not shuffled."""
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    few = ids.count() <= broadcast_ids
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    members = materialise(texts.mapInArrow(_sets(width), "node long, members binary"), "members")
-    side = lambda c, m: members.select(F.col("node").alias(c), F.col("members").alias(m))
-    joined = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(_verify(percent), "a long, b long")
+def _linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough, written. Texts of documents in no pair are not shuffled."""
+    with scratch(docs.sparkSession):
+        possible = materialise(_possible(pairs, sets, percent), "possible")
+        wanted = possible.select(F.col("x").alias("set_id")).union(possible.select("y")).distinct()
+        ids = materialise(wanted.join(sets.select("set_id", F.col("node").alias("doc_id")), "set_id").select("doc_id").distinct(), "wanted")
+        few = ids.count() <= broadcast_ids
+        texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
+        members = materialise(texts.mapInArrow(_sets(width), "set_id long, members binary"), "members")
+        side = lambda c, m: members.select(F.col("set_id").alias(c), F.col("members").alias(m))
+        joined = possible.join(side("x", "left"), "x").join(side("y", "right"), "y").select("x", "y", "left", "right")
+        return materialise(joined.mapInArrow(_verify(percent), "x long, y long").distinct(), "verified", outer=True)
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5,
-    sample_docs: int = 4_000, frequent_at: int = 3, broadcast_ids: int = 2_000_000,
-) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``n_links``.
+def _labelled(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the links as (set_id, comp), written, and ``rows`` (key, set_id) with the component of each set."""
+    joined = materialise(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "set_id"), "joined")
+    return joined, rows.join(joined, "set_id", "left").select("key", "set_id", F.coalesce("comp", "set_id").alias("comp"))
 
-    ``component_id`` is the smallest document id reachable over links, the document itself included; a link joins two
-    documents with 100 * |common shingles| >= percent * |all shingles|. ``n_links`` counts the verified links of the
-    document's set plus its exact copies; it is 0 only if the document has no link.
 
-    Null and empty texts have 0 shingles and are linked with nothing. Texts shorter than ``width`` words are one shingle.
-    Repeated texts share a class and are compared once. Other columns are ignored; rows with a null id are dropped.
-    Repeated ids count as one document whose rows are linked by that id. ``sample_docs`` and ``frequent_at`` bound the list of frequent shingles and
-    steer cost only; below ``broadcast_ids`` the ids to fetch again are broadcast (16 bytes each), else joined.
+def _elected(rows: DataFrame, number: int) -> DataFrame:
+    """``rows`` (key, set_id, comp) of keys with several components, with the set that the key elects in this round.
+
+    Counts and minima are combined before the shuffle; a frequent key is split by adaptive execution when it is joined back.
     """
+    top = F.min(F.struct(F.xxhash64("set_id", F.lit(number)).alias("h"), "set_id", "comp"))
+    tops = rows.groupBy("key").agg(top.alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return rows.join(tops.select("key", F.col("top.set_id").alias("rep"), F.col("top.comp").alias("rep_comp")), "key")
+
+
+def _chosen(rows: DataFrame) -> DataFrame:
+    """For each set the pair (x, y) with the set elected by most of its keys."""
+    votes = rows.groupBy("set_id", "rep").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("set_id").agg(F.max(F.struct("votes", "rep"))["rep"].alias("rep"))
+    return best.select(F.least("set_id", "rep").alias("x"), F.greatest("set_id", "rep").alias("y")).distinct()
+
+
+def _classes(docs: DataFrame, percent: int, width: int, sample_docs: int, frequent_at: int, broadcast_ids: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width, sample_docs, frequent_at))
     described = materialise(docs.mapInArrow(_describe(width, percent, frequent), _DESCRIBED), "described")
     held = described.where("n_shingles > 0")
@@ -277,57 +287,77 @@ def near_duplicates(
             F.assert_true(F.min("check") == F.max("check"), F.lit("two shingle sets have one identity")).alias("ok"),
         ).drop("ok"), "sets",
     )
-    marks = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)), "set_id")).over(W.partitionBy("key"))["set_id"].alias(f"r{k}") for k in range(REPRESENTATIVES)]
+    # keys of rare bands come in small groups: a group is told apart, and elects, where its key is shuffled to
+    group = W.partitionBy("key")
     rare = held.select("set_id", F.explode("rare").alias("key")).repartition("key")
-    rare = rare.select("key", "set_id", *marks, F.count("*").over(W.partitionBy("key")).alias("n")).where("n > 1")
-    rare = materialise(rare, "rare")
-    # bands of frequent shingles: representatives inside salted parts first, then among the few representatives of the parts
-    hot = materialise(
-        held.select("set_id", F.explode("hot").alias("key"), F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).alias("salt")).distinct(), "hot"
-    )
-    best = lambda c, k: F.min(F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("set_id"))).alias(f"m{k}")
-    parts = hot.groupBy("key", "salt").agg(*[best("set_id", k) for k in range(REPRESENTATIVES)])
-    tops = materialise(
-        parts.groupBy("key").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(REPRESENTATIVES)])
-        .select("key", *[F.col(f"m{k}.set_id").alias(f"r{k}") for k in range(REPRESENTATIVES)]), "tops",
-    )
-    spread = hot.join(tops, "key")
-    to_rep = F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(REPRESENTATIVES)]))).alias("rep")
-    stars = rare.select("set_id", to_rep).union(spread.select("set_id", to_rep)).where("rep <> set_id")
-    pairs = stars.select(F.least("set_id", "rep").alias("x"), F.greatest("set_id", "rep").alias("y")).distinct()
-    first = materialise(_possible(pairs, sets, percent), "pairs")
-    links = materialise(_linked(docs, first, width, percent, broadcast_ids), "verified")
-    joined = components(links)
-
-    # what stars leave open: sets that share a band but are in different components. The join keeps a pair only if its sizes
+    rare = rare.select("key", "set_id", F.min(F.struct(F.xxhash64("set_id", F.lit(0)), "set_id")).over(group)["set_id"].alias("rep"), F.max("set_id").over(group).alias("hi"), F.min("set_id").over(group).alias("lo"))
+    rare = materialise(rare.where("lo <> hi").select("key", "set_id", "rep"), "rare")
+    hot = materialise(held.select(F.explode("hot").alias("key"), "set_id").distinct(), "hot")
+    spread = _elected(hot.withColumn("comp", F.col("set_id")), 0)
+    rows = rare.union(spread.select("key", "set_id", "rep"))
+
+    twice = held.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id", "x")
+    links = materialise(held.join(twice, "doc_id").select("x", F.col("set_id").alias("y")).where("x <> y").distinct(), "same_id")
+    tried = materialise(_chosen(rows.where("rep <> set_id")), "pairs")
+    links = links.union(_linked(docs, tried, sets, width, percent, broadcast_ids))
+    rows = rare.select("key", "set_id").union(hot)
+    for number in range(1, ROUNDS + 1):
+        joined, rows = _labelled(rows, links)
+        rows = materialise(_elected(materialise(rows, "labelled"), number), "open")
+        apart = rows.where("comp <> rep_comp")
+        if number == ROUNDS or not apart.limit(1).count():
+            break
+        pairs = materialise(_chosen(apart).join(tried, ["x", "y"], "left_anti"), "pairs")
+        links, tried, rows = links.union(_linked(docs, pairs, sets, width, percent, broadcast_ids)), tried.union(pairs), rows.select("key", "set_id")
+
+    # what the rounds leave open: sets that share a key but are in different components. The join keeps a pair only if its sizes
     # and the Hamming distance of the sketches, folded to 256 bits, allow a link.
     fold = [F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits", F.lit(i + 4))).bitwiseXOR(F.get("bits", F.lit(i + 8))).bitwiseXOR(F.get("bits", F.lit(i + 12))).alias(f"f{i}") for i in range(4)]
-    labels = sets.join(joined, "node", "left").select("set_id", F.coalesce("comp", "node").alias("comp"), F.col("n_shingles").alias("n"), *fold)
-    tested = F.size(F.array_distinct(F.array(*[f"r{k}" for k in range(REPRESENTATIVES)]))) + 1  # in a group this small the stars held every pair
-    open_rows = rare.where(F.col("n") > tested).select("key", "set_id").union(hot.select("key", "set_id"))
-    labelled = materialise(open_rows.join(labels.select("set_id", "comp"), "set_id"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").select("key", "set_id").join(labels, "set_id")
-    rest = materialise(rest.distinct(), "open")
+    rest = rows.select("key", "set_id", "comp").join(sets.select("set_id", F.col("n_shingles").alias("n"), *fold), "set_id")
+    rest = materialise(rest.distinct(), "rest")
     side = lambda c: rest.select("key", *[F.col(x).alias(c + x) for x in rest.columns if x != "key"])
-    apart = sum((F.bit_count(F.col(f"xf{i}").bitwiseXOR(F.col(f"yf{i}"))) for i in range(4)), F.lit(0))
+    distance = sum((F.bit_count(F.col(f"xf{i}").bitwiseXOR(F.col(f"yf{i}"))) for i in range(4)), F.lit(0))
     x, y = side("x"), side("y")
     allowed = (
         (x["key"] == y["key"]) & (x["xcomp"] < y["ycomp"])
-        & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (apart * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+        & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (distance * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
     )
-    cross = x.join(y, allowed).select(F.col("xset_id").alias("x"), F.col("yset_id").alias("y")).distinct()
-    second = _possible(cross, sets, percent).join(first, ["a", "b"], "left_anti")
-    second = materialise(second, "pairs")
-    more = materialise(_linked(docs, second, width, percent, broadcast_ids), "verified")
-    every = links.union(more)
-    joined = components(every) if more.limit(1).count() else joined
-    degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count("*").alias("found"))
-    nodes = sets.join(joined, "node", "left").join(degree, "node", "left").select(
-        "set_id", F.coalesce("comp", "node").alias("component_id"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    cross = x.join(y, allowed).select(F.least("xset_id", "yset_id").alias("x"), F.greatest("xset_id", "yset_id").alias("y")).distinct()
+    cross = materialise(cross.join(tried, ["x", "y"], "left_anti"), "pairs")
+    more = _linked(docs, cross, sets, width, percent, broadcast_ids)
+    links = links.union(more)
+    if more.limit(1).count():
+        joined, _ = _labelled(rows.select("key", "set_id"), links)
+    degree = links.select(F.col("x").alias("set_id")).union(links.select("y")).groupBy("set_id").agg(F.count("*").alias("found"))
+    nodes = sets.join(joined, "set_id", "left").join(degree, "set_id", "left").select(
+        "set_id", "node", F.coalesce("comp", "set_id").alias("comp"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_witnesses")
     )
+    nodes = materialise(nodes, "nodes")
+    least = nodes.groupBy("comp").agg(F.min("node").alias("component_id"))
+    nodes = nodes.join(least, "comp").select("set_id", "component_id", "n_witnesses")
     out = described.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(nodes, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_witnesses", F.lit(0)).alias("n_witnesses"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5,
+    sample_docs: int = 4_000, frequent_at: int = 3, broadcast_ids: int = 2_000_000,
+) -> DataFrame:
+    """One row per document, written: ``doc_id``, ``n_shingles``, ``component_id``, ``n_witnesses``.
+
+    ``component_id`` is the smallest document id reachable over links, the document itself included; a link joins two
+    documents with 100 * |common shingles| >= percent * |all shingles|. ``n_witnesses`` counts the links that were verified to find the
+    components, from the document's set, plus its exact copies: not all of its links, but 0 only if it has none.
+
+    Null and empty texts have 0 shingles and are linked with nothing. Texts shorter than ``width`` words are one shingle.
+    Repeated texts share a class and are compared once. Other columns are ignored; rows with a null id are dropped.
+    Repeated ids count as one document whose rows are linked by that id. ``sample_docs`` and ``frequent_at`` bound the list of frequent shingles and
+    steer cost only; below ``broadcast_ids`` the ids to fetch again are broadcast (16 bytes each), else joined.
+    All other intermediate tables are removed.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    with scratch(docs.sparkSession):
+        return materialise(_classes(docs, percent, width, sample_docs, frequent_at, broadcast_ids), "classes", outer=True)
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -338,7 +368,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     """
     rows, key = keyed(docs, "grouped")
     found = near_duplicates(rows, key, **options)
-    comp = materialise(found.where("n_links > 0").select(F.col("doc_id").alias(key), F.col("component_id").alias("_comp")), "grouped")
+    comp = materialise(found.where("n_witnesses > 0").select(F.col("doc_id").alias(key), F.col("component_id").alias("_comp")), "grouped")
     ids = rows.select(key, F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"))
     first = F.min(F.struct("_none", "_id", key))
     member = comp.join(ids, key)
