@@ -243,6 +243,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int, perc
     """The pairs whose whole shingle sets are similar enough, written. Texts of documents in no pair are not shuffled."""
     with scratch(docs.sparkSession):
         possible = materialise(_possible(pairs, sets, percent), "possible")
+        if not possible.limit(1).count():
+            return docs.sparkSession.createDataFrame([], "x long, y long")
         wanted = possible.select(F.col("x").alias("set_id")).union(possible.select("y")).distinct()
         ids = materialise(wanted.join(sets.select("set_id", F.col("node").alias("doc_id")), "set_id").select("doc_id").distinct(), "wanted")
         few = ids.count() <= broadcast_ids
@@ -300,15 +302,17 @@ def _classes(docs: DataFrame, percent: int, width: int, sample_docs: int, freque
     links = materialise(held.join(twice, "doc_id").select("x", F.col("set_id").alias("y")).where("x <> y").distinct(), "same_id")
     tried = materialise(_chosen(rows.where("rep <> set_id")), "pairs")
     links = links.union(_linked(docs, tried, sets, width, percent, broadcast_ids))
-    rows = rare.select("key", "set_id").union(hot)
+    joined, rows = _labelled(rare.select("key", "set_id").union(hot), links)
     for number in range(1, ROUNDS + 1):
-        joined, rows = _labelled(rows, links)
         rows = materialise(_elected(materialise(rows, "labelled"), number), "open")
-        apart = rows.where("comp <> rep_comp")
-        if number == ROUNDS or not apart.limit(1).count():
+        if number == ROUNDS:
             break
-        pairs = materialise(_chosen(apart).join(tried, ["x", "y"], "left_anti"), "pairs")
-        links, tried, rows = links.union(_linked(docs, pairs, sets, width, percent, broadcast_ids)), tried.union(pairs), rows.select("key", "set_id")
+        pairs = materialise(_chosen(rows.where("comp <> rep_comp")).join(tried, ["x", "y"], "left_anti"), "pairs")
+        new, tried = _linked(docs, pairs, sets, width, percent, broadcast_ids), tried.union(pairs)
+        if not new.limit(1).count():
+            break
+        links = links.union(new)
+        joined, rows = _labelled(rows.select("key", "set_id"), links)
 
     # what the rounds leave open: sets that share a key but are in different components. The join keeps a pair only if its sizes
     # and the Hamming distance of the sketches, folded to 256 bits, allow a link.
