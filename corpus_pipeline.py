@@ -11,7 +11,7 @@ from firmlens.llm.jaccard import one_per_group
 from firmlens.llm.mixing import mix_sources
 from firmlens.llm.secret_scan import redact
 from firmlens.llm.toxicity import without_toxic
-from firmlens.session import shared_root, ship_package
+from firmlens.session import remove, scratch, shared_root, ship_package
 
 #: The learned first stage has no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -55,13 +55,16 @@ STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicates), ("decont
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again by the next stage."""
+    """All stages over ``documents``; each result is written to the shared folder and read again by the next stage.
+
+    Side tables of a stage go once its result is written, and so do the documents it read. The last stage is returned unwritten.
+    """
     docs = _table(spark, sf_dir, "documents")
     root = f"{shared_root(spark)}/firmlens/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{root}/{k}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
         docs = spark.read.parquet(f"{root}/{k}")
-    return docs
+        if k:
+            remove(spark, f"{root}/{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
