@@ -25,3 +25,13 @@ def test_score_rollup_counts_all_scores(spark, held_out):
     got = q["stk1_score_rollup"](spark, SF).toPandas()
     assert got["n_test_obs_total"].sum() == len(rows)
     assert got["elpd_kfold"].sum() == pytest.approx(rows["lpd_obs"].sum(), rel=1e-5)
+
+
+def test_reliability_rests_on_all_scores(spark, held_out):
+    q, rows = held_out
+    got = q["stk2_reliability_flag"](spark, SF).toPandas().set_index(["scheme", "target_space", "model_id", "variant"])["min_ess_bulk"]
+    from firmlens.catalog.model_queries import scores
+
+    folds = scores(spark, SF).groupBy("scheme", "target_space", "model_id", "variant", "fold_id").count().toPandas()
+    want = 1.5 * folds.groupby(["scheme", "target_space", "model_id", "variant"])["count"].min()
+    assert got.sort_index().tolist() == want.sort_index().tolist()
