@@ -35,3 +35,9 @@ def test_reliability_rests_on_all_scores(spark, held_out):
     folds = scores(spark, SF).groupBy("scheme", "target_space", "model_id", "variant", "fold_id").count().toPandas()
     want = 1.5 * folds.groupby(["scheme", "target_space", "model_id", "variant"])["count"].min()
     assert got.sort_index().tolist() == want.sort_index().tolist()
+
+
+def test_alignment_covers_all_observations(spark, held_out):
+    q, rows = held_out
+    got = q["stk3_alignment"](spark, SF).toPandas()
+    assert got["n_obs"].sum() == len(rows[["scheme", "target_space", "company", "year"]].drop_duplicates())
