@@ -41,3 +41,9 @@ def test_alignment_covers_all_observations(spark, held_out):
     q, rows = held_out
     got = q["stk3_alignment"](spark, SF).toPandas()
     assert got["n_obs"].sum() == len(rows[["scheme", "target_space", "company", "year"]].drop_duplicates())
+
+
+def test_log_mean_exp_of_all_observations(spark, held_out):
+    q, rows = held_out
+    got = q["stk4_log_mean_exp"](spark, SF).toPandas()
+    assert len(got) == len(rows[["scheme", "target_space", "company", "year"]].drop_duplicates()) and got["n"].sum() == len(rows)
