@@ -47,3 +47,14 @@ def test_log_mean_exp_of_all_observations(spark, held_out):
     q, rows = held_out
     got = q["stk4_log_mean_exp"](spark, SF).toPandas()
     assert len(got) == len(rows[["scheme", "target_space", "company", "year"]].drop_duplicates()) and got["n"].sum() == len(rows)
+
+
+def test_pseudo_bma_weighs_all_scores(spark, held_out):
+    import numpy as np
+
+    q, rows = held_out
+    got = q["stk6_pseudo_bma"](spark, SF).toPandas()
+    elpd = rows.groupby(["scheme", "target_space", "model_id", "variant"])["lpd_obs"].sum()
+    want = elpd.groupby(level=[0, 1]).transform(lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum())
+    both = got.set_index(["scheme", "target_space", "model_id", "variant"])["weight"]
+    assert np.allclose(both.sort_index(), want.sort_index(), atol=2e-3)
