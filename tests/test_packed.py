@@ -29,3 +29,23 @@ def test_products_of_firms_that_batches_cut(spark):
     want = {(r.s, r.fold_id, 0, r.i, r.j): r.v for r in own} | {(r.s, r.fold_id, r.n_train, r.i, r.j): r.v for r in sums}
     have = {(r.s, r.fold_id, r.n_train, r.i, r.j): r.v for r in got}
     assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_stacks_over_arrays_equal_stacks_over_rows(spark):
+    from pyspark.sql import functions as F
+
+    from firmlens.operators import stacking as ST
+
+    rng = np.random.default_rng(5)
+    wide = [(g, i, rng.normal(-1, 1, 3).tolist()) for g in ("a", "b") for i in range(60)]
+    rows = spark.createDataFrame(wide, "g string, obs int, lpd array<double>")
+    long = rows.select("g", "obs", F.posexplode("lpd").alias("i", "lpd_obs")).withColumn("model_key", F.concat(F.lit("m"), "i"))
+    names = {"m0": 0, "m1": 1, "m2": 2}
+    whole = ST.stack_arrays(rows, ["g"], ["g"], {(g,): ((g,), names) for g in "ab"}).collect()
+    want = {(r.g, r.model_key): r for r in ST.stack(long, ["g"], ["obs"]).collect()}
+    assert len(whole) == 6
+    for r in whole:
+        w = want[r.g, r.model_key]
+        assert abs(r.weight - w.weight) < 1e-8 and abs(r.objective - w.objective) < 1e-8 and abs(r.singleton_elpd - w.singleton_elpd) < 1e-8
+    pairs = ST.stack_arrays(rows, ["g"], ["g", "pair"], {("a", "x"): (("a",), {"m0": 0, "m2": 2})})
+    assert {r.model_key for r in pairs.collect()} == {"m0", "m2"}
