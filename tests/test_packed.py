@@ -49,3 +49,27 @@ def test_stacks_over_arrays_equal_stacks_over_rows(spark):
         assert abs(r.weight - w.weight) < 1e-8 and abs(r.objective - w.objective) < 1e-8 and abs(r.singleton_elpd - w.singleton_elpd) < 1e-8
     pairs = ST.stack_arrays(rows, ["g"], ["g", "pair"], {("a", "x"): (("a",), {"m0": 0, "m2": 2})})
     assert {r.model_key for r in pairs.collect()} == {"m0", "m2"}
+
+
+def test_packed_draws_equal_long_draws(spark):
+    from pyspark.sql import functions as F
+
+    from firmlens.operators import draws as D
+
+    rng = np.random.default_rng(7)
+    wide = [(i, float(rng.normal()), rng.normal(size=40).tolist(), rng.normal(size=40).tolist(), rng.normal(-1, 1, 40).tolist()) for i in range(30)]
+    wide += [(30, 0.5, [1.0] * 40, [1.0] * 40, [-1.0] * 40), (31, 50.0, rng.normal(size=40).tolist(), rng.normal(size=40).tolist(), rng.normal(-1, 9, 40).tolist())]
+    rows = spark.createDataFrame(wide, "obs int, ta_scaled double, epred array<double>, predict array<double>, log_lik array<double>")
+    long = rows.select("obs", "ta_scaled", F.inline(F.arrays_zip("epred", "predict", "log_lik", F.sequence(F.lit(1), F.lit(40)).alias("draw_id"))))
+    long = long.toDF("obs", "ta_scaled", "epred", "predict", "log_lik", "draw_id")
+
+    def same(packed, plain):
+        a, b = packed.toPandas().set_index("obs").sort_index(), plain.toPandas().set_index("obs").sort_index()
+        assert len(a) == len(wide)
+        for c in b.columns:
+            assert a[c].tolist() == b[c].tolist() if b[c].dtype == object else np.allclose(a[c], b[c], atol=1e-9, equal_nan=True), c
+
+    same(D.packed_summary(rows, ["obs"]), D.predictive_summary(long, ["obs"]))
+    same(D.packed_kde_log_score(rows, ["obs"]), D.kde_log_score(long, ["obs"]))
+    same(D.packed_importance_loo(rows, ["obs"]), D.importance_loo(long, ["obs"]))
+    same(D.packed_smoothed_loo(rows, ["obs"]), D.pareto_smoothed_loo(long, ["obs"]))
