@@ -28,11 +28,12 @@ from pyspark.sql import Window as W
 from firmlens.llm.graph import components
 from firmlens.llm.sides import keyed, sized
 from firmlens.llm.text import byte_views, mix, shingle_sets
-from firmlens.session import materialise, scratch
+from firmlens.session import arrow_batches, materialise, scratch
 
 SMALL = 64  # smaller sets give each shingle a band of its own
 SKETCH_BITS = 1024
 ROUNDS = 3  # elections before the closing join; their number steers cost only
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20  # a Python worker holds several copies of a batch: of its texts, or of pairs of whole sets
 SEEN_SETS = 1 << 20  # sets a task remembers so that copies emit no second set of keys
 
 
@@ -360,7 +361,7 @@ def near_duplicates(
     All other intermediate tables are removed.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), arrow_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
         return materialise(_classes(docs, percent, width, sample_docs, frequent_at, broadcast_ids), "classes", outer=True)
 
 

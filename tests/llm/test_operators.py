@@ -8,9 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from firmlens import session
 from firmlens.llm import ann, chunks, decontaminate, graph, jaccard, language, licenses, mixing, quality, secret_scan, text, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, score string, run string"
@@ -113,6 +115,17 @@ def test_a_large_group_of_near_copies_with_a_common_passage(spark):
     assert got == brute_components(word_sets(rows))
 
 
+def test_near_duplicates_bound_the_batches_python_holds(spark):
+    largest = lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+    table = spark.range(0, 3000, 1, 1).selectExpr("repeat('word ', 10000 * int(id > 2900) + 1) AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with session.arrow_batches(spark, jaccard.BATCH_ROWS, jaccard.BATCH_BYTES):
+        got = table.mapInArrow(largest, "rows long, size long").collect()
+    assert max(x.rows for x in got) <= jaccard.BATCH_ROWS and max(x["size"] for x in got) <= 2 * jaccard.BATCH_BYTES
+    assert sum(x.rows for x in got) == 3000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     marks = labels(spark, [])
