@@ -10,14 +10,15 @@ of one of them, taken in an order that both follow, one is shared. Only these d
 Shingles that many documents share get coarse bands of their own. They are found on a bounded sample of documents, which
 steers cost only: any split gives the same links. Candidates are compared with a 1024-bit sketch first, then with whole sets.
 
-Groups under one key are merged in rounds. In a round each key elects one of its sets, and each set is compared with the one that
+Keys with the same sets under them count as one. Groups under one key are merged in rounds. In a round each key elects one of its sets, and each set is compared with the one that
 most of its keys elected, so a round compares no more pairs than there are sets. Keys whose sets are all in one component
-are done. What the rounds leave open is joined key by key, across components only, under bounds on sizes and sketches.
+are done. What the rounds leave open is joined key by key, across components only, under bounds on sizes and sketches; a pair that
+shares many keys is kept under the first, and again only where neither side's smallest keys show that they have met.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ SMALL = 64  # smaller sets give each shingle a band of its own
 SKETCH_BITS = 1024
 ROUNDS = 3  # elections before the closing join; their number steers cost only
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20  # a Python worker holds several copies of a batch: of its texts, or of pairs of whole sets
+EARLIER = 12  # smallest keys that a row of the closing join carries; their number steers cost only
 SEEN_SETS = 1 << 20  # sets a task remembers so that copies emit no second set of keys
 
 
@@ -257,13 +259,33 @@ def _linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int, perc
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of the links as (set_id, comp), written, and ``rows`` (key, set_id) with the component of each set."""
+    """Components of the links as (set_id, comp), written, and ``rows`` (key, set_id, keys) with the component of each set."""
     joined = materialise(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "set_id"), "joined")
-    return joined, rows.join(joined, "set_id", "left").select("key", "set_id", F.coalesce("comp", "set_id").alias("comp"))
+    return joined, rows.select("key", "set_id", "keys").join(joined, "set_id", "left").select("key", "set_id", "keys", F.coalesce("comp", "set_id").alias("comp"))
+
+
+def _first() -> Column:
+    """The set that a key elects before any links are known."""
+    return F.min(F.struct(F.xxhash64("set_id", F.lit(0)), "set_id"))
+
+
+def _members(over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """A key's name from the distinct sets under it. Keys with equal sets get one name, so like texts that share many keys meet once.
+
+    Two keys whose names clash are merged, which adds candidates and loses none.
+    """
+    total = lambda seed: over(F.sum(F.shiftright(F.xxhash64("set_id", F.lit(seed)), 24)))  # noqa: E731  40 bits, so that sums do not overflow
+    return F.xxhash64(total(1), total(2), over(F.count("*")))
+
+
+def _split(hot: DataFrame) -> DataFrame:
+    """The distinct rows (key, set_id) of keys with several sets: name of the key, set, and the set that the key elects."""
+    found = hot.groupBy("key").agg(_first()["set_id"].alias("rep"), _members().alias("name"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi")
+    return hot.join(found, "key").select(F.col("name").alias("key"), "set_id", "rep")
 
 
 def _elected(rows: DataFrame, number: int) -> DataFrame:
-    """``rows`` (key, set_id, comp) of keys with several components, with the set that the key elects in this round.
+    """``rows`` (key, set_id, keys, comp) of keys with several components, with the set that the key elects in this round.
 
     Counts and minima are combined before the shuffle; a frequent key is split by adaptive execution when it is joined back.
     """
@@ -274,11 +296,33 @@ def _elected(rows: DataFrame, number: int) -> DataFrame:
 
 def _chosen(rows: DataFrame) -> DataFrame:
     """For each set the pair (x, y) with the set elected by most of its keys."""
-    votes = rows.groupBy("set_id", "rep").agg(F.count("*").alias("votes"))
+    votes = rows.groupBy("set_id", "rep").agg(F.sum("keys").alias("votes"))
     best = votes.groupBy("set_id").agg(F.max(F.struct("votes", "rep"))["rep"].alias("rep"))
     return best.select(F.least("set_id", "rep").alias("x"), F.greatest("set_id", "rep").alias("y")).distinct()
 
 
+def _closing(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of sets that share a key of ``rows`` (key, set_id, comp) but no component, if sizes and sketches allow a link.
+
+    Like texts share many keys. A pair is kept under the first of them, and not again where both sets know from their ``EARLIER``
+    smallest keys that they have met. Pairs may still repeat; none is lost.
+    """
+    words = range(SKETCH_BITS // 64)
+    earlier = rows.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, EARLIER).alias("earlier"))
+    facts = sets.select("set_id", F.col("n_shingles").alias("n"), *[F.get("bits", F.lit(i)).alias(f"f{i}") for i in words]).join(earlier, "set_id")
+    rest = rows.select("key", "set_id", "comp").join(facts, "set_id").withColumn("earlier", F.filter("earlier", lambda k: k < F.col("key")))
+    rest = materialise(rest, "rest")
+    side = lambda c: rest.select("key", *[F.col(x).alias(c + x) for x in rest.columns if x != "key"])
+    distance = sum((F.bit_count(F.col(f"xf{i}").bitwiseXOR(F.col(f"yf{i}"))) for i in words), F.lit(0))
+    x, y = side("x"), side("y")
+    allowed = (
+        (x["key"] == y["key"]) & (x["xcomp"] < y["ycomp"])
+        & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (distance * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+        & ~F.arrays_overlap("xearlier", "yearlier")
+    )
+    return x.join(y, allowed).select(F.least("xset_id", "yset_id").alias("x"), F.greatest("xset_id", "yset_id").alias("y"))
+
+
 def _classes(docs: DataFrame, percent: int, width: int, sample_docs: int, frequent_at: int, broadcast_ids: int) -> DataFrame:
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width, sample_docs, frequent_at))
@@ -293,17 +337,17 @@ def _classes(docs: DataFrame, percent: int, width: int, sample_docs: int, freque
     # keys of rare bands come in small groups: a group is told apart, and elects, where its key is shuffled to
     group = W.partitionBy("key")
     rare = held.select("set_id", F.explode("rare").alias("key")).repartition("key")
-    rare = rare.select("key", "set_id", F.min(F.struct(F.xxhash64("set_id", F.lit(0)), "set_id")).over(group)["set_id"].alias("rep"), F.max("set_id").over(group).alias("hi"), F.min("set_id").over(group).alias("lo"))
-    rare = materialise(rare.where("lo <> hi").select("key", "set_id", "rep"), "rare")
+    rare = rare.select("key", "set_id", _first().over(group)["set_id"].alias("rep"), F.max("set_id").over(group).alias("hi"), F.min("set_id").over(group).alias("lo"))
+    rare = rare.where("lo <> hi").select("key", "set_id", "rep").distinct()
+    rare = materialise(rare.select(_members(lambda c: c.over(group)).alias("key"), "set_id", "rep"), "rare")
     hot = materialise(held.select(F.explode("hot").alias("key"), "set_id").distinct(), "hot")
-    spread = _elected(hot.withColumn("comp", F.col("set_id")), 0)
-    rows = rare.union(spread.select("key", "set_id", "rep"))
+    rows = materialise(rare.union(_split(hot)).groupBy("key", "set_id").agg(F.min("rep").alias("rep"), F.count("*").alias("keys")), "groups")
 
     twice = held.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id", "x")
     links = materialise(held.join(twice, "doc_id").select("x", F.col("set_id").alias("y")).where("x <> y").distinct(), "same_id")
     tried = materialise(_chosen(rows.where("rep <> set_id")), "pairs")
     links = links.union(_linked(docs, tried, sets, width, percent, broadcast_ids))
-    joined, rows = _labelled(rare.select("key", "set_id").union(hot), links)
+    joined, rows = _labelled(rows, links)
     for number in range(1, ROUNDS + 1):
         rows = materialise(_elected(materialise(rows, "labelled"), number), "open")
         if number == ROUNDS:
@@ -313,26 +357,15 @@ def _classes(docs: DataFrame, percent: int, width: int, sample_docs: int, freque
         if not new.limit(1).count():
             break
         links = links.union(new)
-        joined, rows = _labelled(rows.select("key", "set_id"), links)
+        joined, rows = _labelled(rows, links)
 
-    # what the rounds leave open: sets that share a key but are in different components. The join keeps a pair only if its sizes
-    # and the Hamming distance of the sketches, folded to 256 bits, allow a link.
-    fold = [F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits", F.lit(i + 4))).bitwiseXOR(F.get("bits", F.lit(i + 8))).bitwiseXOR(F.get("bits", F.lit(i + 12))).alias(f"f{i}") for i in range(4)]
-    rest = rows.select("key", "set_id", "comp").join(sets.select("set_id", F.col("n_shingles").alias("n"), *fold), "set_id")
-    rest = materialise(rest.distinct(), "rest")
-    side = lambda c: rest.select("key", *[F.col(x).alias(c + x) for x in rest.columns if x != "key"])
-    distance = sum((F.bit_count(F.col(f"xf{i}").bitwiseXOR(F.col(f"yf{i}"))) for i in range(4)), F.lit(0))
-    x, y = side("x"), side("y")
-    allowed = (
-        (x["key"] == y["key"]) & (x["xcomp"] < y["ycomp"])
-        & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (distance * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
-    )
-    cross = x.join(y, allowed).select(F.least("xset_id", "yset_id").alias("x"), F.greatest("xset_id", "yset_id").alias("y")).distinct()
+    # what the rounds leave open: sets that share a key but are in different components
+    cross = _closing(rows, sets, percent).distinct()
     cross = materialise(cross.join(tried, ["x", "y"], "left_anti"), "pairs")
     more = _linked(docs, cross, sets, width, percent, broadcast_ids)
     links = links.union(more)
     if more.limit(1).count():
-        joined, _ = _labelled(rows.select("key", "set_id"), links)
+        joined, _ = _labelled(rows, links)
     degree = links.select(F.col("x").alias("set_id")).union(links.select("y")).groupBy("set_id").agg(F.count("*").alias("found"))
     nodes = sets.join(joined, "set_id", "left").join(degree, "set_id", "left").select(
         "set_id", "node", F.coalesce("comp", "set_id").alias("comp"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_witnesses")

@@ -115,6 +115,22 @@ def test_a_large_group_of_near_copies_with_a_common_passage(spark):
     assert got == brute_components(word_sets(rows))
 
 
+def test_closing_join_keeps_a_pair_under_its_first_key(spark):
+    """Sets 1 and 2 share 50 keys: one row, not 50. Sets 1 and 3 share only a key behind those that their rows carry: the pair is kept."""
+    rows = [(k, i, i, 1) for k in range(50) for i in (1, 2)] + [(k, 3, 3, 1) for k in range(100, 130)] + [(200, 1, 1, 1), (200, 3, 3, 1)]
+    sets = spark.createDataFrame([(i, 40, [0] * 16) for i in (1, 2, 3)], "set_id long, n_shingles long, bits array<long>")
+    found = jaccard._closing(spark.createDataFrame(rows, "key long, set_id long, comp long, keys long"), sets, 75).collect()
+    assert sorted((x.x, x.y) for x in found) == [(1, 2), (1, 3)]
+
+
+def test_keys_with_equal_sets_get_one_name(spark):
+    hot = spark.createDataFrame([(7, 1), (7, 2), (8, 2), (8, 1), (9, 1), (9, 2), (9, 3), (10, 4)], "key long, set_id long")
+    got = {}
+    for x in jaccard._split(hot).collect():
+        got.setdefault(x.key, []).append(x.set_id)
+    assert sorted(sorted(v) for v in got.values()) == [[1, 1, 2, 2], [1, 2, 3]]
+
+
 def test_near_duplicates_bound_the_batches_python_holds(spark):
     largest = lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}) for b in batches)
     table = spark.range(0, 3000, 1, 1).selectExpr("repeat('word ', 10000 * int(id > 2900) + 1) AS text")
