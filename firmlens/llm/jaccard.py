@@ -247,7 +247,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int, perc
     with scratch(docs.sparkSession):
         possible = materialise(_possible(pairs, sets, percent), "possible")
         if not possible.limit(1).count():
-            return docs.sparkSession.createDataFrame([], "x long, y long")
+            return docs.sparkSession.range(0).select(F.col("id").alias("x"), F.col("id").alias("y"))  # createDataFrame would start Python workers of another kind
         wanted = possible.select(F.col("x").alias("set_id")).union(possible.select("y")).distinct()
         ids = materialise(wanted.join(sets.select("set_id", F.col("node").alias("doc_id")), "set_id").select("doc_id").distinct(), "wanted")
         few = ids.count() <= broadcast_ids

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from firmlens.llm.sampling import bounded, held_out
 from firmlens.llm.text import letter_runs
 
 CACHE = 200_000  # words whose features a task remembers
+ROWS = 256  # texts turned into Python strings at a time
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -62,6 +62,13 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * np.asarray(margin) + self.shift, -500, 500)))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``ROWS`` rows: a batch may hold all texts of a task, and a worker keeps what it once took."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def fit_nnpu(positive: list, unlabelled: list, size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam on the whole sample.
 
@@ -128,38 +135,43 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     picked = picked.union(bounded(known.join(marked.where("toxic = 0"), "doc_id"), max_negative, seed).select("doc_id", F.lit(2).alias("part")))
     picked = picked.union(bounded(free, max_unlabelled, seed).select("doc_id", F.lit(0).alias("part")))
     chosen = {(r[0], r[1]) for r in picked.collect()}
-    parts = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, part int")
+    pairs = sorted(chosen)
+    # from Arrow: rows from a list pass through Python workers of another kind, which stay beside those of the text
+    table = pa.table({"doc_id": pa.array([p[0] for p in pairs], pa.int64()), "part": pa.array([p[1] for p in pairs], pa.int32())})
+    parts = docs.sparkSession.createDataFrame(table, "doc_id long, part int")
     texts = docs.join(F.broadcast(parts), "doc_id").select("part", "text")  # bounded by the sample sizes
 
-    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer()
-        for frame in frames:
-            for part, text in zip(frame["part"], frame["text"], strict=True):
-                yield pd.DataFrame({"part": np.int32(part), "feature": np.fromiter(make(text), np.int64)})
+        for batch in _parts(batches):
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = make(text)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part, np.int32)), pa.array(np.fromiter(found, np.int64, len(found)))], ["part", "feature"])
 
     sizes = {r[0]: r[1] for r in parts.groupBy("part").count().collect()}
     n_pos, n_unl = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     share_p, share_u = (F.col("p") + 0.5) / (n_pos + 1.0), (F.col("u") + 0.5) / (n_unl + 1.0)
     gain = share_p * F.log(share_p / share_u) + (1 - share_p) * F.log((1 - share_p) / (1 - share_u))
-    counted = texts.where("part < 2").mapInPandas(grams, "part int, feature long").groupBy("feature").agg(
+    counted = texts.where("part < 2").mapInArrow(grams, "part int, feature long").groupBy("feature").agg(
         F.sum(F.expr("int(part = 1)")).alias("p"), F.sum(F.expr("int(part = 0)")).alias("u")
     ).where("p + u >= 3")
     features = [r[0] for r in counted.where((gain * n_pos > evidence) & (share_p > share_u)).orderBy(F.desc(gain), "feature").limit(max_features).select("feature").collect()]
     index = {f: k for k, f in enumerate(features)}
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer(shared.value)
-        for frame in frames:
-            yield pd.DataFrame({"part": frame["part"], "ids": [sorted(make(t)) for t in frame["text"]]})
+        for batch in _parts(batches):
+            ids = [np.array(sorted(make(t)), np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["part", "ids"])
 
-    rows = texts.mapInPandas(encode, "part int, ids array<int>").collect()
-    of = lambda part: [r[1] for r in rows if r[0] == part]
+    rows = texts.mapInArrow(encode, "part int, ids binary").collect()
+    of = lambda part: [np.frombuffer(r[1], np.int32) for r in rows if r[0] == part]
     positive, negative = of(1), of(2)
     weights, bias = fit_nnpu(positive, of(0), len(index), prior) if positive else (np.zeros(len(index)), -3.0)
     model = Model(index, weights, bias)
     if positive and negative:
-        margins = np.array([model.margin(set(x)) for x in [*positive, *negative]])
+        margins = np.array([model.margin(set(x.tolist())) for x in [*positive, *negative]])
         marks = np.r_[np.ones(len(positive)), np.zeros(len(negative))]
         model.slope, model.shift = calibrate(margins, marks)
     return model
@@ -175,16 +187,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(source, labels.select("doc_id", "toxic"), **options))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = model.value
         make = Featurizer(use.index)
-        for frame in frames:
-            out = frame[["doc_id", "held_out"]].copy()
-            out["score"] = use.score([use.margin(make(t)) for t in frame["text"]])
-            out["predicted"] = (out["score"] >= threshold).astype("int32")
-            yield out
+        for batch in _parts(batches):
+            ids, texts, held = batch.columns
+            scores = use.score([use.margin(make(t)) for t in texts.to_pylist()])
+            yield pa.RecordBatch.from_arrays([ids, held, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return source.withColumn("held_out", held_out()).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return source.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -196,7 +207,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = model.value
         make = Featurizer(use.index)
-        for batch in batches:
+        for batch in _parts(batches):
             scores = use.score([use.margin(make(t)) for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from firmlens import session
@@ -309,6 +313,24 @@ def test_toxicity_learns_without_held_out_labels(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_workers_stay_small(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1_000)), "text": ["word"] * 1_000})
+    sizes = [b.num_rows for b in toxicity._parts(iter([batch, batch.slice(0, 0), batch.slice(0, 3)]))]
+    assert sum(sizes) == 1_003 and max(sizes) <= toxicity.ROWS < 1_000
+    loaded = "import sys, firmlens.llm.toxicity, firmlens.llm.jaccard; assert 'pandas' not in sys.modules"
+    subprocess.run([sys.executable, "-c", loaded], cwd=Path(__file__).parents[2], check=True)
+
+    rows = docs(spark, [(i, prose(i, 40) + (" scumbag" if i % 5 == 0 else ""), "en", "s") for i in range(100)])
+    marks = labels(spark, [(i, 1, int(i % 5 == 0)) for i in range(0, 100, 2)])
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of a list pass through Python workers of another kind")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    assert toxicity.without_toxic(rows, marks).count() >= 80
+    assert jaccard.near_duplicates(rows).where("n_witnesses = 0").count() == 100
+
+
 def test_risk_stays_non_negative():
     r = np.random.default_rng(0)
     positive = [[0, int(r.integers(1, 50))] for _ in range(30)]
