@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmlens.operators import lsq
-from firmlens.operators.arrays import array_quantiles, array_stats, slices
+from firmlens.operators.arrays import Stats, array_quantiles, array_stats, slices
+from firmlens.plans.scoring import SPECIFICATIONS
 from firmlens.session import materialise
 
 
@@ -91,6 +92,18 @@ class Layout:
         starts = np.flatnonzero(np.append(True, firm[1:] != firm[:-1])) if len(rows) else np.zeros(0, dtype=int)
         return rows, x, b.y[rows, o], starts
 
+    def outcome_matrix(self, keys: list[int]) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+        """Outcomes by key, missing where the firm-year is not ranked in the key's slot."""
+
+        def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            b = self.block(batch)
+            slot, o = np.divmod(np.array(keys), len(self.outcomes))
+            here = self.present(b)
+            for part in slices(len(b.y), len(keys)):
+                yield np.where(here[part][:, slot], b.y[part][:, o], np.nan)
+
+        return read
+
 
 def layout(firms: DataFrame, slots: list[tuple], outcomes: list[str], terms: list[str], controls: list[str]) -> Layout:
     used = firms.select(F.inline("rows")).where(F.coalesce(*outcomes).isNotNull())
@@ -147,6 +160,12 @@ def _square(v: np.ndarray, q: int) -> np.ndarray:
     return g
 
 
+def _within(a: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``a`` less the means of its firms."""
+    sizes = np.diff(np.append(starts, len(a)))
+    return a - np.repeat(np.add.reduceat(a, starts, axis=0) / sizes.reshape(-1, *[1] * (a.ndim - 1)), sizes, axis=0)
+
+
 def leave_one_firm_out(firms: DataFrame, slots: list[tuple], outcomes: list[str], terms: list[str], controls: list[str], key_names: list[str]) -> DataFrame:
     """:func:`~firmlens.operators.lsq.influence_summary` of the coefficients without each firm, for every key with enough variation.
 
@@ -207,3 +226,83 @@ def leave_one_firm_out(firms: DataFrame, slots: list[tuple], outcomes: list[str]
         for i, key in enumerate(keys) for j, term in enumerate(terms) for c in [i * t + j]]
     fields = "term string, full_coefficient double, drop_one_min double, drop_one_max double, max_abs_change double, sign_flip_n long, firms_dropped_n long, not_estimable_n long, drop_one_median double"
     return firms.sparkSession.createDataFrame(out, T._parse_datatype_string(", ".join(f"{k} string" for k in key_names) + ", " + fields))
+
+
+def specification_grid(firms: DataFrame, slots: list[tuple], outcomes: list[str], terms: list[str], key_names: list[str], specs: dict = SPECIFICATIONS, min_rows: int = 30, outcome_sets: dict[str, list[str]] | None = None) -> DataFrame:
+    """:func:`~firmlens.plans.scoring.specification_grid` of packed rows: one pass for the matrices of all specifications and keys, one for the sums of their clusters.
+
+    Only a winsorized outcome needs further passes, for its cut-offs. Effects of firms go out with the firm's own means, which its row holds.
+    """
+    controls = list(dict.fromkeys(c for s in specs.values() for c in s[0]))
+    lay = layout(firms, slots, outcomes, terms, controls)
+    design = lay.design
+    p, years = design.width, len(lay.levels["year"])
+    iu, ju = np.triu_indices(p + 1)
+    tri, pos = len(iu), [design.names.index(n) for n in terms]
+    n_rows, thin = sizes_of_keys(firms, lay, min_rows)
+    wanted = [(name, key) for name in specs for key, k in enumerate(lay.keys) if not outcome_sets or k[-1] in outcome_sets[name]]
+    cells = [(name, key) for name, key in wanted if not thin[key]]
+    cut_keys = sorted({key for name, key in cells if specs[name][3]})
+    cuts: dict[int, np.ndarray] = {}
+    if cut_keys:  # cut-offs of all rows with an outcome, before missing controls take rows away
+        read = lay.outcome_matrix(cut_keys)
+        st: Stats = array_stats(firms, read, len(cut_keys))
+        cuts = dict(zip(cut_keys, array_quantiles(firms, read, st, [0.01, 0.99])))
+
+    def cut_out(b: Block, name: str, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, x, y, starts, y before the firms' means went out)."""
+        own, fe, _, winsor = specs[name]
+        rows, x, y, starts = lay.cases(b, key, own)
+        if winsor:
+            y = np.minimum(np.maximum(y, cuts[key][0]), cuts[key][1])
+        raw = y
+        if "company" in fe and len(rows):
+            x[:, 1:], y = _within(x[:, 1:], starts), _within(y, starts)
+        return rows, x, y, starts, raw
+
+    def products(batch: pa.RecordBatch, acc: list[np.ndarray]) -> None:
+        b = lay.block(batch)
+        for (name, key), a in zip(cells, acc):
+            _, x, y, starts, raw = cut_out(b, name, key)
+            a[:tri] += _triangle(np.column_stack([x, y]), iu, ju)
+            a[tri:] += len(starts), raw.sum(), raw @ raw
+
+    solved = []
+    for (name, _), v in zip(cells, _sums(firms, cells, [tri + 3] * len(cells), products)):
+        fe = specs[name][1]
+        absorb = "company" in fe
+        g, (n_firms, s, ss) = _square(v[:tri], p + 1), v[tri:]
+        xs = design.index(terms + specs[name][0], [f for f in fe if f != "company"])
+        beta, inv, rank, rss = lsq.solve(g, xs[1:] if absorb else xs, p)
+        n = g[0, 0]
+        tss = (ss - s * s / n if absorb else g[p, p] - g[0, p] ** 2 / n) if n > 0 else 0.0
+        solved.append((beta[:p], inv[:p, :p], n, rank + int(n_firms) if absorb else rank, rss, tss))
+    cells, solved = [c for c, f in zip(cells, solved) if f[2] > 0], [f for f in solved if f[2] > 0]
+    two_way = [specs[name][2] == "two_way" for name, _ in cells]
+
+    def meats(batch: pa.RecordBatch, acc: list[np.ndarray]) -> None:
+        b = lay.block(batch)
+        for (name, key), f, two, a in zip(cells, solved, two_way, acc):
+            rows, x, y, starts, _ = cut_out(b, name, key)
+            if not len(rows):
+                continue
+            scores = x * (y - x @ f[0])[:, None]
+            a[:tri] += _triangle(np.column_stack([np.add.reduceat(scores, starts, axis=0), np.ones(len(starts))]), iu, ju)
+            if two:  # a firm has one row a year
+                a[tri:2 * tri] += _triangle(np.column_stack([scores, np.ones(len(rows))]), iu, ju)
+                by_year = a[2 * tri:].reshape(years, p + 1)
+                np.add.at(by_year, b.year[rows].astype(int), np.column_stack([scores, np.ones(len(rows))]))
+
+    table = []
+    for (name, key), f, two, v in zip(cells, solved, two_way, _sums(firms, cells, [2 * tri + years * (p + 1) if two else tri for two in two_way], meats)):
+        parts, signs = [_square(v[:tri], p + 1)], [1.0]
+        if two:
+            by_year = v[2 * tri:].reshape(years, p + 1)
+            by_year[:, p] = by_year[:, p] > 0
+            parts, signs = [parts[0], by_year.T @ by_year, _square(v[tri:2 * tri], p + 1)], [1.0, 1.0, -1.0]
+        got = lsq.clustered_errors(*f, parts, signs, pos)
+        known = lambda c, i: None if np.isnan(v := np.broadcast_to(got[c], len(terms))[i]) else float(v)
+        table += [(*lay.keys[key], name, term, *[known(c, i) for c in ("estimate", "std_error", "t_value", "p_value")], got["n"], known("r2", i), known("adj_r2", i), got["se_status"]) for i, term in enumerate(terms)]
+    table += [(*lay.keys[key], name, term, None, None, None, None, n_rows[key], None, None, "insufficient_variation") for name, key in wanted if thin[key] and n_rows[key] for term in terms]
+    fields = "spec string, term string, estimate double, std_error double, t_value double, p_value double, n long, r2 double, adj_r2 double, se_status string"
+    return firms.sparkSession.createDataFrame(table, T._parse_datatype_string(", ".join(f"{k} string" for k in key_names) + ", " + fields))

@@ -84,3 +84,20 @@ def test_group_without_which_a_column_is_lost(spark):
         b = np.linalg.lstsq(x[left], y[left], rcond=None)[0]
         assert got[i, 0] == pytest.approx(b[1])
         assert np.isnan(got[i, 1]) if s == 0 else got[i, 1] == pytest.approx(b[2])
+
+
+def test_specification_grid_from_packed_rows(spark, tables):
+    from firmlens.plans import membership as M
+    from firmlens.plans import scoring
+
+    base, pairs, long = tables
+    specs = {
+        "plain": (["size"], ["industry", "year"], "firm", False), "none": ([], ["industry", "year"], "firm", False), "firms": (["size", "age"], ["company", "year"], "firm", False),
+        "cut": (["size"], ["industry", "year"], "firm", True), "two": (["size", "age"], ["industry", "year"], "two_way", False),
+    }
+    sets = {s: OUT[:1] if s == "none" else OUT for s in specs}
+    want = scoring.specification_grid(long, KEYS, FLAGS, specs, outcome_sets=sets)
+    got = M.specification_grid(_packed(base, pairs), SLOTS, OUT, FLAGS, KEYS, specs, outcome_sets=sets)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert "insufficient_variation" in {r.se_status for r in got.collect()}
+    _same(got, want, [*KEYS, "spec", "term"])
