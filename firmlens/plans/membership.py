@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from firmlens.operators import lsq
 from firmlens.operators.arrays import Stats, array_quantiles, array_stats, slices
 from firmlens.plans.scoring import SPECIFICATIONS
-from firmlens.session import materialise
+from firmlens.session import materialise, scratch
 
 
 def packed_rows(base: DataFrame, marks: DataFrame, firm: str = "company", year: str = "year") -> DataFrame:
@@ -204,7 +204,6 @@ def leave_one_firm_out(firms: DataFrame, slots: list[tuple], outcomes: list[str]
             at = pa.array(np.arange(batch.num_rows + 1, dtype="int32") * width)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(out.ravel()))], ["v"])
 
-    each = materialise(firms.mapInArrow(dropped, "v array<double>"), "dropone")
     full = np.concatenate([s.full for s in solved]) if solved else np.zeros(0)
 
     def read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -216,8 +215,10 @@ def leave_one_firm_out(firms: DataFrame, slots: list[tuple], outcomes: list[str]
         lost, some = np.isinf(m), np.isfinite(m) & np.isfinite(full)
         return np.concatenate([lost.sum(axis=0), (some & (np.sign(m) != np.sign(full))).sum(axis=0)])
 
-    st = array_stats(each, read, width, count, 2 * width)
-    median = array_quantiles(each, read, st, [0.5])[:, 0]
+    with scratch(firms.sparkSession):  # the written coefficients go once they are summed up
+        each = materialise(firms.mapInArrow(dropped, "v array<double>"), "dropone")
+        st = array_stats(each, read, width, count, 2 * width)
+        median = array_quantiles(each, read, st, [0.5])[:, 0]
     lost, flips = st.counts[:width].astype(int), st.counts[width:].astype(int)
     far = np.fmax(np.abs(st.lo - full), np.abs(st.hi - full))
     known = lambda v: None if np.isnan(v) else float(v)
